@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, near_dedup, sharding
+from . import ann, bpe, line_dedup, mixing, near_dedup, pii, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +36,22 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, n=n: s["k"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(pii.KINDS)]
+    every = F.sort_array(F.concat("base", "added"))
+    return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(every).alias("spans"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_near_dedup": op3_near_dedup, "op4_mixing": op4_mixing, "op9_sharding": op9_sharding}
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_near_dedup": op3_near_dedup, "op4_mixing": op4_mixing, "op5_pii": op5_pii, "op9_sharding": op9_sharding, "op10_nearest": op10_nearest}
 
-ORACLE_SQL = {"op2_line_dedup": line_dedup.LINE_SQL, "op3_near_dedup": near_dedup.NEAR_SQL, "op4_mixing": mixing.MIX_SQL}
+ORACLE_SQL = {"op2_line_dedup": line_dedup.LINE_SQL, "op3_near_dedup": near_dedup.NEAR_SQL, "op4_mixing": mixing.MIX_SQL, "op10_nearest": ann.ANN_SQL}
