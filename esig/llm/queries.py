@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, line_dedup, mixing, near_dedup, pii, sharding
+from . import ann, bpe, line_dedup, mixing, near_dedup, pii, quality_rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,11 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(every).alias("spans"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.drop("score")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -52,6 +57,6 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_near_dedup": op3_near_dedup, "op4_mixing": op4_mixing, "op5_pii": op5_pii, "op9_sharding": op9_sharding, "op10_nearest": op10_nearest}
+QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_near_dedup": op3_near_dedup, "op4_mixing": op4_mixing, "op5_pii": op5_pii, "op6_quality_rules": op6_quality_rules, "op9_sharding": op9_sharding, "op10_nearest": op10_nearest}
 
 ORACLE_SQL = {"op2_line_dedup": line_dedup.LINE_SQL, "op3_near_dedup": near_dedup.NEAR_SQL, "op4_mixing": mixing.MIX_SQL, "op10_nearest": ann.ANN_SQL}
