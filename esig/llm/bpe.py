@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .util import with_field
+
 #: Fixed value: the split pattern that belongs to the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A rank file larger than this is refused rather than broadcast.
@@ -149,7 +151,7 @@ def encode_bpe(docs: DataFrame, ranks_path: str, text: str = "text", ids: str =
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32()))], names=[*b.schema.names, ids])
 
     at = kept.columns.index(text)
-    return kept.mapInArrow(run, kept.schema.add(ids, "array<int>"))
+    return kept.mapInArrow(run, with_field(kept.schema, ids, "array<int>"))
 
 
 def decode_bpe(tokens: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -164,7 +166,7 @@ def decode_bpe(tokens: DataFrame, ranks_path: str, ids: str = "ids", out: str =
             found = [None if x is None else codec.decode(x) for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.binary())], names=[*b.schema.names, out])
 
-    return kept.mapInArrow(run, kept.schema.add(out, "binary"))
+    return kept.mapInArrow(run, with_field(kept.schema, out, "binary"))
 
 
 def bpe_digest(docs: DataFrame, ranks_path: str, leaf_chars: int = 2048) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import stage_table
+from .util import stage_table, text_chunks
 
 WORDS = 5
 LINK = (85, 100)
@@ -82,19 +82,9 @@ def min_hashes(shingles: np.ndarray) -> np.ndarray:
     return low
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], text_at: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches of about ``size`` characters of text; a longer text stands alone."""
-    for b in batches:
-        lengths = np.array([len(t or "") + 64 for t in b.column(text_at).to_pylist()], dtype=np.int64)
-        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(lengths) // size)) + 1).tolist(), b.num_rows]
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            if j > i:
-                yield b.slice(i, j - i)
-
-
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SIGNATURE_SCHEMA.split(", ")]
-    for b in _chunks(batches, 3):
+    for b in text_chunks(batches, 3):
         n, s1, s2, sig, bands = [], [], [], [], []
         for s in shingle_sets(b.column(3).to_pylist()):
             n.append(len(s))
@@ -172,7 +162,7 @@ def _confirm(pairs: DataFrame, fetch: _Texts, link: tuple[int, int]) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple[int, np.ndarray] | None = None
-        for b in _chunks(batches, 3):
+        for b in text_chunks(batches, 3):
             a, hit = b.column(0).to_pylist(), []
             ones = b.column(2).to_pylist()
             for i, two in enumerate(shingle_sets(b.column(3).to_pylist())):

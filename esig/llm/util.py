@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space of every word and line rule here: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -39,3 +43,18 @@ def lower_ascii(c: Column) -> Column:
 def hash128(c: Column, name: str = "h") -> list[Column]:
     """Two independent 64-bit hashes, so that equal pairs mean equal strings at any realistic size."""
     return [F.xxhash64(c).alias(f"{name}1"), F.xxhash64(F.lit(0x5EED), c).alias(f"{name}2")]
+
+
+def text_chunks(batches: Iterator[pa.RecordBatch], text_at: int, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of about ``size`` characters of text; a longer text stands alone."""
+    for b in batches:
+        lengths = np.array([len(t or "") + 64 for t in b.column(text_at).to_pylist()], dtype=np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(lengths) // size)) + 1).tolist(), b.num_rows]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            if j > i:
+                yield b.slice(i, j - i)
+
+
+def with_field(schema: StructType, name: str, kind: str) -> StructType:
+    """``schema`` and one field more; the schema itself stays as it is."""
+    return StructType([*schema.fields]).add(name, kind)
