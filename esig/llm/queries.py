@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, line_dedup, mixing, near_dedup, pii, quality_model, quality_rules, sharding
+from . import ann, bpe, html_text, line_dedup, mixing, near_dedup, pii, quality_model, quality_rules, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -62,6 +66,6 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_near_dedup": op3_near_dedup, "op4_mixing": op4_mixing, "op5_pii": op5_pii, "op6_quality_rules": op6_quality_rules, "op7_quality_model": op7_quality_model, "op9_sharding": op9_sharding, "op10_nearest": op10_nearest}
+QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_near_dedup": op3_near_dedup, "op4_mixing": op4_mixing, "op5_pii": op5_pii, "op6_quality_rules": op6_quality_rules, "op7_quality_model": op7_quality_model, "op8_html_text": op8_html_text, "op9_sharding": op9_sharding, "op10_nearest": op10_nearest}
 
 ORACLE_SQL = {"op2_line_dedup": line_dedup.LINE_SQL, "op3_near_dedup": near_dedup.NEAR_SQL, "op4_mixing": mixing.MIX_SQL, "op10_nearest": ann.ANN_SQL}
