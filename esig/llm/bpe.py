@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import with_field
+from .util import text_chunks, with_field
 
 #: Fixed value: the split pattern that belongs to the rank file.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -136,22 +136,26 @@ def _rank_bytes(ranks_path: str) -> bytes:
     return data
 
 
-def encode_bpe(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", leaf_chars: int = 2048) -> DataFrame:
+def encode_bpe(docs: DataFrame, ranks_path: str, text: str = "text", ids: str = "ids", exact: str | None = None, leaf_chars: int = 2048) -> DataFrame:
     """``docs`` with an array column ``ids`` of the tokens of each whole ``text`` (an old column of that name goes).
 
-    Null and empty texts have no tokens. Rows neither move nor merge, so repeated rows each keep their own result.
+    With ``exact`` a boolean column of that name tells whether the decoded ids give back the text's bytes. Null and
+    empty texts have no tokens. Rows neither move nor merge, so repeated rows each keep their own result.
     """
     data = docs.sparkSession.sparkContext.broadcast(_rank_bytes(ranks_path))
-    kept = docs.drop(ids)
+    kept = docs.drop(ids, *[exact] * bool(exact))
+    at = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data.value, leaf_chars)
-        for b in batches:
-            found = [codec.encode(t) if t else [] for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32()))], names=[*b.schema.names, ids])
-
-    at = kept.columns.index(text)
-    return kept.mapInArrow(run, with_field(kept.schema, ids, "array<int>"))
+        for b in text_chunks(batches, at):
+            texts = b.column(at).to_pylist()
+            found = [codec.encode(t) if t else [] for t in texts]
+            more = [pa.array([codec.decode(x) == (t or "").encode() for x, t in zip(found, texts, strict=True)], pa.bool_())] * bool(exact)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.list_(pa.int32())), *more], names=[*b.schema.names, ids, *[exact] * bool(exact)])
+
+    schema = with_field(kept.schema, ids, "array<int>")
+    return kept.mapInArrow(run, with_field(schema, exact, "boolean") if exact else schema)
 
 
 def decode_bpe(tokens: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -66,16 +66,16 @@ class LineRuns:
         return runs[0] if len(runs) == 1 else _reduced(reduce(DataFrame.unionByName, runs))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
     """Drop lines whose key at least ``min_docs`` documents hold, except in the largest doc_id that holds it.
 
     A line's key is the line without ASCII white space at its ends and with A-Z lower-cased; keys under
     ``min_chars`` code points are left alone. In the largest holder all its lines of that key stay. Returns
     doc_id, n_lines, n_dropped and kept_text, one row for each input row. Null and empty texts are one empty line.
     Rows that share a doc_id but not their text count as documents of their own; repeated equal rows count once
-    and get equal results; null doc_ids rank below all others. Other columns are not read.
+    and get equal results; null doc_ids rank below all others. Columns named in ``keep`` come along; no other is read.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     batch = reduce(lambda c, x: c + (F.coalesce("doc_id", F.lit(-(1 << 63))) <= x).cast("int"), sorted(set(cuts)), F.lit(0))
     path_rows = line_hashes(docs, min_chars).withColumn("batch", batch)
@@ -87,11 +87,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     dropped = lines.join(common, KEY).where(~F.col("doc_id").eqNullSafe(F.col("last_id")))
     drops = dropped.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.collect_set("pos").alias("gone"))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th")).join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
-    rows = rows.select("doc_id", "text", "gone", F.split("text", "\n").alias("lines"))
+    along = [f"keep_{c}" for c in keep]
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"), *along).join(drops.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
+    rows = rows.select("doc_id", "text", "gone", F.split("text", "\n").alias("lines"), *along)
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("lines", i)), "\n"))
-    return rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    return rows.select("doc_id", F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"), *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
 LINE_SQL = r"""

@@ -279,8 +279,18 @@ def _cross(members: DataFrame, nodes: DataFrame, roots: DataFrame, link: tuple[i
     return found.select("a", "b").distinct()
 
 
+def keep_one(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
+    """The rows of ``docs``, all columns kept, whose document is the one that stays of its group.
+
+    Equal rows are one document: all of them stay or go.
+    """
+    gone = near_duplicates(docs, link).where(~F.col("kept")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("_t"))
+    return docs.join(stage_table(gone, "near-gone").hint("shuffle_hash"), same, "left_anti")
+
+
 def near_duplicates(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, kept, text_hash for every row of ``docs`` (doc_id, text).
 
     Two documents are linked if the Jaccard similarity of their shingle sets is at least ``link``; a component_id
     is the smallest doc_id that links reach, and the document that bears it is kept. Null, empty and blank texts
@@ -311,9 +321,9 @@ def near_duplicates(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     ids = classes.join(roots, "node", "left").select("s1", "s2", "low", F.coalesce("root", "node").alias("root"))
     lowest = ids.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = stage_table(ids.join(lowest, "root").select("s1", "s2", "component_id"), "near-ids")
-    out = rows.select("doc_id", "n", "s1", "s2").join(ids, ["s1", "s2"], "left")
+    out = rows.select("doc_id", "n", "s1", "s2", "t").join(ids, ["s1", "s2"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("t").alias("text_hash"))
 
 
 NEAR_SQL = r"""

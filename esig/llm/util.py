@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 #: White space of every word and line rule here: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -57,4 +57,4 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text_at: int, size: int = 2 <
 
 def with_field(schema: StructType, name: str, kind: str) -> StructType:
     """``schema`` and one field more; the schema itself stays as it is."""
-    return StructType([*schema.fields]).add(name, kind)
+    return StructType([*schema.fields]).add(name, DataType.fromDDL(kind))
