@@ -1,7 +1,7 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian verification, exact confirmation.
 
 1. One pass over the texts gives every document the size and a 128-bit hash of its set of word shingles, a
-   signature of 252 MinHash values cut to a byte each, and 42 band keys of 6 values. Documents of equal sets
+   signature of 504 MinHash values cut to a byte each, and 42 band keys of 6 values. Documents of equal sets
    become one node.
 2. Nodes that share a band key are candidates. First every member of a bucket meets the bucket's smallest node and
    the smallest of its size class, which is linear in the bucket. Where a bucket still holds several components,
@@ -29,10 +29,11 @@ from .util import stage_table, text_chunks
 
 WORDS = 5
 LINK = (85, 100)
-BANDS, ROWS, BATCH = 42, 6, 36
-HASHES = BANDS * ROWS
+BANDS, ROWS = 42, 6
+#: Values of a signature, and of the part that is compared at a time; the bands use the first 252.
+HASHES, BATCH = 504, 42
 #: Chance at which a pair is given up after a signature batch.
-MISS = 1e-9
+MISS = 1e-7
 #: Rows of a block of a bucket: outside and inside the component of its hub.
 BLOCK, INNER_BLOCK = 256, 1024
 SIGNATURE_SCHEMA = "doc_id bigint, at bigint, t bigint, n bigint, s1 bigint, s2 bigint, sig binary, bands array<bigint>"
@@ -74,7 +75,7 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
 
 
 def min_hashes(shingles: np.ndarray) -> np.ndarray:
-    """252 MinHash values of 32 bits, in blocks that stay in cache."""
+    """MinHash values of 32 bits, in blocks that stay in cache."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     low = np.full(HASHES, 0xFFFFFFFF, dtype=np.uint32)
     for i in range(0, len(x), 256):
@@ -93,7 +94,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype="<i8")
             low = min_hashes(s)
-            keys = _mix((low.reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
+            keys = _mix((low[: BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64) * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64))
             s1.append(int(digest[0])), s2.append(int(digest[1]))
             sig.append(((low * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes())
             bands.append(keys.view(np.int64).tolist())
