@@ -24,7 +24,7 @@ BOOKS, WORDS, BEAM = 8, 64, 4
 #: Vectors that the codebooks are learned on; every vector is indexed.
 FIT_ROWS = 4096
 FIT_STEPS = 12
-BLOCK_ROWS, BLOCK_QUERIES = 4096, 512
+BLOCK_ROWS, BLOCK_QUERIES = 2048, 1024
 
 
 def learn_codebooks(x: np.ndarray, books: int = BOOKS, words: int = WORDS, steps: int = FIT_STEPS, seed: int = 7) -> np.ndarray:
@@ -46,18 +46,19 @@ def learn_codebooks(x: np.ndarray, books: int = BOOKS, words: int = WORDS, steps
 
 def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> np.ndarray:
     """Codes (rows, books): the best of ``beam`` partial sums at each book goes on."""
-    rows, m = len(x), len(books)
-    rest, codes = x[:, None, :].astype(np.float64), np.zeros((rows, 1, 0), np.int64)
-    for c in books:
-        cost = (rest * rest).sum(-1)[..., None] - 2 * rest @ c.T + (c * c).sum(axis=1)
-        width = min(beam, cost.shape[1] * cost.shape[2])
+    rows, m, dim = len(x), len(books), x.shape[1]
+    rest, codes = x[:, None, :].astype(np.float32), np.zeros((rows, 1, 0), np.uint8)
+    at = np.arange(rows)[:, None]
+    for c in books.astype(np.float32):
+        width = min(beam, rest.shape[1] * len(c))
+        cost = (-2 * rest.reshape(-1, dim) @ c.T + (c * c).sum(axis=1)).reshape(rows, rest.shape[1], len(c))
+        cost += np.einsum("rbd,rbd->rb", rest, rest)[..., None]
         flat = cost.reshape(rows, -1)
         pick = np.argpartition(flat, width - 1, axis=1)[:, :width]
         src, word = pick // len(c), pick % len(c)
-        at = np.arange(rows)[:, None]
         rest = rest[at, src] - c[word]
-        codes = np.concatenate([codes[at, src], word[..., None]], axis=2)
-    best = (rest * rest).sum(-1).argmin(axis=1)
+        codes = np.concatenate([codes[at, src], word[..., None].astype(np.uint8)], axis=2)
+    best = np.einsum("rbd,rbd->rb", rest, rest).argmin(axis=1)
     return codes[np.arange(rows), best].reshape(rows, m)
 
 
@@ -76,21 +77,21 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def build_index(rows: DataFrame, books: np.ndarray) -> DataFrame:
-    """id, v, codes, norm (of the approximation, squared) and miss (length of the residual) of every row."""
+    """id, v (its doubles as bytes), codes, norm (of the approximation, squared) and miss (length of the residual)."""
     data = rows.sparkSession.sparkContext.broadcast(books)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 2048):
                 part = b.slice(i, 2048)
-                x = np.array(part.column(1).to_pylist(), dtype=np.float64)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
                 codes = encode(x, data.value)
                 near = approximate(codes, data.value)
                 miss = np.sqrt(((x - near) ** 2).sum(axis=1))
-                codes = pa.array([c.tobytes() for c in codes.astype(np.uint8)], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), codes, pa.array((near * near).sum(axis=1)), pa.array(miss)], names=["id", "v", "codes", "norm", "miss"])
+                codes = pa.array([c.tobytes() for c in codes], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.tobytes() for r in x], pa.binary()), codes, pa.array((near * near).sum(axis=1)), pa.array(miss)], names=["id", "v", "codes", "norm", "miss"])
 
-    return rows.mapInArrow(run, "id bigint, v array<double>, codes binary, norm double, miss double")
+    return rows.mapInArrow(run, "id bigint, v binary, codes binary, norm double, miss double")
 
 
 def exact_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -102,6 +103,11 @@ def exact_distance(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def _kth(x: np.ndarray, k: int) -> np.ndarray:
+    """The k-th smallest value of each row as a column; infinite if there are fewer."""
+    return np.partition(x, k - 1, axis=1)[:, k - 1 : k] if x.shape[1] > k else np.full((len(x), 1), np.inf)
+
+
 def nearest(vectors: DataFrame, k: int = 10, modulus: int = 100) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest other rows of each row whose id ``modulus`` divides.
 
@@ -130,19 +136,23 @@ def nearest(vectors: DataFrame, k: int = 10, modulus: int = 100) -> DataFrame:
         ask, have = g[g["query"]], g[~g["query"]]
         out = []
         if len(ask) and len(have):
-            q, x = np.array(ask.v.tolist()), np.array(have.v.tolist())
+            q, x = (np.frombuffer(b"".join(v)).reshape(len(v), -1) for v in (ask.v, have.v))
             codes = np.frombuffer(b"".join(have.codes), np.uint8).reshape(len(have), -1)
             qid, xid, miss = ask.id.to_numpy(), have.id.to_numpy(), have.miss.to_numpy()
-            table = np.einsum("qd,mwd->mqw", q, data.value)
+            table, length = np.einsum("qd,mwd->mqw", q, data.value), (q * q).sum(axis=1)[:, None]
             dot = sum(table[m][:, codes[:, m]] for m in range(len(table)))
-            far = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] - 2 * dot + have.norm.to_numpy(), 0))
+            far = np.sqrt(np.maximum(length - 2 * dot + have.norm.to_numpy(), 0))
             slack = 1e-6 * (1 + far)
             other = qid[:, None] != xid[None, :]
-            upper = np.where(other, far + miss + slack, np.inf)
-            bound = np.partition(upper, k - 1, axis=1)[:, k - 1] if len(have) > k else np.full(len(ask), np.inf)
-            a, b = np.nonzero(other & (far - miss - slack <= bound[:, None]))
-            for i in range(0, len(a), 1 << 18):
-                out.append((qid[a[i : i + (1 << 18)]], xid[b[i : i + (1 << 18)]], exact_distance(q[a[i : i + (1 << 18)]], x[b[i : i + (1 << 18)]]), a[i : i + (1 << 18)]))
+            maybe = other & (far - miss - slack <= _kth(np.where(other, far + miss + slack, np.inf), k))
+            # Rerank on the original vectors: one product for all, then the exact sum for what could be among the k.
+            some = np.flatnonzero(maybe.any(axis=0))
+            norms = (x[some] * x[some]).sum(axis=1)
+            squares = length - 2 * q @ x[some].T + norms
+            squares[~maybe[:, some]] = np.inf
+            slack = 1e-9 * (1 + length + norms.max(initial=0))
+            a, b = np.nonzero(maybe[:, some] & ~(squares > _kth(squares, k) + slack))
+            out.append((qid[a], xid[some[b]], exact_distance(q[a], x[some[b]]), a))
         if not out:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         f = pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out]), "row": np.concatenate([o[3] for o in out])})
