@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..leaf import mvar
+from ..leaf import mvar, statespace
 
 PAIR = "subject bigint, src string, tgt string, start int, freq double, f_xy double, f_yx double, status string"
 
@@ -256,3 +256,93 @@ def under_resolved(bands: DataFrame, sw_ms: float, min_cycles: float = 2.0) -> D
     return bands.select("*", cycles.alias("cycles"), (cycles < min_cycles).alias("under_resolved"), (1000 * min_cycles / F.col("lo")).alias("min_window_ms"))
 
 
+
+
+def statespace_gc(c: DataFrame, win: int, step: int, order: int, freqs: list[float] | None = None, rate: float = 1.0) -> DataFrame:
+    """subject, start, src, tgt, freq, f, status: state-space GC of every ordered pair given all other channels, on every
+    window. Without ``freqs`` the time-domain measure, freq null. One group is one subject and window."""
+    span = c.groupBy("subject").agg(F.min("a").alias("t0"), F.max(F.col("a") + F.col("lag")).alias("t1"))
+    rows = c.join(span, "subject").withColumn("start", F.explode(F.sequence("t0", F.col("t1") - win + 1, F.lit(step)))).where((F.col("a") >= F.col("start")) & (F.col("a") + F.col("lag") < F.col("start") + win))
+    schema = "subject bigint, start int, src string, tgt string, freq double, f double, status string"
+
+    def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        names, out = sorted(g["ci"].unique()), []
+        try:
+            m = statespace.from_var(*mvar.lwr(_moments(g, names), int(g["n"].max()), order))
+            for s, t in ((s, t) for s in range(len(names)) for t in range(len(names)) if s != t):
+                if freqs is None:
+                    out.append((*key, names[s], names[t], None, statespace.time_gc(m, [s], [t]), "ok"))
+                else:
+                    out += [(*key, names[s], names[t], f, float(v), "ok") for f, v in zip(freqs, statespace.spectral_gc(m, [s], [t], np.array(freqs), rate), strict=True)]
+        except np.linalg.LinAlgError as e:
+            out.append((*key, None, None, None, None, str(e)[:60]))
+        return pd.DataFrame(out, columns=["subject", "start", "src", "tgt", "freq", "f", "status"])
+
+    return rows.groupBy("subject", "start").applyInPandas(fit, schema)
+
+
+def wavelet_csd(packed: DataFrame, freqs: list[float], rate: float, sw_ms: float, least_cycles: float = 3.0, step: int = 1) -> DataFrame:
+    """subject, ci, cj, freq, t, re, im, n: Morlet cross-spectra averaged over trials; cycles are max(f * sw / 1000, least).
+
+    Trials (subject, chans, xs) are transformed where they lie, and only sums of products leave a task.
+    """
+
+    def kernel(f: float) -> np.ndarray:
+        sd = max(f * sw_ms / 1000, least_cycles) / (2 * np.pi * f)
+        t = np.arange(-int(4 * sd * rate), int(4 * sd * rate) + 1) / rate
+        w = np.exp(2j * np.pi * f * t - t * t / (2 * sd * sd))
+        return w / np.sqrt((np.abs(w) ** 2).sum())
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kernels, sums = [kernel(f) for f in freqs], {}
+        for part in parts:
+            for row in part.itertuples(index=False):
+                x = np.array([np.asarray(v) for v in row.xs])
+                size = x.shape[1]
+                z = np.array([[np.convolve(s, k)[len(k) // 2 : len(k) // 2 + size][::step] for k in kernels] for s in x])
+                key = (row.subject, tuple(row.chans), size)
+                total = sums.setdefault(key, [0, 0])
+                total[0] = total[0] + np.einsum("ift,jft->ijft", z, z.conj())
+                total[1] += 1
+        for (subject, chans, _), (s, n) in sums.items():
+            i, j, f, t = (v.ravel() for v in np.indices(s.shape))
+            yield pd.DataFrame({"subject": subject, "ci": np.array(chans)[i], "cj": np.array(chans)[j], "freq": np.array(freqs)[f], "t": t * step, "re": s.real.ravel(), "im": s.imag.ravel(), "n": n})
+
+    sums = packed.mapInPandas(run, "subject bigint, ci string, cj string, freq double, t int, re double, im double, n bigint")
+    return sums.groupBy("subject", "ci", "cj", "freq", "t").agg((F.sum("re") / F.sum("n")).alias("re"), (F.sum("im") / F.sum("n")).alias("im"), F.sum("n").alias("n"))
+
+
+def gc_from_csd(csd: DataFrame, blocks: dict[str, list[str]], pairs: list[tuple[str, str]], order: int, rate: float) -> DataFrame:
+    """subject, src, tgt, t, freq, gc, dtrgc, status: block GC from cross-spectra at every time.
+
+    ``csd`` holds equally spaced frequencies. They give autocovariances by a cosine and sine sum, these a VAR and its
+    state-space GC between the channel blocks, on the data and reversed in time; dtrgc is the difference of net values.
+    """
+    spark = csd.sparkSession
+    edges = spark.createDataFrame([(s, t, sorted({*blocks[s], *blocks[t]})) for s, t in pairs], "src string, tgt string, chans array<string>")
+    rows = csd.join(F.broadcast(edges), F.array_contains("chans", F.col("ci")) & F.array_contains("chans", F.col("cj"))).drop("chans")
+    schema = "subject bigint, src string, tgt string, t int, freq double, gc double, dtrgc double, status string"
+
+    def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        subject, src, tgt, t = key
+        names = [*blocks[src], *[b for b in blocks[tgt] if b not in blocks[src]]]
+        at, freqs = {c: i for i, c in enumerate(names)}, np.sort(g["freq"].unique())
+        s = np.zeros((len(freqs), len(names), len(names)), complex)
+        s[np.searchsorted(freqs, g["freq"]), g["ci"].map(at), g["cj"].map(at)] = g["re"] + 1j * g["im"]
+        a, b = [at[c] for c in blocks[src]], [at[c] for c in blocks[tgt]]
+        try:
+            w = np.exp(2j * np.pi * np.outer(np.arange(order + 1), freqs) / rate)
+            cov = np.real(np.einsum("kf,fij->kij", w, s)) / len(freqs)
+            cov[0] += 1e-9 * np.trace(cov[0]) / len(names) * np.eye(len(names))
+            net, out = [], None
+            for g_ in (cov, np.swapaxes(cov, 1, 2)):
+                m = statespace.from_var(*statespace.var_from_autocovariance(g_))
+                f = statespace.spectral_gc(m, a, b, freqs, rate)
+                net.append(f - statespace.spectral_gc(m, b, a, freqs, rate))
+                out = f if out is None else out
+            rows_ = [(subject, src, tgt, t, float(x), float(v), float(d), "ok") for x, v, d in zip(freqs, out, net[0] - net[1], strict=True)]
+        except np.linalg.LinAlgError as e:
+            rows_ = [(subject, src, tgt, t, None, None, None, str(e)[:60])]
+        return pd.DataFrame(rows_, columns=["subject", "src", "tgt", "t", "freq", "gc", "dtrgc", "status"])
+
+    return rows.groupBy("subject", "src", "tgt", "t").applyInPandas(fit, schema)

@@ -5,7 +5,7 @@ import pytest
 import simulate
 from pyspark.sql import functions as F
 
-from esig.leaf import mvar
+from esig.leaf import mvar, statespace
 from esig.operators import condition
 from esig.operators import connectivity as G
 
@@ -117,3 +117,44 @@ def test_moments_of_windows_equal_raw_fits():
         a = mvar.lwr(c[s : s + w, s : s + w], 40, p)
         b = mvar.lwr(moments(x[:, :, s : s + w], p), 40, p)
         assert np.abs(a[0] - b[0]).max() < 1e-10 and np.abs(a[1] - b[1]).max() < 1e-10
+
+
+def test_statespace(spark):
+    direct = simulate.network(80, 300, [(0, 2, 0.5), (2, 1, 0.5)], n=3, seed=11)
+    c = G.packed_lag_products(simulate.packed(spark, direct), 4)
+    time = {(r.src, r.tgt): r.f for r in G.statespace_gc(c, 300, 300, 4).collect()}
+    assert time["a", "c"] > 0.1 and time["c", "b"] > 0.1 and time["a", "b"] < 0.01
+    freqs = [float(f) for f in np.linspace(0.25, 99.75, 200)]
+    spectral = G.statespace_gc(c, 300, 300, 4, freqs, 200.0).groupBy("src", "tgt").agg(F.avg("f").alias("f")).collect()
+    for r in spectral:
+        assert r.f == pytest.approx(time[r.src, r.tgt], rel=0.02, abs=0.003)
+
+
+def test_statespace_of_two_is_pairwise():
+    x = simulate.network(100, 120, [(0, 1, 0.4)], seed=12)
+    a, s = mvar.lwr(moments(x, 3), 100, 3)
+    m = statespace.from_var(a, s)
+    freqs = np.array([3.0, 20.0, 60.0])
+    assert np.allclose(statespace.spectral_gc(m, [0], [1], freqs, 200.0), mvar.geweke(a, s, freqs, 200.0)[0], atol=1e-8)
+
+
+def test_csd_gives_the_model_back(spark):
+    x, a1, a2, sigma = simulate.ar2(1, 10, seed=13)
+    a = np.array([a1, a2])
+    m = statespace.from_var(a, sigma)
+    freqs = np.arange(256) * 200.0 / 256
+    s = np.array([h @ sigma @ h.conj().T for h in mvar.transfer(a, freqs, 200.0)])
+    cov = np.real(np.einsum("kf,fij->kij", np.exp(2j * np.pi * np.outer(np.arange(9), freqs) / 200.0), s)) / 256
+    b, v = statespace.var_from_autocovariance(cov)
+    assert np.abs(b[:2] - a).max() < 1e-6 and np.abs(b[2:]).max() < 1e-6 and np.abs(v - sigma).max() < 1e-6
+    assert np.allclose(statespace.transfer(m, freqs[:5], 200.0), mvar.transfer(a, freqs[:5], 200.0))
+
+
+def test_wavelet_csd_peaks_at_the_common_rhythm(spark):
+    rng = np.random.default_rng(14)
+    t = np.arange(200) / 100
+    x = np.array([[np.sin(2 * np.pi * 10 * t + p) + 0.5 * rng.normal(size=200), np.sin(2 * np.pi * 10 * t + p - 0.5) + 0.5 * rng.normal(size=200)] for p in rng.uniform(0, 6, 30)])
+    out = G.wavelet_csd(simulate.packed(spark, x), [5.0, 10.0, 20.0], 100.0, 500.0).where("t = 100 AND ci = 'a' AND cj = 'b'").collect()
+    power = {r.freq: math.hypot(r.re, r.im) for r in out}
+    assert power[10.0] > 5 * max(power[5.0], power[20.0])
+    assert math.atan2(*[next((r.im, r.re) for r in out if r.freq == 10.0)][0]) == pytest.approx(0.5, abs=0.1)
