@@ -90,7 +90,7 @@ def interpolate(series: DataFrame, grid: DataFrame, keys: list[str], points: boo
     lo = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     hi = F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     found = rows.select(*keys, "t", "ask", lo.alias("lo"), hi.alias("hi")).where("ask = 1")
-    share = (F.col("t") - F.col("lo.t")) / (F.col("hi.t") - F.col("lo.t"))
+    share = F.try_divide(F.col("t") - F.col("lo.t"), F.col("hi.t") - F.col("lo.t"))
     x = F.when(F.col("lo.t") == F.col("t"), F.col("lo.x")).otherwise(F.col("lo.x") + share * (F.col("hi.x") - F.col("lo.x")))
     return found.select(*keys, F.col("t").alias("g"), x.alias("x"))
 

@@ -65,7 +65,7 @@ def lag_means(df: DataFrame, keys: tuple[str, ...] = ("subject",), chan: str = "
 def fit_var_ols(c: DataFrame, keys: tuple[str, ...] = ("subject",)) -> DataFrame:
     """Order-1 least-squares VAR of every channel pair src < tgt, in closed form from lag products.
 
-    keys, src, tgt, a11..a22 (x(t) = A x(t-1) + e), s11, s12, s22 (residual covariance).
+    keys, src, tgt, a11..a22 (x(t) = A x(t-1) + e), s11, s12, s22 (residual covariance); null where the lag products are singular.
     """
     later = F.col("lag") == 1
     pair = lambda i, j, on: F.sum(F.when((F.col("ci") == F.col(i)) & (F.col("cj") == F.col(j)) & on, F.col("c")))
@@ -82,8 +82,8 @@ def fit_var_ols(c: DataFrame, keys: tuple[str, ...] = ("subject",)) -> DataFrame
     )
     # r[i][j] = sum x_i(t) x_j(t-1): the later channel first, so ci is the earlier sample.
     det = F.col("p11") * F.col("p22") - F.col("p12") * F.col("p12")
-    a = {f"{i}{j}": v for i in (1, 2) for j, v in ((1, (F.col(f"r{i}1") * F.col("p22") - F.col(f"r{i}2") * F.col("p12")) / det), (2, (F.col(f"r{i}2") * F.col("p11") - F.col(f"r{i}1") * F.col("p12")) / det))}
-    s = {k: (F.col(f"q{k}") - a[f"{k[0]}1"] * F.col(f"r{k[1]}1") - a[f"{k[0]}2"] * F.col(f"r{k[1]}2")) / F.col("n") for k in ("11", "12", "22")}
+    a = {f"{i}{j}": F.try_divide(v, det) for i in (1, 2) for j, v in ((1, F.col(f"r{i}1") * F.col("p22") - F.col(f"r{i}2") * F.col("p12")), (2, F.col(f"r{i}2") * F.col("p11") - F.col(f"r{i}1") * F.col("p12")))}
+    s = {k: F.try_divide(F.col(f"q{k}") - a[f"{k[0]}1"] * F.col(f"r{k[1]}1") - a[f"{k[0]}2"] * F.col(f"r{k[1]}2"), F.col("n")) for k in ("11", "12", "22")}
     return m.select(*keys, "src", "tgt", *[v.alias(f"a{k}") for k, v in a.items()], *[v.alias(f"s{k}") for k, v in s.items()])
 
 
@@ -101,7 +101,7 @@ def transfer(model: DataFrame, freqs: DataFrame, rate: float) -> DataFrame:
     out = []
     for k, (p, sign) in place.items():
         r, i = sign * F.col(f"_re{p}"), sign * F.col(f"_im{p}")
-        out += [((r * F.col("_dr") + i * F.col("_di")) / size).alias(f"h{k}_re"), ((i * F.col("_dr") - r * F.col("_di")) / size).alias(f"h{k}_im")]
+        out += [F.try_divide(r * F.col("_dr") + i * F.col("_di"), size).alias(f"h{k}_re"), F.try_divide(i * F.col("_dr") - r * F.col("_di"), size).alias(f"h{k}_im")]
     return rows.select(*[c for c in rows.columns if not c.startswith("_")], *out)
 
 
@@ -131,10 +131,10 @@ def pairwise_gc(h: DataFrame) -> DataFrame:
 
     def measure(auto: str, noise: Column, hop: str) -> Column:
         power = c(f"h{hop}_re") * c(f"h{hop}_re") + c(f"h{hop}_im") * c(f"h{hop}_im")
-        v = F.log(c(auto) / (c(auto) - noise * power))
+        v = F.log(F.try_divide(c(auto), c(auto) - noise * power))
         return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(F.greatest(v, F.lit(0.0)))
 
-    return s.select("*", measure("p22", c("s11") - c("s12") * c("s12") / c("s22"), "21").alias("f_xy"), measure("p11", c("s22") - c("s12") * c("s12") / c("s11"), "12").alias("f_yx"))
+    return s.select("*", measure("p22", c("s11") - F.try_divide(c("s12") * c("s12"), c("s22")), "21").alias("f_xy"), measure("p11", c("s22") - F.try_divide(c("s12") * c("s12"), c("s11")), "12").alias("f_yx"))
 
 
 def net_gc(df: DataFrame, keys: list[str], value: str = "gc") -> DataFrame:

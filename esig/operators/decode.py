@@ -47,9 +47,9 @@ def select_k_best(df: DataFrame, keys: list[str], k: int, feature: str = "vertex
     """keys, feature, f, place of the k features with the largest ANOVA F, from per-class sums alone."""
     m = df.groupBy(*keys, feature, "y").agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(F.col(x) * F.col(x)).alias("q"))
     t = m.groupBy(*keys, feature).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"), F.count("*").alias("g"))
-    between = (F.col("b") - F.col("s") * F.col("s") / F.col("n")) / (F.col("g") - 1)
-    within = (F.col("q") - F.col("b")) / (F.col("n") - F.col("g"))
-    t = t.select(*keys, feature, F.round(between / within, 9).alias("f"))
+    between = F.try_divide(F.col("b") - F.col("s") * F.col("s") / F.col("n"), F.col("g") - 1)
+    within = F.try_divide(F.col("q") - F.col("b"), F.col("n") - F.col("g"))
+    t = t.select(*keys, feature, F.round(F.try_divide(between, within), 9).alias("f"))
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc_nulls_last("f"), feature))
     return t.withColumn("place", place).where(F.col("place") <= k)
 

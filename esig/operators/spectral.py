@@ -64,7 +64,7 @@ def power_ratio(df: DataFrame, keys: list[str], base: tuple[int, int], task: tup
     """keys, power_ratio (mean squares) and var_ratio of task over baseline samples."""
     inside = lambda w: F.when(F.col("t_idx").between(*w), F.col("x"))
     sq = lambda w: F.avg(inside(w) * inside(w))
-    return df.groupBy(*keys).agg((sq(task) / sq(base)).alias("power_ratio"), (F.var_pop(inside(task)) / F.var_pop(inside(base))).alias("var_ratio"))
+    return df.groupBy(*keys).agg(F.try_divide(sq(task), sq(base)).alias("power_ratio"), F.try_divide(F.var_pop(inside(task)), F.var_pop(inside(base))).alias("var_ratio"))
 
 
 def ccf_similarity(base: DataFrame, task: DataFrame, keys: list[str]) -> DataFrame:

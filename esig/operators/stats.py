@@ -26,7 +26,7 @@ def wilcoxon_greater(df: DataFrame, keys: list[str], value: str = "value", mu: C
     ranked = d.select("*", average_rank("a", *keys).alias("r"), F.count("*").over(Window.partitionBy(*keys, "a")).alias("c"))
     out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w"), F.sum(F.col("c") * F.col("c") - 1).alias("ties"))
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48
-    z = (F.col("w") - F.col("n") * (F.col("n") + 1) / 4) / F.sqrt(var)
+    z = F.try_divide(F.col("w") - F.col("n") * (F.col("n") + 1) / 4, F.sqrt(var))
     return out.select(*keys, "n", "w", normal_sf(z).alias("p"))
 
 
@@ -73,8 +73,8 @@ def permuted_t(df: DataFrame, keys: list[str], flips: DataFrame, value: str = "v
     """
     sq = df.groupBy(*keys, t).agg(F.sum(F.col(value) * F.col(value)).alias("ss"), F.count(value).alias("n"))
     signed = df.join(flips, "subject").groupBy(*keys, "perm", t).agg(F.sum(F.col(value) * F.col("sign")).alias("s"))
-    var = (F.col("ss") - F.col("s") * F.col("s") / F.col("n")) / (F.col("n") - 1)
-    return signed.join(sq, [*keys, t]).select(*keys, "perm", t, F.when(var > 0, F.col("s") / F.col("n") / F.sqrt(var / F.col("n"))).otherwise(0.0).alias("stat"))
+    var = F.try_divide(F.col("ss") - F.try_divide(F.col("s") * F.col("s"), F.col("n")), F.col("n") - 1)
+    return signed.join(sq, [*keys, t]).select(*keys, "perm", t, F.when(var > 0, F.try_divide(F.col("s") / F.col("n"), F.sqrt(var / F.col("n")))).otherwise(0.0).alias("stat"))
 
 
 def cluster_permutation(df: DataFrame, keys: list[str], threshold: float, permutations: int = 1024, value: str = "value", t: str = "ms", seed: int = 0) -> DataFrame:

@@ -62,7 +62,7 @@ def modal_choice(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def pooled_hyperparams(df: DataFrame, values: list[float], roi: str = "roi", value: str = "best_c") -> DataFrame:
     """Counts of each value per region, with a pooled row (region null), and the pooled row's share of each."""
     out = df.rollup(roi).agg(*[F.count(F.when(F.col(value) == v, 1)).alias(f"n_{i}") for i, v in enumerate(values)], F.count(value).alias("n"))
-    return out.select(roi, *[f"n_{i}" for i in range(len(values))], "n", *[(100 * F.col(f"n_{i}") / F.col("n")).alias(f"pct_{i}") for i in range(len(values))])
+    return out.select(roi, *[f"n_{i}" for i in range(len(values))], "n", *[F.try_divide(100 * F.col(f"n_{i}"), F.col("n")).alias(f"pct_{i}") for i in range(len(values))])
 
 
 def task_baseline_contrast(df: DataFrame, keys: list[str], base: tuple[float, float], task: tuple[float, float], value: str = "value", t: str = "ms") -> DataFrame:
@@ -90,14 +90,14 @@ def estimator_compare(df: DataFrame, keys: list[str], a: str = "a", b: str = "b"
     """Pearson and Spearman correlation, slope of b on a and ratio of means; null with fewer than 3 points."""
     rows = df.select(*keys, a, b, average_rank(a, *keys).alias("_ra"), average_rank(b, *keys).alias("_rb"))
     few = lambda c: F.when(F.count("*") > 2, c)
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), few(F.corr(a, b)).alias("pearson"), few(F.corr("_ra", "_rb")).alias("spearman"), few(F.regr_slope(b, a)).alias("slope"), (F.avg(b) / F.avg(a)).alias("scale"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), few(F.corr(a, b)).alias("pearson"), few(F.corr("_ra", "_rb")).alias("spearman"), few(F.regr_slope(b, a)).alias("slope"), F.try_divide(F.avg(b), F.avg(a)).alias("scale"))
 
 
 def pipeline_agreement(df: DataFrame, keys: list[str], a: str = "a", b: str = "b") -> DataFrame:
     """From per-trial correlations: mean r, mean |r|, shares below 0 and of |r| under 0.9; and the normalised RMS error."""
     r = df.groupBy(*keys, "epoch").agg(F.corr(a, b).alias("r"))
     out = r.groupBy(*keys).agg(F.avg("r").alias("mean_r"), F.avg(F.abs("r")).alias("mean_abs_r"), F.avg((F.col("r") < 0).cast("double")).alias("share_negative"), F.avg((F.abs("r") < 0.9).cast("double")).alias("share_low"))
-    err = df.groupBy(*keys).agg((F.sqrt(F.avg(F.pow(F.col(a) - F.col(b), 2))) / F.stddev_pop(a)).alias("nrmse"))
+    err = df.groupBy(*keys).agg(F.try_divide(F.sqrt(F.avg(F.pow(F.col(a) - F.col(b), 2))), F.stddev_pop(a)).alias("nrmse"))
     return out.join(err, keys)
 
 

@@ -49,19 +49,19 @@ _M = ", ".join(
 )
 VAR = f"""prs AS (SELECT DISTINCT a.subject, a.ci AS src, b.ci AS tgt FROM lp a JOIN lp b ON a.subject = b.subject AND a.ci < b.ci),
   mm AS (SELECT subject, src, tgt, {_M}, sum(n) FILTER (ci = src AND cj = src AND lag = 1) AS n FROM prs JOIN lp USING (subject) GROUP BY ALL),
-  av AS (SELECT *, (r11 * p22 - r12 * p12) / (p11 * p22 - p12 * p12) AS a11, (r12 * p11 - r11 * p12) / (p11 * p22 - p12 * p12) AS a12, (r21 * p22 - r22 * p12) / (p11 * p22 - p12 * p12) AS a21, (r22 * p11 - r21 * p12) / (p11 * p22 - p12 * p12) AS a22 FROM mm),
+  av AS (SELECT *, (r11 * p22 - r12 * p12) / nullif(p11 * p22 - p12 * p12, 0) AS a11, (r12 * p11 - r11 * p12) / nullif(p11 * p22 - p12 * p12, 0) AS a12, (r21 * p22 - r22 * p12) / nullif(p11 * p22 - p12 * p12, 0) AS a21, (r22 * p11 - r21 * p12) / nullif(p11 * p22 - p12 * p12, 0) AS a22 FROM mm),
   vr AS (SELECT subject, src, tgt, a11, a12, a21, a22, (q11 - a11 * r11 - a12 * r12) / n AS s11, (q12 - a11 * r21 - a12 * r22) / n AS s12, (q22 - a21 * r21 - a22 * r22) / n AS s22 FROM av)"""
 TR = f"""fz AS (SELECT vr.*, f.freq, cos(2 * pi() * freq / {RATE}) AS c, sin(2 * pi() * freq / {RATE}) AS s FROM vr CROSS JOIN (SELECT unnest(range(1, 16))::DOUBLE AS freq) f),
   de AS (SELECT *, (1 - a11 * c) * (1 - a22 * c) - a11 * s * a22 * s - (a12 * c * a21 * c - a12 * s * a21 * s) AS dr, (1 - a11 * c) * a22 * s + a11 * s * (1 - a22 * c) + a12 * c * a21 * s + a12 * s * a21 * c AS di FROM fz),
   tr AS (SELECT subject, src, tgt, freq, s11, s12, s22,
-    ((1 - a22 * c) * dr + a22 * s * di) / (dr * dr + di * di) AS h11_re, (a22 * s * dr - (1 - a22 * c) * di) / (dr * dr + di * di) AS h11_im,
-    (a12 * c * dr - a12 * s * di) / (dr * dr + di * di) AS h12_re, (-a12 * s * dr - a12 * c * di) / (dr * dr + di * di) AS h12_im,
-    (a21 * c * dr - a21 * s * di) / (dr * dr + di * di) AS h21_re, (-a21 * s * dr - a21 * c * di) / (dr * dr + di * di) AS h21_im,
-    ((1 - a11 * c) * dr + a11 * s * di) / (dr * dr + di * di) AS h22_re, (a11 * s * dr - (1 - a11 * c) * di) / (dr * dr + di * di) AS h22_im FROM de)"""
+    ((1 - a22 * c) * dr + a22 * s * di) / nullif(dr * dr + di * di, 0) AS h11_re, (a22 * s * dr - (1 - a22 * c) * di) / nullif(dr * dr + di * di, 0) AS h11_im,
+    (a12 * c * dr - a12 * s * di) / nullif(dr * dr + di * di, 0) AS h12_re, (-a12 * s * dr - a12 * c * di) / nullif(dr * dr + di * di, 0) AS h12_im,
+    (a21 * c * dr - a21 * s * di) / nullif(dr * dr + di * di, 0) AS h21_re, (-a21 * s * dr - a21 * c * di) / nullif(dr * dr + di * di, 0) AS h21_im,
+    ((1 - a11 * c) * dr + a11 * s * di) / nullif(dr * dr + di * di, 0) AS h22_re, (a11 * s * dr - (1 - a11 * c) * di) / nullif(dr * dr + di * di, 0) AS h22_im FROM de)"""
 SP = """sp AS (SELECT *, s11 * (h11_re * h11_re + h11_im * h11_im) + 2 * s12 * (h11_re * h12_re + h11_im * h12_im) + s22 * (h12_re * h12_re + h12_im * h12_im) AS p11,
   s11 * (h21_re * h21_re + h21_im * h21_im) + 2 * s12 * (h21_re * h22_re + h21_im * h22_im) + s22 * (h22_re * h22_re + h22_im * h22_im) AS p22,
   s11 * (h11_re * h21_re + h11_im * h21_im) + s12 * (h11_re * h22_re + h11_im * h22_im + h12_re * h21_re + h12_im * h21_im) + s22 * (h12_re * h22_re + h12_im * h22_im) AS p12_re FROM tr)"""
-GC = """gc AS (SELECT subject, src, tgt, freq, greatest(ln(p22 / (p22 - (s11 - s12 * s12 / s22) * (h21_re * h21_re + h21_im * h21_im))), 0) AS f_xy, greatest(ln(p11 / (p11 - (s22 - s12 * s12 / s11) * (h12_re * h12_re + h12_im * h12_im))), 0) AS f_yx FROM sp)"""
+GC = """gc AS (SELECT subject, src, tgt, freq, greatest(ln(p22 / nullif(p22 - (s11 - s12 * s12 / nullif(s22, 0)) * (h21_re * h21_re + h21_im * h21_im), 0)), 0) AS f_xy, greatest(ln(p11 / nullif(p11 - (s22 - s12 * s12 / nullif(s11, 0)) * (h12_re * h12_re + h12_im * h12_im), 0)), 0) AS f_yx FROM sp)"""
 CHAIN = (V.EVENTS_SIGNALS, CENTRED, LP.format(lag=1), VAR, TR, SP, GC)
 
 

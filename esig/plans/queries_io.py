@@ -55,12 +55,12 @@ def s5(spark, d):
     return S.read_results(spark, path, "roi string, ms int, value double, subject string").select("subject", "roi", "ms", "value")
 
 
-@query("s6_gc_runs", "SELECT user_id % 10 AS subject, event_type AS src, 'all' AS tgt, day(ts)::INTEGER AS ms, count(*) AS gc FROM events GROUP BY ALL")
+@query("s6_gc_runs", V.EVENTS_SIGNALS, "SELECT subject, roi AS src, 'all' AS tgt, t_idx AS ms, round(sum(x), 6) AS gc FROM sig GROUP BY ALL")
 def s6(spark, d):
-    e = V.table(spark, d, "events").groupBy((F.col("user_id") % 10).alias("subject"), F.col("event_type").alias("src"), F.lit("all").alias("tgt"), F.dayofmonth("ts").alias("ms")).agg(F.count("*").alias("gc"))
+    e = V.events_signals(spark, d).groupBy("subject", F.col("roi").alias("src"), F.lit("all").alias("tgt"), F.col("t_idx").alias("ms")).agg(F.sum("x").alias("gc"))
     path = S.scratch(spark, "runs")
     run = S.write_run(e, path, {"order": 10, "win_ms": 40.0})
-    return S.read_gc_group(spark.read.parquet(path).where(F.col("run_id") == run)).select("subject", "src", "tgt", "ms", "gc")
+    return rounded(S.read_gc_group(spark.read.parquet(path).where(F.col("run_id") == run)).select("subject", "src", "tgt", "ms", "gc"), "gc")
 
 
 @query("s8_discover_runs", V.LINEITEM_SWEEP, "SELECT classifier, sw_dur, count(DISTINCT subject) AS n_subjects, count(*) AS n_rows FROM swp GROUP BY ALL")

@@ -75,7 +75,7 @@ FLIPS = f"fl AS (SELECT s.subject, p.perm, CASE WHEN p.perm = 0 THEN 1.0::DOUBLE
 PT = f"""cen AS (SELECT subject, roi, ms, value - {MU} AS value FROM res WHERE ms <= 40),
   sq AS (SELECT roi, ms, sum(value * value) AS ss, count(*) AS n FROM cen GROUP BY ALL),
   sg AS (SELECT roi, perm, ms, sum(value * sign) AS s FROM cen JOIN fl USING (subject) GROUP BY ALL),
-  pt AS (SELECT roi, perm, ms, CASE WHEN v > 0 THEN s / n / sqrt(v / n) ELSE 0 END AS stat FROM (SELECT *, (ss - s * s / n) / (n - 1) AS v FROM sg JOIN sq USING (roi, ms)))"""
+  pt AS (SELECT roi, perm, ms, CASE WHEN v > 0 THEN s / n / sqrt(v / n) ELSE 0 END AS stat FROM (SELECT *, (ss - s * s / n) / nullif(n - 1, 0) AS v FROM sg JOIN sq USING (roi, ms)))"""
 CL = """isl AS (SELECT *, n - row_number() OVER (PARTITION BY roi, perm ORDER BY ms) AS i FROM (SELECT *, row_number() OVER (PARTITION BY roi, perm ORDER BY ms) AS n FROM pt) WHERE stat > 1.2),
   cl AS (SELECT roi, perm, min(ms) AS start, max(ms) AS "end", round(sum(stat), 9) AS mass FROM isl GROUP BY roi, perm, i),
   top AS (SELECT roi, perm, max(mass) AS top FROM cl GROUP BY ALL)"""
