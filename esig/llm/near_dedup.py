@@ -33,7 +33,7 @@ BANDS, ROWS = 42, 6
 #: Values of a signature, and of the part that is compared at a time; the bands use the first 252.
 HASHES, BATCH = 504, 42
 #: Chance at which a pair is given up after a signature batch.
-MISS = 1e-7
+MISS = 1e-6
 #: Rows of a block of a bucket: outside and inside the component of its hub.
 BLOCK, INNER_BLOCK = 256, 1024
 SIGNATURE_SCHEMA = "doc_id bigint, at bigint, t bigint, n bigint, s1 bigint, s2 bigint, sig binary, bands array<bigint>"
@@ -146,7 +146,7 @@ class _Texts:
         self.docs, self.nodes, self.have = docs, nodes, None
 
     def of(self, pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         if self.have is not None:
             wanted = wanted.join(self.have.select("node"), "node", "left_anti")
         wanted = stage_table(self.nodes.join(wanted, "node").select("node", F.col("doc_id").alias("d"), F.col("t").alias("w")), "near-wanted")
