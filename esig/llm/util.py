@@ -19,12 +19,16 @@ BLANK_CLASS = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+_LOCAL: list[str] = []
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a new local one only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; one new local folder per process only where that is unset (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="esig-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="esig-"))
+        base = _LOCAL[0]
     return base.rstrip("/")
 
 
