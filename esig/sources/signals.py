@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 SIGNALS = "subject bigint, task string, contrast string, epoch bigint, y int, chan int, t_idx int, t_s double, x double, roi string"
 
 
+_LOCAL: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder of ``spark.checkpoint.dir``; in a local one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="esig-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="esig-"))
+        base = _LOCAL[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
