@@ -328,17 +328,19 @@ def near_duplicates(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
 
 
 NEAR_SQL = r"""
-WITH RECURSIVE words AS (
+WITH RECURSIVE lists AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-         ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM words),
-shingles AS (SELECT doc_id, hash(unnest(s)) AS x FROM sets),
+words AS (SELECT doc_id, unnest(w) AS w, unnest(range(len(w))) AS p, len(w) AS n FROM lists),
+runs AS (
+  SELECT doc_id, n, p, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o) AS x
+  FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+shingles AS (SELECT DISTINCT doc_id, hash(x) AS x FROM runs WHERE p <= greatest(n - 5, 0)),
+sets AS (SELECT l.doc_id, count(x) AS s FROM lists l LEFT JOIN shingles USING (doc_id) GROUP BY l.doc_id),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
 links AS (
   SELECT a, b FROM common JOIN sets p ON p.doc_id = a JOIN sets q ON q.doc_id = b
-  WHERE 100 * n >= 85 * (len(p.s) + len(q.s) - n)),
+  WHERE 100 * n >= 85 * (p.s + q.s - n)),
 reach(a, b) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 roots AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
-SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, component_id = doc_id AS kept FROM sets JOIN roots USING (doc_id)
+SELECT doc_id, s AS n_shingles, component_id, component_id = doc_id AS kept FROM sets JOIN roots USING (doc_id)
 """
