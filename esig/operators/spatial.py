@@ -107,6 +107,30 @@ def epoch_summary(df: DataFrame, keys: tuple[str, ...] = ("subject", "roi", "epo
     return df.join(w, [*keys, "vertex"]).groupBy(*keys, "t_idx").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
 
 
+def pca_flip(df: DataFrame, flip: DataFrame, keys: tuple[str, ...] = ("subject", "roi", "epoch")) -> DataFrame:
+    """keys, t_idx, x: per trial the first right singular vector of vertices by samples, times the norm of the singular
+    values over the root of the number of vertices, with the sign of the leading vertex vector along ``flip``.
+
+    ``flip`` (roi, vertex, flip) gives each vertex its sign; vertices that it lacks count as 0, and so does the series
+    where they cancel or the trial is zero.
+    """
+    types = dict(df.dtypes)
+    head = ", ".join(f"{c} {types[c]}" for c in keys)
+
+    def solve(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        units, m = _square(g, "g")
+        v, power = leading(m)[0], float(np.trace(m))
+        top = float(v @ m @ v)
+        scale = np.sqrt(power / len(units) / top) if top > 0 else 0.0
+        return pd.DataFrame([(*key, u, float(v[n] * scale)) for n, u in enumerate(units)], columns=[*keys, "vertex", "w"])
+
+    w = gram(df, list(keys), "vertex", ("t_idx",)).groupBy(*keys).applyInPandas(solve, f"{head}, vertex {types['vertex']}, w double")
+    w = w.join(flip.select("roi", "vertex", "flip"), ["roi", "vertex"], "left")
+    along = F.sum(F.col("w") * F.coalesce("flip", F.lit(0.0))).over(Window.partitionBy(*keys))
+    w = w.select(*keys, "vertex", (F.col("w") * F.signum(F.round(along, 12))).alias("w"))
+    return df.join(w, [*keys, "vertex"]).groupBy(*keys, "t_idx").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+
+
 def orthogonalise(df: DataFrame, floor: float = 1e-10) -> DataFrame:
     """subject, epoch, roi, t_idx, x: per trial C^-1/2 D over regions, eigenvalues floored; one series per region."""
     types = dict(df.dtypes)

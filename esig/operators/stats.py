@@ -20,14 +20,30 @@ def ttest(df: DataFrame, keys: list[str], value: str = "value", mu: Column | flo
     return out.withColumn("p", F.when(F.col("t").isNotNull(), p)).drop("_mu")
 
 
-def wilcoxon_greater(df: DataFrame, keys: list[str], value: str = "value", mu: Column | float = 0.0) -> DataFrame:
-    """keys, n, w, p of the signed-rank test by the normal approximation with tie correction; zeros are dropped."""
+def signed_rank_tail(n: Column, w: Column) -> Column:
+    """P(W >= w) of the signed-rank sum of n untied values under equal chances of either sign.
+
+    Counts of subsets of 1..n by their sum grow by one rank at a time; the tail is taken from its symmetric end.
+    """
+    counts = F.aggregate(F.sequence(F.lit(1), n), F.array(F.lit(1.0)), lambda f, k: F.transform(F.sequence(F.lit(0), F.size(f) - 1 + k), lambda i: F.coalesce(F.get(f, i), F.lit(0.0)) + F.coalesce(F.get(f, i - k), F.lit(0.0))))
+    top = (n * (n + 1) / 2 - w + 1).cast("int")
+    return F.aggregate(F.slice(counts, F.lit(1), top), F.lit(0.0), lambda a, x: a + x) / F.pow(F.lit(2.0), n)
+
+
+def wilcoxon_greater(df: DataFrame, keys: list[str], value: str = "value", mu: Column | float = 0.0, exact_to: int = 0) -> DataFrame:
+    """keys, n, w, p of the signed-rank test by the normal approximation with tie correction; zeros are dropped.
+
+    Groups of at most ``exact_to`` values without ties get the exact p.
+    """
     d = df.select(*keys, (F.col(value) - mu).alias("d")).where("d <> 0").withColumn("a", F.abs("d"))
     ranked = d.select("*", average_rank("a", *keys).alias("r"), F.count("*").over(Window.partitionBy(*keys, "a")).alias("c"))
     out = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w"), F.sum(F.col("c") * F.col("c") - 1).alias("ties"))
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48
     z = F.try_divide(F.col("w") - F.col("n") * (F.col("n") + 1) / 4, F.sqrt(var))
-    return out.select(*keys, "n", "w", normal_sf(z).alias("p"))
+    p = normal_sf(z)
+    if exact_to:
+        p = F.when((F.col("n") <= exact_to) & (F.col("ties") == 0), signed_rank_tail(F.col("n").cast("int"), F.col("w"))).otherwise(p)
+    return out.select(*keys, "n", "w", p.alias("p"))
 
 
 def bonferroni(df: DataFrame, keys: list[str], p: str = "p") -> DataFrame:
@@ -43,10 +59,10 @@ def fdr_bh(df: DataFrame, keys: list[str], p: str = "p", tie: str = "ms") -> Dat
     return rows.withColumn("p_fdr", F.when(F.col(p).isNotNull(), F.least(F.min("_q").over(order.rowsBetween(0, Window.unboundedFollowing)), F.lit(1.0)))).drop("_q")
 
 
-def task_vs_baseline(df: DataFrame, keys: list[str], base: tuple[float, float], task: tuple[float, float], value: str = "value", t: str = "ms", alpha: float = 0.05, test: str = "t") -> DataFrame:
+def task_vs_baseline(df: DataFrame, keys: list[str], base: tuple[float, float], task: tuple[float, float], value: str = "value", t: str = "ms", alpha: float = 0.05, test: str = "t", exact_to: int = 0) -> DataFrame:
     """Every time of the task window against one scalar: the mean over baseline times of the mean over subjects.
 
-    Times outside the task keep null tests. Returns keys, t, mean, sem, n, baseline_mean, stat columns, p, sig.
+    Times outside the task keep null tests; ``exact_to`` is that of the signed-rank test. Returns keys, t, mean, sem, n, baseline_mean, stat columns, p, sig.
     """
     per_time = df.groupBy(*keys, t).agg(*mean_sem(value))
     floor = per_time.where(F.col(t).between(*base)).groupBy(*keys).agg(F.avg("mean").alias("baseline_mean"))
@@ -57,7 +73,7 @@ def task_vs_baseline(df: DataFrame, keys: list[str], base: tuple[float, float],
         rows = rows.withColumn("t", stat).withColumn("p", F.when(F.col("t").isNotNull(), t_sf(F.col("t"), F.col("n") - 1)))
     else:
         near = df.join(floor, keys).where(inside).withColumn("_d", F.col(value) - F.col("baseline_mean"))
-        rows = rows.join(wilcoxon_greater(near, [*keys, t], "_d").select(*keys, t, "p"), [*keys, t], "left")
+        rows = rows.join(wilcoxon_greater(near, [*keys, t], "_d", exact_to=exact_to).select(*keys, t, "p"), [*keys, t], "left")
     return rows.withColumn("sig", F.coalesce(F.col("p") < alpha, F.lit(False)))
 
 

@@ -47,6 +47,13 @@ def r4(spark, d):
     return spatial.epoch_summary(vertices(spark, d))
 
 
+@query("r5_pca_flip")
+def r5(spark, d):
+    v = vertices(spark, d)
+    flip = v.select("roi", "vertex").distinct().withColumn("flip", F.when(F.col("vertex") % 3 == 1, -1.0).otherwise(1.0))
+    return spatial.pca_flip(v, flip)
+
+
 @query("r6_orthogonalise")
 def r6(spark, d):
     return spatial.orthogonalise(spatial.epoch_summary(vertices(spark, d)))

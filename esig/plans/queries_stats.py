@@ -43,6 +43,15 @@ def t3(spark, d):
     return rounded(stats.wilcoxon_greater(V.orders_results(spark, d), ["roi", "ms"], mu=MU), "p")
 
 
+#: Counts of subsets of 1..n by their sum, as signed_rank_tail builds them.
+COUNTS = "cnt AS (SELECT * FROM (WITH RECURSIVE c AS (SELECT 0 AS n, [1.0::DOUBLE] AS f UNION ALL SELECT n + 1, [coalesce(f[i], 0) + CASE WHEN i > n + 1 THEN f[i - n - 1] ELSE 0 END FOR i IN range(1, len(f) + n + 2)] FROM c WHERE n < 50) SELECT * FROM c))"
+
+
+@query("t3_wilcoxon_exact", V.ORDERS_RESULTS, WIL, COUNTS, f"SELECT roi, ms, qq.n AS n, w, round(CASE WHEN qq.n <= 50 AND ties = 0 THEN list_sum(f[1:(qq.n * (qq.n + 1) // 2 - w + 1)::INTEGER]) / pow(2, qq.n) ELSE {_PHI} END, 6) AS p FROM qq LEFT JOIN cnt ON cnt.n = qq.n")
+def t3_exact(spark, d):
+    return rounded(stats.wilcoxon_greater(V.orders_results(spark, d), ["roi", "ms"], mu=MU, exact_to=50), "p")
+
+
 def tvb(a, b):
     return f"""pt AS (SELECT roi, ms, count(value) AS n, avg(value) AS mean, stddev_samp(value) / sqrt(count(value)) AS sem FROM res GROUP BY ALL),
   fl AS (SELECT roi, avg(mean) AS baseline_mean FROM pt WHERE ms BETWEEN {a[0]} AND {a[1]} GROUP BY roi),

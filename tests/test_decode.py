@@ -76,6 +76,32 @@ def test_first_component_recovers_a_latent_series(spark):
     assert w.groupby("pc")["w"].apply(lambda v: (v**2).sum()).to_numpy() == pytest.approx([1, 1])
 
 
+def test_flipped_summary_equals_the_decomposition(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3, 4, 30))
+    x[2] = 0
+    rows = [(1, "a", e, v, t, float(x[e, v, t])) for e in range(3) for v in range(4) for t in range(30)]
+    sign = np.array([1.0, -1.0, 1.0, -1.0])
+    flip = spark.createDataFrame([("a", v, float(sign[v])) for v in range(4)], "roi string, vertex int, flip double")
+    df = spark.createDataFrame(rows, "subject int, roi string, epoch int, vertex int, t_idx int, x double")
+    got = {(r.epoch, r.t_idx): r.x for r in spatial.pca_flip(df, flip).collect()}
+    for e in range(2):
+        u, s, v = np.linalg.svd(x[e], full_matrices=False)
+        want = np.sign(u[:, 0] @ sign) * np.linalg.norm(s) / 2 * v[0]
+        assert np.allclose([got[e, t] for t in range(30)], want)
+    assert all(got[2, t] == 0 for t in range(30))
+
+
+def test_exact_signed_ranks_equal_enumeration(spark):
+    values = [0.5, -1.5, 2.5, 3.5, -4.5, 6.0]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", v) for v in (1.0, 1.0, -1.0)] + [("c", float(v)) for v in range(1, 61)], "k string, value double")
+    got = {r.k: r.p for r in stats.wilcoxon_greater(df, ["k"], exact_to=50).collect()}
+    near = {r.k: r.p for r in stats.wilcoxon_greater(df, ["k"]).collect()}
+    sums = [sum(r for r in range(1, 7) if bits >> (r - 1) & 1) for bits in range(64)]
+    assert got["a"] == sum(s >= 1 + 3 + 4 + 6 for s in sums) / 64
+    assert got["b"] == near["b"] and got["c"] == near["c"]
+
+
 def test_orthogonalised_regions_are_orthonormal(spark):
     rng = np.random.default_rng(5)
     rows = [(0, e, r, t, float(v)) for e in range(3) for n, r in enumerate("abc") for t, v in enumerate(rng.normal(size=40) + n * np.sin(np.arange(40)))]
