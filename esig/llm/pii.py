@@ -33,6 +33,8 @@ WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 OPEN, CLOSE = "﷐", "﷑"
 ROUNDS = 3
 MIN_CONFIDENCE, MIN_SUPPORT = 0.9, 20
+#: Parts of a text whose lengths are summed together.
+SUM_BLOCK = 256
 SPAN = "struct<start:int,end:int,txt:string,ctx:string>"
 
 
@@ -41,9 +43,27 @@ def _parts(work: Column, pattern: str, gate: Column) -> Column:
     return F.when(gate, F.split(F.regexp_replace(work, f"({pattern})", f"{OPEN}$1{CLOSE}"), OPEN))
 
 
+def _sums(values: Column) -> Column:
+    """0 and the running sums of an array."""
+    return F.aggregate(values, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def _ends(parts: Column) -> Column:
+    """Running lengths of the parts, summed in blocks: appending to one array would cost the square of its length."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / SUM_BLOCK).cast("int")), lambda b: F.slice(parts, b * SUM_BLOCK + 1, SUM_BLOCK))
+    inner = F.transform(blocks, lambda block: _sums(F.transform(block, F.char_length)))
+
+    def joined(sums: Column) -> Column:
+        before = _sums(F.transform(sums, lambda s: F.element_at(s, -1)))
+        every = F.transform(F.array(before), lambda at: F.flatten(F.transform(sums, lambda s, b: F.transform(F.slice(s, 2, SUM_BLOCK), lambda x: x + F.get(at, b)))))
+        return F.concat(F.array(F.lit(0)), F.element_at(every, 1))
+
+    return F.element_at(F.transform(F.array(inner), joined), 1)
+
+
 def _spans(parts: Column) -> Column:
     """Matches of the cut text with code point offsets and the two words before them in lower case."""
-    ends = F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.char_length(p))))
+    ends = _ends(parts)
 
     def one(i: Column, at: Column) -> Column:
         txt = F.substring_index(F.get(parts, i), CLOSE, 1)
