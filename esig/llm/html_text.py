@@ -14,6 +14,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ from .util import text_chunks
 
 #: Pages that the potentials are trained on at most, besides the fixed ones.
 FIT_PAGES = 500
+#: Pages longer than this many characters aren't trained on; every page is extracted whole.
+FIT_CHARS = 200_000
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 #: Elements by their role in a page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -263,12 +266,14 @@ def extract_text(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
 
     Text is the main text: character references decoded, white space in a block made one space, blocks joined in
     page order by line feeds; empty if there is none, as for a null or empty page. Repeated rows give equal results.
-    Other columns are not read. At most ``fit_pages`` pages, in order of a hash, train the model.
+    Other columns are not read. At most ``fit_pages`` pages of at most ``FIT_CHARS`` characters, in order of a hash, train the model.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    named = rows.where(F.col("html").isNotNull() & F.lower(F.substring("html", 1, 4000)).rlike(r"<(article|main)\b|articlebody|role=.?main"))
+    low = rows.where(F.length("html") <= FIT_CHARS).withColumn("low", F.lower("html"))
+    marks = ("<article", "<main", "articlebody", "role=main", 'role="main', "role='main")
+    named = low.where(reduce(lambda a, b: a | b, [F.col("low").contains(m) for m in marks]))
     ids = named.select("page_id", F.xxhash64("html").alias("h")).distinct().orderBy(F.xxhash64("page_id", "h"), "page_id").limit(fit_pages)
-    sample = rows.withColumn("h", F.xxhash64("html")).join(F.broadcast(ids), ["page_id", "h"]).select("page_id", "h", F.substring("html", 1, 200_000).alias("html"))
+    sample = rows.withColumn("h", F.xxhash64("html")).join(F.broadcast(ids), ["page_id", "h"]).select("page_id", "h", "html")
     model = pages.sparkSession.sparkContext.broadcast(train([r["html"] for r in sorted(sample.collect(), key=lambda r: (r["page_id"], r["h"]))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
