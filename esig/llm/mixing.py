@@ -82,10 +82,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     """
     plan = plan_mix(docs, weights, cap, seed).where("copies > 0")
     plan = plan.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    size = word_count(F.col("text").cast("string"))
-    rows = docs.withColumn("_z0", size).join(plan.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_z0") == F.col("_z")))
+    rows = docs.select(F.struct("*").alias("row"))  # packed, so that no name of a column can clash
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("_d")) & F.col("row.source").cast("string").eqNullSafe(F.col("_s")) & (word_count(F.col("row.text").cast("string")) == F.col("_z"))
     each = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), each))).select(*docs.columns)
+    return rows.join(plan.hint("shuffle_hash"), same).select("row", F.explode(F.sequence(F.lit(1), each))).select("row.*")
 
 
 MIX_SQL = r"""

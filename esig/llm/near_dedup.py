@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from .util import stage_table, text_chunks
 
 WORDS = 5
-LINK = (85, 100)
+#: Similarity from which documents are linked, as a fraction.
+LINK = (80, 100)
 BANDS, ROWS = 42, 6
 #: Values of a signature, and of the part that is compared at a time; the bands use the first 252.
 HASHES, BATCH = 504, 42
@@ -286,8 +287,9 @@ def keep_one(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     Equal rows are one document: all of them stay or go.
     """
     gone = near_duplicates(docs, link).where(~F.col("kept")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("_t"))
-    return docs.join(stage_table(gone, "near-gone").hint("shuffle_hash"), same, "left_anti")
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("_d")) & F.xxhash64(F.col("row.text").cast("string")).eqNullSafe(F.col("_t"))
+    rows = docs.select(F.struct("*").alias("row"))  # packed, so that no name of a column can clash
+    return rows.join(stage_table(gone, "near-gone").hint("shuffle_hash"), same, "left_anti").select("row.*")
 
 
 def near_duplicates(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:

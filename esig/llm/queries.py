@@ -28,7 +28,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), link=(85, 100)).drop("text_hash")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def near_dups(docs):
+def near_dups(docs, percent=80):
     """[(doc_id, text)] -> {doc_id: (n_shingles, component_id)}"""
     sets, root = {i: shingles(t) for i, t in docs}, {i: i for i, _ in docs}
 
@@ -47,7 +47,7 @@ def near_dups(docs):
     for n, a in enumerate(ids):
         for b in ids[n + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: (len(sets[i]), find(i)) for i in ids}

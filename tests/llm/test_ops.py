@@ -68,11 +68,13 @@ def test_line_dedup_edges(spark, none):
 
 
 # 3 -----------------------------------------------------------------------------------------------------------------
-def test_near_duplicates(docs, rows):
-    want = brute.near_dups([r[:2] for r in rows])
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates(docs, rows, percent):
+    link, want = (percent, 100), brute.near_dups([r[:2] for r in rows], percent)
+    docs = docs.withColumns({"_d": F.lit(1), "_t": F.lit(None), "row": F.lit("x")})
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs, link).collect()}
     assert got == want
-    kept = near_dedup.keep_one(docs)
+    kept = near_dedup.keep_one(docs, link)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, x in want.items() if x[1] == i)
 
@@ -87,14 +89,15 @@ def test_near_duplicates_chain_and_edges(spark, none):
             words[p] = f"w{rng.randrange(10**6)}"
         texts.append(" ".join(words))
     data = [(i, t) for i, t in enumerate(texts)] + [(100, None), (101, ""), (102, texts[5].upper()), (102, texts[5].upper())]
-    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string")).collect()}
-    want = {i: x[1] for i, x in brute.near_dups([d for d in data if d[0] < 102 or d[0] == 102]).items()}
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(data, "doc_id bigint, text string"), (85, 100)).collect()}
+    want = {i: x[1] for i, x in brute.near_dups([d for d in data if d[0] < 102 or d[0] == 102], 85).items()}
     assert got == want
 
 
-def test_posterior_bounds_keep_true_pairs():
-    for n, least in near_dedup.posterior_bounds(0.85):
-        tail = sum(math.comb(n + 1, m) * 0.85**m * 0.15 ** (n + 1 - m) for m in range(least))
+@pytest.mark.parametrize("s", [0.8, 0.85])
+def test_posterior_bounds_keep_true_pairs(s):
+    for n, least in near_dedup.posterior_bounds(s):
+        tail = sum(math.comb(n + 1, m) * s**m * (1 - s) ** (n + 1 - m) for m in range(least))
         assert tail < near_dedup.MISS
 
 
@@ -123,7 +126,10 @@ def test_mixing(docs, rows, none):
         assert abs(taken[s] - target[s]) <= 3 * max(r.size for r in plan if r.source == s)
     again = {(r.doc_id, r.copies) for r in mixing.plan_mix(docs.repartition(3)).collect()}
     assert again == {(r.doc_id, r.copies) for r in plan}
-    copies = Counter(r.doc_id for r in mixing.mix(docs).select("doc_id").collect())
+    clash = docs.withColumns({c: F.lit("x") for c in ("_d", "_s", "_z", "_copies", "_rows", "row", "col", "copies")})
+    mixed = mixing.mix(clash)
+    assert mixed.columns == clash.columns
+    copies = Counter(r.doc_id for r in mixed.select("doc_id").collect())
     assert copies == Counter({r.doc_id: r.copies for r in plan if r.copies})
 
 
@@ -132,7 +138,7 @@ def test_base_spans(spark, rows):
     rng = random.Random(5)
     bits = ["1", "23", "255", "256", ".", "@", "a", "b.c", "-", " ", "+", "+1 ", "(", "4111 1111 1111 1111", "\n", "é", "a@b.co", "1.2.3.4", "x_y", "%", "﷐", "4417744280351547"]
     texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 40))) for _ in range(600)]
-    texts += [None, "", "1" * 20000, "a" * 20000, "+1" + "(" * 20000, "1 " * 10000, "a@" * 9000, "1." * 9000, *[r[1] for r in rows]]
+    texts += [None, "", "1" * 20000, "a" * 20000, "+1" + "(" * 20000, "1 " * 10000, "a@" * 9000, "a@b.co 1.2.3.4 +1 555 010 2222 " * 700, "1." * 9000, *[r[1] for r in rows]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.s for r in pii.base_spans(df).select("doc_id", pii.span_text(F.col("base")).alias("s")).collect()}
     for i, t in enumerate(texts):
