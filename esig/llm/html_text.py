@@ -31,13 +31,18 @@ SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 #: Elements by their role in a page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead tr ul".split())
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption hr".split())
-SKIPPED = "script|style|textarea|title|noscript|template|iframe|svg|math|object|select|button|canvas|audio|video"
+#: Elements whose content is no text of the page: of the raw ones nothing but their own close is markup.
+RAW = frozenset("script style textarea title".split())
+FOREIGN = frozenset("svg math".split())
+SKIPPED = FOREIGN | frozenset("noscript template iframe object select button canvas audio video".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDS_P = BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 FENCES = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 AWAY = re.compile(r"\b(nav|navbar|navigation|menu|header|masthead|topbar|footer|bottom|sidebar|side|aside|ad|ads|advert|advertisement|adverts|banner|sponsor|sponsored|promo|cookie|cookies|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|form|share|sharing|social|related|recommended|more|breadcrumb|breadcrumbs|pagination|pager|tags|meta|byline|comment|comments|respond|reply|replies|discussion|disqus|widget|toolbar|copyright|legal|skip)\b")
 TOWARD = re.compile(r"\b(article|content|post|entry|story|text|main|body|articlebody|hentry|prose)\b")
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<({SKIPPED})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|([^<]++|<)", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|([^<]++|<)", re.S | re.I)
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for t in RAW}
 NAMES = re.compile(r"""\b(?:class|id|role|itemprop|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[_\-\s]+")
 
@@ -63,6 +68,78 @@ class Node:
         self.words = self.linked = self.stops = self.kids = self.below = self.below_linked = 0
 
 
+def tokenize(page: str) -> Iterator[tuple[bool, str, str, str | None]]:
+    """(closes, tag, attributes, None) of every tag and (False, "", "", text) of every text between them.
+
+    Raw elements give nothing: they end at their own close or else at the end of the page, and inside svg and math
+    also where they close themselves.
+    """
+    at, foreign = 0, False
+    while m := TOKEN.match(page, at):
+        at = m.end()
+        if m[4] is not None:
+            yield False, "", "", m[4]
+        elif m[2] is not None:
+            shut, tag = bool(m[1]), m[2].lower()
+            if tag in FOREIGN:
+                foreign = not shut and not m[3].endswith("/")
+            elif tag in BLOCKS:
+                foreign = False
+            if tag not in RAW:
+                yield shut, tag, m[3], None
+            elif not shut and not (foreign and m[3].endswith("/")):
+                end = RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
+
+
+def skip_ends(tokens: list[tuple[bool, str, str, str | None]]) -> dict[int, tuple[int, bool]]:
+    """By the place of each opening tag of ``SKIPPED``: the place where it ends, and whether its own close stands there.
+
+    One that isn't closed ends with its parent. An svg or math that closes itself holds nothing.
+    """
+    ends: dict[int, tuple[int, bool]] = {}
+    if not any(tag in SKIPPED for _, tag, _, _ in tokens):
+        return ends
+    opened: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+    foreign = 0
+    for i, (shut, tag, attributes, text) in enumerate(tokens):
+        if text is not None or tag in VOID:
+            continue
+        if not shut:
+            if not (attributes.endswith("/") and (foreign or tag in FOREIGN)):
+                opened.append((tag, i))
+                count[tag] = count.get(tag, 0) + 1
+                foreign += tag in FOREIGN
+        elif count.get(tag):
+            own = False
+            while not own:
+                name, j = opened.pop()
+                own = name == tag
+                count[name] -= 1
+                foreign -= name in FOREIGN
+                if name in SKIPPED:
+                    ends[j] = i, own
+    ends.update((j, (len(tokens), False)) for name, j in opened if name in SKIPPED)
+    return ends
+
+
+def after_skip(tokens: list[tuple[bool, str, str, str | None]], ends: dict[int, tuple[int, bool]], at: int) -> int:
+    """Place behind the skipped element that opens at ``at``; if it isn't closed, the next block ends it too."""
+    end, own = ends[at]
+    if own:
+        return end + 1
+    at += 1
+    while at < end:
+        shut, tag, _, _ = tokens[at]
+        if at in ends and ends[at][1]:
+            at = ends[at][0]
+        elif tag in BLOCKS and tag != "optgroup" and not shut:
+            break
+        at += 1
+    return at
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements in page order, parents first, and the text blocks (element, text) in page order.
 
@@ -97,24 +174,28 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             flush()
             del stack[at:]
 
-    for m in TOKEN.finditer(page):
-        text = m[5]
+    tokens = list(tokenize(page))
+    ends = skip_ends(tokens)
+    at = 0
+    while at < len(tokens):
+        shut, tag, attributes, text = tokens[at]
+        at += 1
         if text is not None:
             text = html.unescape(text) if "&" in text else text
             buffer.append(text)
             if anchors:
                 linked += len(text.split())
             continue
-        if m[3] is None:
+        if at - 1 in ends:
+            at = after_skip(tokens, ends, at - 1)
             continue
-        tag = m[3].lower()
         if tag == "a":
-            anchors = 0 if m[2] else 1
+            anchors = 0 if shut else 1
         elif tag in ("br", "img", "input", "wbr"):
             buffer.append(" ")
         elif tag in BLOCKS and tag not in ("html", "body"):
             anchors = 0 if tag != "li" else anchors
-            if m[2]:
+            if shut:
                 _close_last(nodes, stack, tag, flush)
                 continue
             if tag in ENDS_P:
@@ -123,7 +204,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 close_until(SIBLINGS[tag], FENCES[tag])
             flush()
             names, label = [], -1
-            for x in NAMES.finditer(m[4]):
+            for x in NAMES.finditer(attributes):
                 value = x[1] or x[2] or x[3] or ""
                 if x[0][:10].lower() == "data-label":
                     label = int(value) if value in ("0", "1") else -1

@@ -222,6 +222,24 @@ def test_html(spark):
     assert html_text.extract_text(df.where("page_id > 9")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<article><p>one</p><video-player id=x></video-player><p>two</p></article>", ["one", "two"]),
+        ("<p>one <svg class=i/> two</p><p>three</p>", ["one two", "three"]),
+        ("<p>one <svg class=i> two</p><p>three</p>", ["one", "three"]),
+        ("<div><p>one</p><button>Buy</div><p>two</p>", ["one", "two"]),
+        ("<p>one <span><select><option>x</span> two</p><object>", ["one two"]),
+        ("<p>one <math/> two<audio src=x><p>three", ["one two", "three"]),
+        ("<p>one <svg><title/><g/><text>x</text></svg> two</p>", ["one two"]),
+        ("<p>one <button>x<div>y</div></button> two</p>", ["one two"]),
+        ("<p>one</p><script>var x = '<p>y</p>'", ["one"]),
+    ],
+)
+def test_html_skips_end(page, want):
+    assert [t for _, t in html_text.parse(page)[1]] == want
+
+
 def test_marginals_equal_enumeration():
     model = html_text.train([])
     for page in (*html_text.LABELLED_PAGES[:2], PAGE):
