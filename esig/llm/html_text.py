@@ -143,18 +143,24 @@ def after_skip(tokens: list[tuple[bool, str, str, str | None]], ends: dict[int,
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements in page order, parents first, and the text blocks (element, text) in page order.
 
-    Node 0 stands for the page. Elements that HTML closes by implication are closed; inline elements only mark links.
+    Node 0 stands for the page. Each run of text directly in it is a paragraph of its own, unless the page has no
+    block element at all. Elements that HTML closes by implication are closed; inline elements only mark links.
     """
     nodes, pieces, stack = [Node("body", -1, "", -1)], [], [0]
     buffer: list[str] = []
     linked = anchors = 0
 
-    def flush() -> None:
+    def flush(last: bool = False) -> None:
         nonlocal linked
         text = " ".join("".join(buffer).split())
         if text:
-            n = nodes[stack[-1]]
-            pieces.append((stack[-1], text))
+            here = stack[-1]
+            if here == 0 and not (last and len(nodes) == 1):
+                nodes[0].kids += 1
+                here = len(nodes)
+                nodes.append(Node("p", 0, "", -1))
+            n = nodes[here]
+            pieces.append((here, text))
             count = text.count(" ") + 1
             n.words += count
             n.linked += min(linked, count)
@@ -214,7 +220,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             nodes.append(Node(tag, stack[-1], " ".join(CAMEL.split(" ".join(names))).lower(), label))
             if tag != "hr":
                 stack.append(len(nodes) - 1)
-    flush()
+    flush(last=True)
     for n in reversed(nodes[1:]):
         n.below += n.words
         n.below_linked += n.linked

@@ -240,6 +240,15 @@ def test_html_skips_end(page, want):
     assert [t for _, t in html_text.parse(page)[1]] == want
 
 
+def test_html_text_directly_in_body():
+    model = html_text.train([])
+    long = "The first part of the story is told here, and it takes more than a few words to tell it well."
+    assert model.text(f"<body><h1>Title</h1>{long}<br><br>Second part.<hr>The third part ends the story, as all stories end.").endswith(f"{long} Second part.\nThe third part ends the story, as all stories end.")
+    assert model.text(f"<body><p>{long}<div class=ad>Buy now</div>{long}") == f"{long}\n{long}"
+    assert model.text(f"<body><nav><a>Home</a></nav>{long}<footer>Imprint</footer>") == long
+    assert model.text("just text") == "just text"
+
+
 def test_marginals_equal_enumeration():
     model = html_text.train([])
     for page in (*html_text.LABELLED_PAGES[:2], PAGE):
