@@ -15,8 +15,6 @@ from .util import BLANK_CLASS, BLANKS, stage_table
 
 #: Hash buckets of each kind of n-gram.
 BUCKETS = 1 << 14
-#: The target multinomial is fitted on at most so many trusted documents; raw counts cover the whole corpus.
-TARGET_DOCS = 20_000
 THRESHOLD = -0.35
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -73,11 +71,17 @@ def ngrams(docs: DataFrame, *more: Column) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "z"], word.alias("b1"), (BUCKETS + F.pmod(F.xxhash64(edge), F.lit(BUCKETS))).cast("int").alias("b2"))
 
 
-def fit_weights(docs: DataFrame, labels: DataFrame, target_docs: int = TARGET_DOCS) -> DataFrame:
-    """b, w: log ratio of target to raw probability of every bucket that occurs, add-one smoothed."""
+def fit_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """b, w: log ratio of target to raw probability of every bucket that occurs, add-one smoothed.
+
+    The target counts cover all trusted documents, the raw counts the whole corpus.
+    """
     trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    trusted = trusted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(target_docs)
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(trusted.withColumn("hit", F.lit(1))), "doc_id", "left")
+    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text").bitwiseOR(F.lit(1))).otherwise(F.lit(0))  # null ids match nothing and must not meet in one task
+    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    marked = marked.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("id"), spread.alias("part"))
+    trusted = trusted.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("part"), F.lit(1).alias("hit"))
+    marked = marked.join(trusted.hint("shuffle_hash"), ["id", "part"], "left")  # at every size the same plan
     grams = ngrams(marked, F.coalesce("hit", F.lit(0)).alias("hit"))
     counts = grams.select("hit", F.explode(F.array("b1", "b2")).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("hit").alias("target"))
     counts = stage_table(counts, "rules-counts")
@@ -88,7 +92,7 @@ def fit_weights(docs: DataFrame, labels: DataFrame, target_docs: int = TARGET_DO
     return stage_table(both.select("b", ratio.alias("w")), "rules-weights")
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, target_docs: int = TARGET_DOCS) -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, the base measures, base_failed, score and kept for every row of ``docs`` (doc_id, text).
 
     ``labels`` (doc_id, quality) names the trusted documents by quality 1. The score is rounded to 9 places before it
@@ -96,7 +100,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
     the base rules, as any text under 50 words; without trusted documents every bucket has the ratio of the
     smoothing alone. Repeated rows get equal results. Other columns are not read.
     """
-    weights = fit_weights(docs, labels, target_docs)
+    weights = fit_weights(docs, labels)
     base = stage_table(base_rules(docs), "rules-base")
     one, two = weights.select(F.col("b").alias("b1"), F.col("w").alias("w1")), weights.select(F.col("b").alias("b2"), F.col("w").alias("w2"))
     grams = ngrams(docs).join(F.broadcast(one), "b1").join(F.broadcast(two), "b2")

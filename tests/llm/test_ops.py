@@ -186,6 +186,18 @@ def test_quality_score_is_the_mean_log_ratio(spark):
     assert min(score[i] for i, _ in good) > max(score[i] for i, _ in bad)
 
 
+def test_quality_target_counts_every_trusted_document(spark):
+    """Where all documents are trusted, target and raw are the same."""
+    n = F.col("id")
+    texts = F.concat_ws(" ", F.concat(F.lit("w"), n % 7919), F.concat(F.lit("v"), n % 101))
+    df = spark.range(25_000).select(n.alias("doc_id"), texts.alias("text"))
+    weights = quality_rules.fit_weights(df, df.select("doc_id", F.lit(1).alias("quality"))).collect()
+    assert len(weights) > 1000 and all(r.w == 0.0 for r in weights)
+    lost = df.unionByName(df.select(F.lit(None).cast("long").alias("doc_id"), "text"))
+    weights = quality_rules.fit_weights(lost, df.select("doc_id", F.lit(1).alias("quality"))).agg(F.max(F.abs("w"))).first()[0]
+    assert 0 < weights < 1
+
+
 # 7 -----------------------------------------------------------------------------------------------------------------
 def test_quality_model(spark, none, labels):
     rng = random.Random(6)
