@@ -55,37 +55,44 @@ def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     ``cap``. Equal rows are told apart by order only, so reruns return the same rows. Other columns are not read.
     """
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    return _plan(sizes, weights, cap, seed)
+
+
+def _plan(sizes: DataFrame, weights: tuple[int, ...], cap: int, seed: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """The plan of rows (doc_id, source, size) and the columns ``more``, which order rows that are equal in these."""
     sizes = stage_table(sizes, "mix-sizes")
     targets = stage_table(source_targets(sizes, weights, cap), "mix-targets")
-    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id")]
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("doc_id"), *map(F.col, more)]
+    parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = stage_table(sizes.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "mix-order")
     part = F.shiftright("at", 33)
     blocks = ranged.groupBy(part.alias("p"), F.col("source").alias("s")).agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     blocks = stage_table(blocks.select("p", "s", "first_at", before.alias("before")), "mix-blocks")
     ranked = ranged.join(blocks, (part == F.col("p")) & F.col("source").eqNullSafe(F.col("s")))
-    ranked = ranked.select("doc_id", "source", "size", (F.col("before") + F.col("at") - F.col("first_at") + 1).alias("rank"))
+    ranked = ranked.select("doc_id", "source", "size", *more, (F.col("before") + F.col("at") - F.col("first_at") + 1).alias("rank"))
     t = targets.select(F.col("source").alias("s"), "source_size", "target")
     rows = ranked.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     digest = F.md5(F.concat(F.lit(seed), F.when(F.col("source").isNull(), "?").otherwise(F.concat(F.lit(":"), F.col("source")))))
     offset = F.conv(F.substring(digest, 1, 5), 16, 10).cast("double") / 1048576.0
     crossed = F.floor(offset + each * F.col("rank")) - F.floor(offset + each * (F.col("rank") - 1))
-    return rows.select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.lit(cap)).cast("long").alias("copies"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", F.least(crossed, F.lit(cap)).cast("long").alias("copies"), *more)
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """``docs`` with each row as often as its mix takes it, all columns kept.
 
-    Copies are planned by row; rows that share doc_id, source and size share the copies planned for them.
+    Copies are planned by row; rows that share doc_id, source and size are told apart by their texts, and equal rows
+    by order.
     """
-    plan = plan_mix(docs, weights, cap, seed).where("copies > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    rows = docs.select(F.struct("*").alias("row"))  # packed, so that no name of a column can clash
-    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("_d")) & F.col("row.source").cast("string").eqNullSafe(F.col("_s")) & (word_count(F.col("row.text").cast("string")) == F.col("_z"))
-    each = F.ceil(F.col("_copies") / F.col("_rows")).cast("int")
-    return rows.join(plan.hint("shuffle_hash"), same).select("row", F.explode(F.sequence(F.lit(1), each))).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("row_at"))  # packed, so that no name of a column can clash
+    rows = stage_table(rows, "mix-rows")
+    text = F.col("row.text").cast("string")
+    sizes = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.source").cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("text_hash"), "row_at")
+    plan = _plan(sizes, weights, cap, seed, ("text_hash", "row_at")).where("copies > 0").select("row_at", "copies")
+    each = F.sequence(F.lit(1), F.col("copies").cast("int"))
+    return rows.join(plan.hint("shuffle_hash"), "row_at").select("row", F.explode(each)).select("row.*")
 
 
 MIX_SQL = r"""

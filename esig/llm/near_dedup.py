@@ -282,14 +282,16 @@ def _cross(members: DataFrame, nodes: DataFrame, roots: DataFrame, link: tuple[i
 
 
 def keep_one(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
-    """The rows of ``docs``, all columns kept, whose document is the one that stays of its group.
+    """One row of each group of ``docs``, all columns kept: of the rows with the smallest doc_id, null last, the first.
 
-    Equal rows are one document: all of them stay or go.
+    Groups are those of ``near_duplicates``, so repeated rows are a group too; rows without shingles all stay.
     """
-    gone = near_duplicates(docs, link).where(~F.col("kept")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
-    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("_d")) & F.xxhash64(F.col("row.text").cast("string")).eqNullSafe(F.col("_t"))
-    rows = docs.select(F.struct("*").alias("row"))  # packed, so that no name of a column can clash
-    return rows.join(stage_table(gone, "near-gone").hint("shuffle_hash"), same, "left_anti").select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at"))  # packed, so that no name of a column can clash
+    rows = stage_table(rows, "near-rows")
+    judged = _judged(rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").cast("string").alias("text"), "at"), link)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at"))["at"]
+    kept = judged.groupBy(F.coalesce("root", "at").alias("group"), F.col("root").isNull().alias("alone")).agg(first.alias("at"))
+    return rows.join(stage_table(kept.select("at"), "near-stay").hint("shuffle_hash"), "at", "left_semi").select("row.*")
 
 
 def near_duplicates(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
@@ -301,7 +303,14 @@ def near_duplicates(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
     columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("at"), F.xxhash64("text").alias("t"), "text").mapInArrow(_sign, SIGNATURE_SCHEMA)
+    out = _judged(docs.withColumn("at", F.monotonically_increasing_id()), link)
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("t").alias("text_hash"))
+
+
+def _judged(docs: DataFrame, link: tuple[int, int]) -> DataFrame:
+    """doc_id, at, n, t, component_id and root of every row of ``docs`` (doc_id, text, at); root names the row's group, null without shingles."""
+    rows = docs.select("doc_id", "at", F.xxhash64("text").alias("t"), "text").mapInArrow(_sign, SIGNATURE_SCHEMA)
     rows = stage_table(rows, "near-signatures")
     classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("at").alias("node"), F.min("doc_id").alias("low"))
     classes = stage_table(classes, "near-classes")
@@ -323,10 +332,8 @@ def near_duplicates(docs: DataFrame, link: tuple[int, int] = LINK) -> DataFrame:
 
     ids = classes.join(roots, "node", "left").select("s1", "s2", "low", F.coalesce("root", "node").alias("root"))
     lowest = ids.groupBy("root").agg(F.min("low").alias("component_id"))
-    ids = stage_table(ids.join(lowest, "root").select("s1", "s2", "component_id"), "near-ids")
-    out = rows.select("doc_id", "n", "s1", "s2", "t").join(ids, ["s1", "s2"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("t").alias("text_hash"))
+    ids = stage_table(ids.join(lowest, "root").select("s1", "s2", "component_id", "root"), "near-ids")
+    return rows.select("doc_id", "at", "n", "s1", "s2", "t").join(ids, ["s1", "s2"], "left").drop("s1", "s2")
 
 
 NEAR_SQL = r"""

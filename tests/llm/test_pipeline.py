@@ -1,7 +1,9 @@
 import brute
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
+from esig.llm import mixing, near_dedup
 from esig.llm.util import stage_table
 
 TABLES = "/root/testdata/sf0.001"
@@ -35,3 +37,22 @@ def test_no_documents(spark, none):
     for name, stage in pipeline.STAGES:
         docs = stage_table(stage(spark, docs, TABLES), f"test-none-{name}")
         assert docs.count() == 0
+
+
+def test_repeated_rows_leave_one(spark):
+    one, two = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight")
+    rows = [(7, one)] * 30 + [(7, two)] * 3 + [(None, "red green blue white black brown grey pink")] * 5 + [(9, one), (None, one), (3, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in near_dedup.keep_one(docs).collect()]
+    want = [(7, one), (7, two), rows[33], (3, ""), (4, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_mix_of_equal_rows_takes_what_is_planned(spark):
+    rows = [(1, "w x y z", "a")] * 400 + [(None, "w x y z", "b")] * 50 + [(i, "w x", "c") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    planned = {r.source: r.n for r in mixing.plan_mix(docs).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    got = {r.source: r.n for r in mixing.mix(docs).groupBy("source").agg(F.count("*").alias("n")).collect()}
+    targets = {r.source: r.target for r in mixing.plan_mix(docs).select("source", "target").distinct().collect()}
+    assert got == planned
+    assert all(got[s] == pytest.approx(targets[s] / (2 if s == "c" else 4), abs=1) for s in got)
