@@ -119,8 +119,8 @@ def g20(spark, d):
     return rounded(G.under_resolved(rows, F.col("n"), 10.0).drop("n"), "min_window_ms", places=9)
 
 
-def wide(spark, d, lag, channels=("click", "error", "view")):
-    return G.lag_products(centred(spark, d).where(F.col("roi").isin(*channels)), lag)
+def wide(spark, d, lag):
+    return G.lag_products(centred(spark, d), lag)
 
 
 @query("g8_moving_window_pairwise")

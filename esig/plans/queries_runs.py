@@ -31,7 +31,7 @@ def g14(spark, d):
 
 @query("g14_subject_gc_conditional")
 def g14c(spark, d):
-    s = V.events_signals(spark, d).where(F.col("roi").isin("click", "error", "view"))
+    s = V.events_signals(spark, d)
     return runs.subject_gc(s, 15, 15, 2, [4.0, 6.0, 9.0, 14.0], RATE, spectral.bands_table(spark), mode="conditional")
 
 
@@ -44,15 +44,13 @@ def g15(spark, d):
 
 @query("g16_wavelet_csd")
 def g16(spark, d):
-    s = centred(spark, d).where(F.col("roi").isin("click", "view"))
-    return G.wavelet_csd(runs.pack(s), [2.0, 4.0, 6.0, 8.0], RATE, 500.0, step=5)
+    return G.wavelet_csd(runs.pack(centred(spark, d)), [2.0, 4.0, 6.0, 8.0], RATE, 500.0, step=5)
 
 
 @query("g17_gc_from_csd")
 def g17(spark, d):
-    s = centred(spark, d).where(F.col("roi").isin("click", "error", "view"))
-    csd = G.wavelet_csd(runs.pack(s), [float(f) for f in range(1, 15)], RATE, 500.0, step=15)
-    return G.gc_from_csd(csd, {"a": ["click", "error"], "b": ["view"]}, [("a", "b"), ("b", "a")], 3, RATE)
+    csd = G.wavelet_csd(runs.pack(centred(spark, d)), [float(f) for f in range(1, 15)], RATE, 500.0, step=15)
+    return G.gc_from_csd(csd, {"a": ["click", "error"], "b": ["purchase", "signup", "view"]}, [("a", "b"), ("b", "a")], 3, RATE)
 
 
 @query("a13_order_window_sweep")

@@ -158,3 +158,12 @@ def test_wavelet_csd_peaks_at_the_common_rhythm(spark):
     power = {r.freq: math.hypot(r.re, r.im) for r in out}
     assert power[10.0] > 5 * max(power[5.0], power[20.0])
     assert math.atan2(*[next((r.im, r.re) for r in out if r.freq == 10.0)][0]) == pytest.approx(0.5, abs=0.1)
+
+
+def test_queries_read_every_channel(spark):
+    from esig import catalog
+
+    run = lambda name: catalog.QUERIES[name](spark, "/root/testdata/sf0.01")
+    assert run("g9_conditional_gc_time").select("src", "tgt").distinct().count() == 20
+    assert run("g12_statespace_gc_time").select("src", "tgt").distinct().count() == 20
+    assert run("g16_wavelet_csd").select("ci").union(run("g16_wavelet_csd").select("cj")).distinct().count() == 5
