@@ -111,6 +111,20 @@ def t9(spark, d):
     return rounded(stats.tfce_permutation(centred(spark, d), ["roi"], PERMS, 0.5), "tfce")
 
 
+#: Sign patterns of the tests over all months, which have no SQL.
+ALL_PERMS = 1024
+
+
+@query("t8_cluster_permutation_all")
+def t8_all(spark, d):
+    return stats.cluster_permutation(V.orders_results(spark, d).withColumn("value", F.col("value") - MU), ["roi"], 1.2, ALL_PERMS)
+
+
+@query("t9_tfce_all")
+def t9_all(spark, d):
+    return stats.tfce_permutation(V.orders_results(spark, d).withColumn("value", F.col("value") - MU), ["roi"], ALL_PERMS, 0.5)
+
+
 @query("t10_across_roi_bonferroni", V.ORDERS_RESULTS, TT, TP, "SELECT roi, ms, round(p, 6) AS p, round(least(p * (SELECT count(DISTINCT roi) FROM tp), 1), 6) AS p_rois FROM tp")
 def t10(spark, d):
     return rounded(stats.across_roi_bonferroni(tests(spark, d), "p").select("roi", "ms", "p", "p_rois"))
@@ -123,7 +137,7 @@ def t11(spark, d):
 
 @query("t12_roi_stats")
 def t12(spark, d):
-    return group_stats.roi_stats(V.orders_results(spark, d).where("ms <= 40"), MU, 64)
+    return group_stats.roi_stats(V.orders_results(spark, d), MU, ALL_PERMS)
 
 
 FLAG = f"""dm AS (SELECT subject, epoch, roi, t_idx, x - avg(x) OVER (PARTITION BY subject, epoch, roi) AS x FROM sig),

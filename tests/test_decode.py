@@ -127,6 +127,21 @@ def test_cluster_of_a_shifted_stretch(spark):
     assert {12, 13, 14, 15} <= {r.ms for r in points} and all(8 <= r.ms <= 20 for r in points)
 
 
+def test_permutation_queries_cover_all_months(spark):
+    from esig import catalog
+    from esig.plans import queries_stats
+
+    sf_dir = "/root/testdata/sf0.001"
+    months = {r.ms for r in queries_stats.tests(spark, sf_dir).collect()}
+    assert max(months) > 40
+    for name in ("t9_tfce_all", "t12_roi_stats"):
+        got = catalog.QUERIES[name](spark, sf_dir).select("ms", "p_tfce").collect()
+        assert {r.ms for r in got} == months
+        assert all((r.p_tfce * 1024).is_integer() for r in got)
+    ends = [(r.start, r.end) for r in catalog.QUERIES["t8_cluster_permutation_all"](spark, sf_dir).collect()]
+    assert max(e for _, e in ends) > 40
+
+
 def test_errors(spark):
     df = spark.createDataFrame([("A",)], "roi string")
     with pytest.raises(ValueError, match="no region Z"):
