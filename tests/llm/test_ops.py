@@ -324,3 +324,26 @@ def test_nearest(spark):
     assert ann.nearest(df.where("vec_id >= 1000")).count() == 0
     few = ann.nearest(df.where("vec_id IN (0, 1, 2)")).collect()
     assert sorted(r.vec_id for r in few) == [1, 2]
+
+
+def test_nearest_with_copies_many_blocks_and_repeated_ids(spark, monkeypatch):
+    for name, value in (("BLOCK_ROWS", 150), ("BLOCK_QUERIES", 8), ("HOME_ROWS", 30), ("FIT_ROWS", 300)):
+        monkeypatch.setattr(ann, name, value)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1200, 8))
+    x[::3] = x[0]  # a third of all rows are one vector
+    x[7] = 1e12
+    x[1::50] *= 1e-9
+    ids = list(range(1200))
+    ids[5] = ids[6] = ids[9] = 100  # rows of one id: each a candidate, none meets its own id
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id bigint, embedding array<double>").repartition(5)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df).collect())
+    want = []
+    for q in {i for i in ids if i % 100 == 0}:
+        hits = sorted((np.sqrt(((x[c] - x[a]) ** 2).sum()), ids[c]) for a in range(1200) if ids[a] == q for c in range(1200) if ids[c] != q)[:10]
+        want += [(q, n + 1, i, d) for n, (d, i) in enumerate(hits)]
+    want.sort()
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12)
+    found = ann.search_stages(df, 10, 100)
+    assert found["pairs"].count() < found["asked"].count() * 1200 // 2
