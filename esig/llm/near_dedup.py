@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import stage_table, text_chunks
+from .util import salted_join, sieve, sift, stage_table, text_chunks
 
 WORDS = 5
 #: Similarity from which documents are linked, as a fraction.
@@ -141,7 +141,8 @@ def _prune(pairs: DataFrame, signatures: DataFrame, link: tuple[int, int]) -> Da
 
 
 class _Texts:
-    """Texts of nodes, fetched from the documents once for each node that a pair needs."""
+    """Texts of nodes, fetched from the documents once for each node that a pair needs. A sieve of bounded size holds
+    back the others before anything moves."""
 
     def __init__(self, docs: DataFrame, nodes: DataFrame):
         self.docs, self.nodes, self.have = docs, nodes, None
@@ -151,14 +152,15 @@ class _Texts:
         if self.have is not None:
             wanted = wanted.join(self.have.select("node"), "node", "left_anti")
         wanted = stage_table(self.nodes.join(wanted, "node").select("node", F.col("doc_id").alias("d"), F.col("t").alias("w")), "near-wanted")
-        found = self.docs.select("doc_id", "text", F.xxhash64("text").alias("t")).join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("w")))
-        found = stage_table(found.select("node", "text"), "near-texts")
+        docs = sift(self.docs.select("doc_id", "text", F.xxhash64("text").alias("t")), F.col("t"), sieve(wanted, F.col("w"))).where("maybe")
+        found = docs.join(wanted.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("w")))
+        found = stage_table(found.select("node", "text").dropDuplicates(["node"]), "near-texts")
         self.have = found if self.have is None else self.have.unionByName(found)
         return self.have
 
 
 def _confirm(pairs: DataFrame, fetch: _Texts, link: tuple[int, int]) -> DataFrame:
-    """Pairs whose full shingle sets reach the link threshold. Only texts that a pair needs are moved."""
+    """Pairs whose full shingle sets reach the link threshold."""
     pairs = stage_table(pairs, "near-pairs")
     texts = fetch.of(pairs)
 
@@ -319,10 +321,10 @@ def _judged(docs: DataFrame, link: tuple[int, int]) -> DataFrame:
     size = F.floor(F.log("n") / math.log(link[1] / link[0])).cast("int")
     spread = nodes.select("node", "n", size.alias("c"), F.explode("bands").alias("k"))
     hubs = spread.groupBy("k").agg(F.min("node").alias("hub"), F.count("*").alias("m")).where("m > 1").select("k", "hub")
-    members = stage_table(spread.join(hubs, "k"), "near-members")
+    members = stage_table(salted_join(spread, hubs, ["k"], F.xxhash64("node")), "near-members")
     close = members.groupBy("k", "c").agg(F.min("node").alias("hub2"))
     stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    stars = stars.unionByName(members.join(close, ["k", "c"]).where("node <> hub2 AND hub2 <> hub").select(F.col("hub2").alias("a"), F.col("node").alias("b"))).distinct()
+    stars = stars.unionByName(salted_join(members, close, ["k", "c"], F.xxhash64("node")).where("node <> hub2 AND hub2 <> hub").select(F.col("hub2").alias("a"), F.col("node").alias("b"))).distinct()
     texts = _Texts(docs, nodes)
     edges = _confirm(_prune(stars, nodes, link), texts, link)
     roots = components(edges)
@@ -333,7 +335,10 @@ def _judged(docs: DataFrame, link: tuple[int, int]) -> DataFrame:
     ids = classes.join(roots, "node", "left").select("s1", "s2", "low", F.coalesce("root", "node").alias("root"))
     lowest = ids.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = stage_table(ids.join(lowest, "root").select("s1", "s2", "component_id", "root"), "near-ids")
-    return rows.select("doc_id", "at", "n", "s1", "s2", "t").join(ids, ["s1", "s2"], "left").drop("s1", "s2")
+    rows, ends = rows.select("doc_id", "at", "n", "s1", "s2", "t"), ids.select("s1", "s2", "component_id", "root")
+    some = salted_join(rows.where("n > 0"), ends, ["s1", "s2"], F.xxhash64("at"), "left").drop("s1", "s2")  # a set may have many copies
+    bare = rows.where("n = 0").drop("s1", "s2").withColumns({"component_id": F.lit(None).cast("long"), "root": F.lit(None).cast("long")})
+    return some.unionByName(bare)
 
 
 NEAR_SQL = r"""

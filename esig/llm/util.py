@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -19,16 +18,11 @@ BLANK_CLASS = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-_LOCAL: list[str] = []
-
-
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; one new local folder per process only where that is unset (tests)."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not _LOCAL:
-            _LOCAL.append(tempfile.mkdtemp(prefix="esig-"))
-        base = _LOCAL[0]
+        raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
     return base.rstrip("/")
 
 
@@ -62,3 +56,35 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text_at: int, size: int = 2 <
 def with_field(schema: StructType, name: str, kind: str) -> StructType:
     """``schema`` and one field more; the schema itself stays as it is."""
     return StructType([*schema.fields]).add(name, DataType.fromDDL(kind))
+
+
+#: A sieve has at most so many rows of so many 64-bit words, 4 MB of bits, whatever goes into it.
+SIEVE_ROWS, SIEVE_WORDS = 4096, 128
+
+
+def _sieve_place(h: Column) -> tuple[Column, Column, Column]:
+    """Row, word and bit of a 64-bit hash."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.shiftright(h, 19), F.lit(64)).cast("int"))
+    return F.pmod(h, F.lit(SIEVE_ROWS)).cast("int"), F.pmod(F.shiftright(h, 12), F.lit(SIEVE_WORDS)).cast("int"), bit
+
+
+def sieve(rows: DataFrame, h: Column) -> DataFrame:
+    """A Bloom filter of one hash of the values ``h``, of bounded size, to tell rows that needn't move from those that may."""
+    row, word, bit = _sieve_place(h)
+    words = rows.select(row.alias("sieve_row"), word.alias("w"), bit.alias("b")).groupBy("sieve_row", "w").agg(F.bit_or("b").alias("b"))
+    return words.groupBy("sieve_row").agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("sieve_bits"))
+
+
+def sift(rows: DataFrame, h: Column, by: DataFrame, name: str = "maybe") -> DataFrame:
+    """``rows`` with a boolean ``name``: false only if ``h`` is none of the sieve's values."""
+    row, word, bit = _sieve_place(h)
+    met = rows.select("*", row.alias("sieve_row")).join(F.broadcast(by), "sieve_row", "left")
+    hit = F.element_at("sieve_bits", word).bitwiseAND(bit) != 0
+    return met.withColumn(name, F.coalesce(hit, F.lit(False))).drop("sieve_row", "sieve_bits")
+
+
+def salted_join(many: DataFrame, few: DataFrame, on: list[str], salt: Column, how: str = "inner", salts: int = 16) -> DataFrame:
+    """``many`` joined with ``few``, which has each key once; a key that holds much of ``many`` spreads over ``salts`` tasks."""
+    one = many.withColumn("join_salt", F.pmod(salt, F.lit(salts)).cast("int"))
+    two = few.withColumn("join_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return one.join(two, [*on, "join_salt"], how).drop("join_salt")
