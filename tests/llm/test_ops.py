@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from esig.llm import ann, bpe, html_text, line_dedup, mixing, near_dedup, pii, quality_model, quality_rules, sharding
+from esig.llm import ann, bpe, html_text, line_dedup, mixing, near_dedup, pii, quality_model, quality_rules, sharding, util
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -347,3 +347,29 @@ def test_nearest_with_copies_many_blocks_and_repeated_ids(spark, monkeypatch):
     assert np.allclose([g[3] for g in got], [w[3] for w in want], rtol=1e-12)
     found = ann.search_stages(df, 10, 100)
     assert found["pairs"].count() < found["asked"].count() * 1200 // 2
+
+
+def test_line_runs_are_merged_in_order(docs, monkeypatch):
+    """Merge joins read the runs as they lie: only the batch is exchanged and sorted. Runs are compacted along the way."""
+    plans, counts, written = [], [], line_dedup.LineRuns._written
+
+    def spy(self, rows, level):
+        with line_dedup.bucket_order(self.spark):
+            plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        counts.append(self.compactions)
+        return written(self, rows, level)
+
+    monkeypatch.setattr(line_dedup.LineRuns, "_written", spy)
+    line_dedup.dedup_lines(docs).count()
+    joins = [p for p in plans if "LeftAnti" in p]
+    assert joins and all("SortMergeJoin" in p and "BroadcastHashJoin" not in p and p.count("Exchange") <= 1 and p.count("Sort [") <= 1 for p in joins)
+    assert max(counts) >= 2
+
+
+# helpers -----------------------------------------------------------------------------------------------------------
+def test_sieve_loses_nothing(spark):
+    rows = spark.range(20_000).withColumn("h", F.xxhash64("id"))
+    by = util.sieve(rows.where("id % 40 = 0"), F.col("h"))
+    got = util.sift(rows, F.col("h"), by).where("maybe").select("id").collect()
+    assert {r.id for r in got} >= set(range(0, 20_000, 40)) and len(got) < 600
+    assert util.sift(rows, F.col("h"), util.sieve(rows.where("false"), F.col("h"))).where("maybe").count() == 0
