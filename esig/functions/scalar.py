@@ -41,6 +41,36 @@ def t_sf_sql(t: str, df: str) -> str:
     return f"CASE WHEN {df} < 1 THEN NULL WHEN {df} % 2 = 1 THEN (1 - 2 / pi() * ({a} + {odd})) / 2 ELSE (1 - {even}) / 2 END"
 
 
+def t_critical(df: int, alpha: float = 0.05) -> float:
+    """The upper ``alpha`` point of Student's t for ``df`` whole degrees of freedom, by bisection on the same series."""
+    if df < 1:
+        return math.inf
+
+    def tail(t: float) -> float:
+        angle, odd = math.atan(t / math.sqrt(df)), df % 2
+        c2, term = math.cos(angle) ** 2, math.cos(angle) if odd else 1.0
+        total = term
+        for j in range(1, (df - 3) // 2 + 1 if odd else (df - 2) // 2 + 1):
+            term *= c2 * (2 * j / (2 * j + 1) if odd else (2 * j - 1) / (2 * j))
+            total += term
+        inside = (angle + (math.sin(angle) * total if df > 1 else 0)) * 2 / math.pi if odd else math.sin(angle) * total
+        return (1 - inside) / 2
+
+    lo, hi = 0.0, 1.0
+    while tail(hi) > alpha:
+        hi *= 2
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if tail(mid) > alpha else (lo, mid)
+    return hi
+
+
+def grid(x: Column, bits: int = 20) -> Column:
+    """The nearest multiple of 2^-bits, the even one of two. Means of short decimals never lie half way between two, and
+    means of binary fractions, which may, are exact in any order of their sums."""
+    return F.rint(x * float(1 << bits)) / float(1 << bits) + 0.0
+
+
 def normal_sf(z: Column) -> Column:
     """P(Z > z) of the standard normal by Zelen and Severo's polynomial (absolute error under 7.5e-8)."""
     k = 1 / (1 + 0.2316419 * F.abs(z))

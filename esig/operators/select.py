@@ -11,6 +11,8 @@ WORD_CLASSES = {
     "percDiff": (("SARG", "SOOG", "SAFF", "SILP", "SEEB"), ("TARG", "TOOG", "TAFF", "TILP", "TEEB")),
 }
 FILLER = "MEEV"
+#: Names that an error message lists at most.
+LISTED = 1000
 
 
 def good_trials(df: DataFrame, info: str = "good") -> DataFrame:
@@ -58,11 +60,13 @@ def crop_time(df: DataFrame, lo: float, hi: float, t: str = "t_s", keys: tuple[s
 
 def select_rois(df: DataFrame, names: list[str], roi: str = "roi") -> DataFrame:
     """Rows of the named regions, whatever their case; a name that no row has is an error listing those there are."""
-    have = [r[0] for r in df.select(roi).distinct().orderBy(roi).limit(1000).collect()]
-    missing = sorted({n for n in names if n.lower() not in {h.lower() for h in have}})
+    kept = df.where(F.lower(roi).isin([n.lower() for n in names]))
+    found = {r[0] for r in kept.select(F.lower(roi)).distinct().collect()}
+    missing = sorted({n for n in names if n.lower() not in found})
     if missing:
-        raise ValueError(f"no region {', '.join(missing)}; there are {', '.join(have)}")
-    return df.where(F.lower(roi).isin([n.lower() for n in names]))
+        have = [r[0] for r in df.select(roi).distinct().orderBy(roi).limit(LISTED).collect()]
+        raise ValueError(f"no region {', '.join(missing)}; there are {', '.join(map(str, have))}{' and more' if len(have) == LISTED else ''}")
+    return kept
 
 
 def config_filter(df: DataFrame, classifiers: list[str] | None = None, sw_durs: list[int] | None = None, tuned: str = "any", combos: DataFrame | None = None) -> DataFrame:

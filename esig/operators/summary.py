@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import average_rank
+from ..functions.scalar import grid
+from .windows import average_rank, first_peak
 
 
 def mean_sem(value: str, ddof: int = 1) -> list[Column]:
@@ -51,6 +52,13 @@ def complete_subjects(df: DataFrame, keys: list[str], t: str = "ms") -> DataFram
     return df.join(full, [*keys, "subject"], "left_semi")
 
 
+def at_group_peak(df: DataFrame, keys: list[str], value: str, t: str = "ms") -> DataFrame:
+    """Rows at the time where the mean over all rows of the keys is largest (the first on ties)."""
+    mean = df.groupBy(*keys, t).agg(grid(F.avg(value)).alias("_m"))
+    peak = first_peak(mean, "_m", keys, t).select(*keys, F.col("peak_at").alias(t))
+    return df.join(peak, [*keys, t], "left_semi")
+
+
 def modal_choice(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, mode (the smallest on ties), k of n as text."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("k"))

@@ -5,20 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import grid, t_critical
 from ..operators import condition, stats, windows
 
-#: Threshold of a cluster: the upper 5 % point of Student's t, by degrees of freedom; in between and beyond, the normal's.
-T_CRITICAL = {2: 2.919986, 3: 2.353363, 4: 2.131847, 5: 2.015048, 6: 1.943180, 7: 1.894579, 8: 1.859548, 9: 1.833113, 10: 1.812461, 14: 1.761310, 19: 1.729133, 24: 1.710882, 29: 1.699127}
-
-
-def roi_stats(df: DataFrame, mu: float, permutations: int = 256, threshold: float | None = None, value: str = "value", t: str = "ms", roi: str = "roi", step: float = 0.5) -> DataFrame:
+def roi_stats(df: DataFrame, mu: float, permutations: int = 1024, threshold: float | None = None, value: str = "value", t: str = "ms", roi: str = "roi", step: float = 0.5) -> DataFrame:
     """Everything per (roi, ms): mean, sem, t, p, p_bonf, p_fdr, p_cluster, tfce, p_tfce and the two corrected for the
-    number of regions. ``df`` has one value per (subject, roi, ms)."""
+    number of regions. ``df`` has one value per (subject, roi, ms). Clusters are cut at the upper 5 % point of Student's t
+    for the number of subjects unless ``threshold`` is given."""
     base = stats.fdr_bh(stats.bonferroni(stats.ttest(df, [roi, t], value, mu), [roi]), [roi], tie=t)
     centred = df.withColumn(value, F.col(value) - mu)
     if threshold is None:
         n = df.agg(F.countDistinct("subject")).first()[0] - 1
-        threshold = T_CRITICAL.get(n, 1.644854)
+        threshold = t_critical(n)
     clusters = stats.cluster_permutation(centred, [roi], threshold, permutations, value, t)
     inside = clusters.select(F.col(roi).alias("_r"), "start", "end", "mass", "p_cluster")
     out = base.join(inside, (F.col(roi) == F.col("_r")) & F.col(t).between(F.col("start"), F.col("end")), "left").drop("_r", "start", "end")
@@ -46,22 +44,20 @@ def significant_runs(signals: DataFrame, win: int = 5, base: tuple[int, int] = (
     means = windows.sliding_mean(condition.demean_trials(signals, ("subject", "epoch", "roi")), win, 1, ("subject", "epoch", "roi"))
     per_subject = means.groupBy("subject", "roi", F.col("t_idx").alias("ms")).agg(F.avg("mean").alias("value"))
     tests = stats.fdr_bh(stats.task_vs_baseline(per_subject, ["roi"], base, (base[1] + 1, 1 << 30)), ["roi"])
-    tests = tests.withColumn("p_fdr", F.round("p_fdr", 6)).withColumn("t", F.round("t", 6))
+    tests = tests.withColumn("p_fdr", grid(F.col("p_fdr"))).withColumn("t", grid(F.col("t")))
     best = F.max(F.struct("t", -F.col("ms"))).alias("b")
     runs = windows.runs(tests, F.col("p_fdr") < alpha, ["roi"], "ms", best, F.min("p_fdr").alias("least_p"))
     return runs.select("roi", "run", "start", "end", "n", F.col("b.t").alias("peak_t"), "least_p")
 
 
-def config_cluster_stats(df: DataFrame, keys: list[str], mu: float, threshold: float = 1.7, permutations: int = 128, value: str = "accuracy") -> DataFrame:
+def config_cluster_stats(df: DataFrame, keys: list[str], mu: float, threshold: float = 1.7, permutations: int = 1024, value: str = "accuracy") -> DataFrame:
     """Per configuration: subjects, significant clusters, earliest onset and the peak of the mean; fewer than three
     subjects are not tested."""
     n = df.groupBy(*keys).agg(F.countDistinct("subject").alias("n_subjects"))
-    mean = df.groupBy(*keys, "ms").agg(F.round(F.avg(value), 6).alias("mean"))
+    mean = df.groupBy(*keys, "ms").agg(grid(F.avg(value)).alias("mean"))
     peak = windows.first_peak(mean, "mean", keys)
     tested = df.join(n.where("n_subjects >= 3"), keys).withColumn(value, F.col(value) - mu)
     c = stats.cluster_permutation(tested, keys, threshold, permutations, value).where("p_cluster < 0.05")
     hits = c.groupBy(*keys).agg(F.count("*").alias("n_clusters"), F.min("start").alias("onset"))
     out = n.join(peak, keys).join(hits, keys, "left")
     return out.withColumn("n_clusters", F.when(F.col("n_subjects") >= 3, F.coalesce("n_clusters", F.lit(0))))
-
-

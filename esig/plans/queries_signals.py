@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.scalar import grid
 from ..operators import condition, spectral, windows
 from ..sources import views as V
-from .registry import SHIFT, query, rounded
+from .registry import query, rounded
 
 KEYS = ["subject", "epoch", "roi", "t_idx"]
 
@@ -73,7 +74,7 @@ def w1(spark, d):
 def w2(spark, d):
     s = V.embedding_signals(spark, d).withColumnsRenamed({"chan": "vertex"}).withColumn("roi", F.lit("all")).withColumn("t_s", F.col("t_idx") / 100.0)
     out = windows.prepare_windowed(s, 0.02, 0.13, 100.0, 40.0, 20.0)
-    return out.withColumn("features", F.transform("features", lambda v: F.round(v + SHIFT, 6) + 0.0))
+    return out.withColumn("features", F.transform("features", lambda v: grid(v)))
 
 
 @query("w3_moving_windows", V.EVENTS_SIGNALS, "SELECT subject, unnest(range(1, 30 - 7 + 2, 3))::INTEGER AS start FROM (SELECT DISTINCT subject FROM sig)")

@@ -79,9 +79,9 @@ def t7(spark, d):
     return rounded(stats.fdr_bh(tests(spark, d), ["roi"]).select("roi", "ms", "p", "p_fdr"))
 
 
-PERMS = 64
+PERMS = 1024
 FLIPS = f"fl AS (SELECT s.subject, p.perm, CASE WHEN p.perm = 0 THEN 1.0::DOUBLE WHEN instr('0123456789abcdef', substr(md5('0:' || p.perm || ':' || s.subject), 1, 1)) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign FROM (SELECT DISTINCT subject FROM res) s CROSS JOIN (SELECT unnest(range({PERMS})) AS perm) p)"
-PT = f"""cen AS (SELECT subject, roi, ms, value - {MU} AS value FROM res WHERE ms <= 40),
+PT = f"""cen AS (SELECT subject, roi, ms, value - {MU} AS value FROM res),
   sq AS (SELECT roi, ms, sum(value * value) AS ss, count(*) AS n FROM cen GROUP BY ALL),
   sg AS (SELECT roi, perm, ms, sum(value * sign) AS s FROM cen JOIN fl USING (subject) GROUP BY ALL),
   pt AS (SELECT roi, perm, ms, CASE WHEN v > 0 THEN s / n / sqrt(v / n) ELSE 0 END AS stat FROM (SELECT *, (ss - s * s / n) / nullif(n - 1, 0) AS v FROM sg JOIN sq USING (roi, ms)))"""
@@ -91,10 +91,14 @@ CL = """isl AS (SELECT *, n - row_number() OVER (PARTITION BY roi, perm ORDER BY
 
 
 def centred(spark, d):
-    return V.orders_results(spark, d).where("ms <= 40").withColumn("value", F.col("value") - MU)
+    return V.orders_results(spark, d).withColumn("value", F.col("value") - MU)
 
 
-@query("t8_cluster_permutation", V.ORDERS_RESULTS, FLIPS, PT, CL, f'SELECT c.roi, row_number() OVER (PARTITION BY c.roi ORDER BY c.start)::INTEGER AS run, c.start, c."end", round(c.mass, 6) AS mass, (SELECT count(*) FROM top WHERE top.roi = c.roi AND top.top >= c.mass)::DOUBLE / {PERMS} AS p_cluster FROM cl c WHERE c.perm = 0')
+T8 = (V.ORDERS_RESULTS, FLIPS, PT, CL, f'SELECT c.roi, row_number() OVER (PARTITION BY c.roi ORDER BY c.start)::INTEGER AS run, c.start, c."end", round(c.mass, 6) AS mass, (SELECT count(*) FROM top WHERE top.roi = c.roi AND top.top >= c.mass)::DOUBLE / {PERMS} AS p_cluster FROM cl c WHERE c.perm = 0')
+
+
+@query("t8_cluster_permutation", *T8)
+@query("t8_cluster_permutation_all", *T8)
 def t8(spark, d):
     return rounded(stats.cluster_permutation(centred(spark, d), ["roi"], 1.2, PERMS), "mass")
 
@@ -106,23 +110,13 @@ TF = """hh AS (SELECT roi, perm, ms, n, unnest(range(1, greatest(floor(stat / 0.
   tops AS (SELECT roi, perm, max(tfce) AS top FROM sc GROUP BY ALL)"""
 
 
-@query("t9_tfce", V.ORDERS_RESULTS, FLIPS, PT, TF, f"SELECT s.roi, s.ms, round(s.tfce, 6) AS tfce, count(*) FILTER (t.top >= s.tfce)::DOUBLE / {PERMS} AS p_tfce FROM sc s JOIN tops t ON s.roi = t.roi WHERE s.perm = 0 GROUP BY ALL")
-def t9(spark, d):
-    return rounded(stats.tfce_permutation(centred(spark, d), ["roi"], PERMS, 0.5), "tfce")
-
-
-#: Sign patterns of the tests over all months, which have no SQL.
-ALL_PERMS = 1024
+T9 = (V.ORDERS_RESULTS, FLIPS, PT, TF, f"SELECT s.roi, s.ms, round(s.tfce, 6) AS tfce, count(*) FILTER (t.top >= s.tfce)::DOUBLE / {PERMS} AS p_tfce FROM sc s JOIN tops t ON s.roi = t.roi WHERE s.perm = 0 GROUP BY ALL")
 
 
-@query("t8_cluster_permutation_all")
-def t8_all(spark, d):
-    return stats.cluster_permutation(V.orders_results(spark, d).withColumn("value", F.col("value") - MU), ["roi"], 1.2, ALL_PERMS)
-
-
-@query("t9_tfce_all")
-def t9_all(spark, d):
-    return stats.tfce_permutation(V.orders_results(spark, d).withColumn("value", F.col("value") - MU), ["roi"], ALL_PERMS, 0.5)
+@query("t9_tfce", *T9)
+@query("t9_tfce_all", *T9)
+def t9(spark, d):
+    return rounded(stats.tfce_permutation(centred(spark, d), ["roi"], PERMS, 0.5), "tfce")
 
 
 @query("t10_across_roi_bonferroni", V.ORDERS_RESULTS, TT, TP, "SELECT roi, ms, round(p, 6) AS p, round(least(p * (SELECT count(DISTINCT roi) FROM tp), 1), 6) AS p_rois FROM tp")
@@ -130,14 +124,28 @@ def t10(spark, d):
     return rounded(stats.across_roi_bonferroni(tests(spark, d), "p").select("roi", "ms", "p", "p_rois"))
 
 
-@query("t11_config_cluster_stats")
+SWEPT = f"""n AS (SELECT classifier, sw_dur, count(DISTINCT subject) AS n_subjects FROM swp GROUP BY ALL),
+  pk AS (SELECT classifier, sw_dur, max(mean) AS peak, arg_min(ms, (-mean, ms)) AS peak_at FROM (SELECT classifier, sw_dur, ms, round(avg(accuracy), 6) AS mean FROM swp GROUP BY ALL) GROUP BY ALL),
+  cen AS (SELECT subject, classifier, sw_dur, ms, accuracy - 0.49::DOUBLE AS value FROM swp JOIN n USING (classifier, sw_dur) WHERE n_subjects >= 3),
+  fl AS (SELECT s.subject, p.perm, CASE WHEN p.perm = 0 THEN 1.0::DOUBLE WHEN instr('0123456789abcdef', substr(md5('0:' || p.perm || ':' || s.subject), 1, 1)) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign FROM (SELECT DISTINCT subject FROM cen) s CROSS JOIN (SELECT unnest(range({PERMS})) AS perm) p),
+  sq AS (SELECT classifier, sw_dur, ms, sum(value * value) AS ss, count(*) AS n FROM cen GROUP BY ALL),
+  sg AS (SELECT classifier, sw_dur, perm, ms, sum(value * sign) AS s FROM cen JOIN fl USING (subject) GROUP BY ALL),
+  pt AS (SELECT classifier, sw_dur, perm, ms, CASE WHEN v > 0 THEN s / n / sqrt(v / n) ELSE 0 END AS stat FROM (SELECT *, (ss - s * s / n) / nullif(n - 1, 0) AS v FROM sg JOIN sq USING (classifier, sw_dur, ms))),
+  isl AS (SELECT *, n - row_number() OVER (PARTITION BY classifier, sw_dur, perm ORDER BY ms) AS i FROM (SELECT *, row_number() OVER (PARTITION BY classifier, sw_dur, perm ORDER BY ms) AS n FROM pt) WHERE stat > 1.7),
+  cl AS (SELECT classifier, sw_dur, perm, min(ms) AS start, round(sum(stat), 9) AS mass FROM isl GROUP BY classifier, sw_dur, perm, i),
+  top AS (SELECT classifier, sw_dur, perm, max(mass) AS top FROM cl GROUP BY ALL),
+  pc AS (SELECT c.classifier, c.sw_dur, c.start, count(*) FILTER (t.top >= c.mass)::DOUBLE / {PERMS} AS p FROM cl c JOIN top t ON c.classifier = t.classifier AND c.sw_dur = t.sw_dur WHERE c.perm = 0 GROUP BY c.classifier, c.sw_dur, c.start, c.mass),
+  ht AS (SELECT classifier, sw_dur, count(*) AS k, min(start) AS onset FROM pc WHERE p < 0.05 GROUP BY ALL)"""
+
+
+@query("t11_config_cluster_stats", V.LINEITEM_SWEEP, SWEPT, "SELECT classifier, sw_dur, n.n_subjects, peak, peak_at, CASE WHEN n.n_subjects >= 3 THEN coalesce(k, 0) END AS n_clusters, onset FROM n JOIN pk USING (classifier, sw_dur) LEFT JOIN ht USING (classifier, sw_dur)")
 def t11(spark, d):
     return group_stats.config_cluster_stats(V.lineitem_sweep(spark, d), ["classifier", "sw_dur"], 0.49)
 
 
 @query("t12_roi_stats")
 def t12(spark, d):
-    return group_stats.roi_stats(V.orders_results(spark, d), MU, ALL_PERMS)
+    return group_stats.roi_stats(V.orders_results(spark, d), MU)
 
 
 FLAG = f"""dm AS (SELECT subject, epoch, roi, t_idx, x - avg(x) OVER (PARTITION BY subject, epoch, roi) AS x FROM sig),

@@ -51,12 +51,13 @@ def a7(spark, d):
     return summary.complete_subjects(V.lineitem_sweep(spark, d), ["classifier", "sw_dur"]).select("classifier", "sw_dur", "subject", "ms", "accuracy")
 
 
-MODES = "cnt AS (SELECT classifier, sw_dur, best_c, count(*) AS k FROM swp WHERE ms = 6 GROUP BY ALL)"
+MODES = "mn AS (SELECT classifier, sw_dur, ms, round(avg(accuracy), 6) AS m FROM swp GROUP BY ALL), pk AS (SELECT classifier, sw_dur, arg_min(ms, (-m, ms)) AS ms FROM mn GROUP BY ALL), cnt AS (SELECT classifier, sw_dur, best_c, count(*) AS k FROM swp JOIN pk USING (classifier, sw_dur, ms) GROUP BY ALL)"
 
 
 @query("a8_modal_choice", V.LINEITEM_SWEEP, MODES, "SELECT classifier, sw_dur, arg_min(best_c, (-k, best_c)) AS mode, max(k) || '/' || sum(k)::BIGINT AS support FROM cnt GROUP BY ALL")
 def a8(spark, d):
-    return summary.modal_choice(V.lineitem_sweep(spark, d).where("ms = 6"), ["classifier", "sw_dur"], "best_c")
+    keys = ["classifier", "sw_dur"]
+    return summary.modal_choice(summary.at_group_peak(V.lineitem_sweep(spark, d), keys, "accuracy"), keys, "best_c")
 
 
 _COUNTS = ", ".join(f"count(*) FILTER (best_c = {v}::DOUBLE) AS n_{i}" for i, v in enumerate((1.0, 0.1, 0.01, 0.001)))

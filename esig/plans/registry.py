@@ -21,15 +21,14 @@ def query(name: str, *parts: str):
     return add
 
 
-#: Added before values are rounded to 6 places: means of short decimals lie on ties, which engines break either way.
-SHIFT = 3e-8
-
-
 def rounded(df, *names: str, places: int = 6):
-    """Doubles rounded, so that the order of sums doesn't show in a comparison of values."""
+    """Doubles brought to the nearest multiple of 2^-20 (6 places), so that the order of sums doesn't show in a comparison
+    of values; another number of places rounds decimally."""
     from pyspark.sql import functions as F
 
-    return df.withColumns({n: F.round(F.col(n) + SHIFT, places) + 0.0 if places == 6 else F.round(n, places) for n in (names or [n for n, t in df.dtypes if t == "double"])})
+    from ..functions.scalar import grid
+
+    return df.withColumns({n: grid(F.col(n)) if places == 6 else F.round(n, places) for n in (names or [n for n, t in df.dtypes if t == "double"])})
 
 
 def untied(sql: str) -> str:
@@ -42,7 +41,7 @@ def untied(sql: str) -> str:
             end += 1
         body = sql[at + 6 : end - 1]
         if body.endswith(", 6"):
-            new = f"(round(({body[:-3]}) + {SHIFT}::DOUBLE, 6) + 0.0::DOUBLE)"
+            new = f"(round_even(({body[:-3]}) * 1048576.0::DOUBLE, 0) / 1048576.0::DOUBLE + 0.0::DOUBLE)"
             sql, at = sql[:at] + new + sql[end:], at + 1
         at += 6
     return sql

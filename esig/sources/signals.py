@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,16 +10,11 @@ from pyspark.sql import functions as F
 SIGNALS = "subject bigint, task string, contrast string, epoch bigint, y int, chan int, t_idx int, t_s double, x double, roi string"
 
 
-_LOCAL: list[str] = []
-
-
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; in a local one only where that is unset."""
+    """A new path in the shared folder that the session names in ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not _LOCAL:
-            _LOCAL.append(tempfile.mkdtemp(prefix="esig-"))
-        base = _LOCAL[0]
+        raise ValueError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

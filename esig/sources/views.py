@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Results are rounded after a shift by 3e-7, which no value needs but which leaves no ties for two engines to break apart.
-EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
-DAYS = 30
+from ..functions.scalar import grid
+
+#: Values are brought to multiples of 2^-16, so that their sums are the same in any order.
+BITS = 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,23 +21,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """subject, epoch, y, roi, t_idx, x: one row for each user, event type and day, zero where nothing happened.
+    """subject, epoch, y, roi, t_idx, x: one row for each user, event type and day from the first day on, zero where
+    nothing happened.
 
-    Sums are made per user as a map of their own days, so the zero-filled grid needs no join.
+    Sums are made per user as a map of their own days, so the zero-filled grid needs no join. Event types and the span
+    of days, both small, are read from the table first.
     """
     e = table(spark, sf_dir, "events")
-    sums = e.groupBy("user_id", "event_type", F.dayofmonth("ts").alias("d")).agg(F.round(F.sum("value"), 4).alias("s"))
+    span = e.agg(F.min(F.to_date("ts")).alias("lo"), F.datediff(F.max("ts"), F.min("ts")).alias("days"), F.array_sort(F.collect_set("event_type")).alias("types")).first()
+    day = (F.datediff("ts", F.lit(span["lo"])) + 1).alias("d")
+    sums = e.groupBy("user_id", "event_type", day).agg(grid(F.sum("value"), BITS).alias("s"))
     cells = sums.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "event_type", F.col("d").cast("string")), "s"))).alias("m"))
-    rows = cells.select("user_id", "m", F.explode(F.array(*[F.lit(t) for t in EVENT_TYPES])).alias("roi"))
-    rows = rows.select("user_id", "m", "roi", F.explode(F.sequence(F.lit(1), F.lit(DAYS))).alias("t_idx"))
+    rows = cells.select("user_id", "m", F.explode(F.array(*[F.lit(t) for t in span["types"] or []])).alias("roi"))
+    rows = rows.select("user_id", "m", "roi", F.explode(F.sequence(F.lit(1), F.lit((span["days"] or 0) + 1))).alias("t_idx"))
     x = F.coalesce(F.element_at("m", F.concat_ws(":", "roi", F.col("t_idx").cast("string"))), F.lit(0.0))
     return rows.select((F.col("user_id") % 10).alias("subject"), F.col("user_id").alias("epoch"), (F.col("user_id") % 2).cast("int").alias("y"), "roi", "t_idx", x.alias("x"))
 
 
 EVENTS_SIGNALS = """sig AS (
   SELECT u.user_id % 10 AS subject, u.user_id AS epoch, (u.user_id % 2)::INTEGER AS y, r.roi, d.t_idx::INTEGER AS t_idx, coalesce(s.s, 0)::DOUBLE AS x
-  FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS roi) r CROSS JOIN (SELECT unnest(range(1, 31)) AS t_idx) d
-  LEFT JOIN (SELECT user_id, event_type, day(ts) AS d, round(sum(value), 4) AS s FROM events GROUP BY ALL) s ON s.user_id = u.user_id AND s.event_type = r.roi AND s.d = d.t_idx)"""
+  FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT DISTINCT event_type AS roi FROM events WHERE event_type IS NOT NULL) r CROSS JOIN (SELECT unnest(range(1, (SELECT date_diff('day', min(ts)::DATE, max(ts)::DATE) FROM events) + 2)) AS t_idx) d
+  LEFT JOIN (SELECT user_id, event_type, date_diff('day', (SELECT min(ts)::DATE FROM events), ts::DATE) + 1 AS d, round_even(sum(value) * 65536.0::DOUBLE, 0) / 65536.0::DOUBLE AS s FROM events GROUP BY ALL) s ON s.user_id = u.user_id AND s.event_type = r.roi AND s.d = d.t_idx)"""
 
 
 def embedding_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +66,11 @@ def orders_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
     rows = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"))
     month = ((F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate")).alias("ms")
-    return rows.groupBy(F.col("n_name").alias("subject"), F.col("c_mktsegment").alias("roi"), month).agg(F.round(F.avg("o_totalprice") / 1000 + 3e-7, 4).alias("value"))
+    return rows.groupBy(F.col("n_name").alias("subject"), F.col("c_mktsegment").alias("roi"), month).agg(grid(F.avg("o_totalprice") / 1000, BITS).alias("value"))
 
 
 ORDERS_RESULTS = """res AS (
-  SELECT n_name AS subject, c_mktsegment AS roi, ((year(o_orderdate) - 1995) * 12 + month(o_orderdate))::INTEGER AS ms, round(avg(o_totalprice) / 1000 + 3e-7::DOUBLE, 4) AS value
+  SELECT n_name AS subject, c_mktsegment AS roi, ((year(o_orderdate) - 1995) * 12 + month(o_orderdate))::INTEGER AS ms, round_even(avg(o_totalprice) / 1000 * 65536.0::DOUBLE, 0) / 65536.0::DOUBLE AS value
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"""
 
 
@@ -73,11 +78,11 @@ def lineitem_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """subject (supplier), classifier (return flag), sw_dur (by line status), ms (ship month), accuracy, best_c."""
     rows = table(spark, sf_dir, "lineitem")
     out = rows.groupBy(F.col("l_suppkey").alias("subject"), F.col("l_returnflag").alias("classifier"), F.when(F.col("l_linestatus") == "O", 40).otherwise(80).alias("sw_dur"), F.month("l_shipdate").alias("ms"))
-    return out.agg(F.round(F.avg("l_discount") * 10 + 3e-7, 4).alias("accuracy"), F.pow(F.lit(10.0), -(F.min("l_linenumber") % 4).cast("double")).alias("best_c"))
+    return out.agg(grid(F.avg("l_discount") * 10, BITS).alias("accuracy"), F.pow(F.lit(10.0), -(F.min("l_linenumber") % 4).cast("double")).alias("best_c"))
 
 
 LINEITEM_SWEEP = """swp AS (
-  SELECT l_suppkey AS subject, l_returnflag AS classifier, CASE WHEN l_linestatus = 'O' THEN 40 ELSE 80 END AS sw_dur, month(l_shipdate)::INTEGER AS ms, round(avg(l_discount) * 10 + 3e-7::DOUBLE, 4) AS accuracy, pow(10.0::DOUBLE, -(min(l_linenumber) % 4)::DOUBLE) AS best_c
+  SELECT l_suppkey AS subject, l_returnflag AS classifier, CASE WHEN l_linestatus = 'O' THEN 40 ELSE 80 END AS sw_dur, month(l_shipdate)::INTEGER AS ms, round_even(avg(l_discount) * 10 * 65536.0::DOUBLE, 0) / 65536.0::DOUBLE AS accuracy, pow(10.0::DOUBLE, -(min(l_linenumber) % 4)::DOUBLE) AS best_c
   FROM lineitem GROUP BY ALL)"""
 
 
