@@ -22,7 +22,13 @@ def lwr_orders(c: np.ndarray, trials: int, order: int) -> dict[int, tuple[np.nda
     size, n = c.shape[0], c.shape[2]
     if order >= size:
         raise np.linalg.LinAlgError("order not below window length")
-    total = lambda lo, hi, i, j: sum(c[t - i, t - j] for t in range(lo, hi))
+    # Running sums along the diagonals: c[s, s - d] summed over s, so that any window's total is one difference.
+    along = [np.concatenate([np.zeros((d + 1, n, n)), np.cumsum(c[np.arange(d, size), np.arange(size - d)], axis=0)]) for d in range(order + 2)]
+
+    def total(lo: int, hi: int, i: int, j: int) -> np.ndarray:
+        """Sum of c[t - i, t - j] over lo <= t < hi, for j >= i."""
+        return along[j - i][hi - i] - along[j - i][lo - i] if hi > lo else np.zeros((n, n))
+
     head, tail = total(1, size, 0, 0), total(0, size - 1, 0, 0)
     # Normalised forward (a) and backward (b) prediction filters, coefficient k on sample t - k.
     a, b = [np.linalg.inv(_root(head / (trials * (size - 1))))], [np.linalg.inv(_root(tail / (trials * (size - 1))))]

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,43 +20,93 @@ from ..leaf import mvar, statespace
 PAIR = "subject bigint, src string, tgt string, start int, freq double, f_xy double, f_yx double, status string"
 
 
+#: Values that a task turns into dense arrays at a time, and sums that it holds before it passes them on.
+DENSE_VALUES, HELD_SUMS = 4_000_000, 8_000_000
+
+
 def lag_products(df: DataFrame, max_lag: int, keys: tuple[str, ...] = ("subject",), chan: str = "roi", x: str = "x") -> DataFrame:
     """keys, ci, cj, a, lag, c, n: sums over trials of x_ci(a) x_cj(a + lag) for 0 <= lag <= max_lag.
 
-    The self-join runs within a trial, on the lagged index as a plain equi-key, and is summed on the map side.
+    Samples are brought together trial by trial, in one exchange, and multiplied in blocks of trials inside the tasks;
+    missing samples count in neither c nor n.
     """
-    left = df.select(*keys, "epoch", F.col(chan).alias("ci"), F.col("t_idx").alias("a"), F.col(x).alias("xa")).withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(max_lag)))).withColumn("b", F.col("a") + F.col("lag"))
-    right = df.select(*keys, "epoch", F.col(chan).alias("cj"), F.col("t_idx").alias("b"), F.col(x).alias("xb"))
-    return left.join(right, [*keys, "epoch", "b"]).groupBy(*keys, "ci", "cj", "a", "lag").agg(F.sum(F.col("xa") * F.col("xb")).alias("c"), F.count("*").alias("n"))
+    trial = F.collect_list(F.struct(F.col(chan).alias("c"), F.col("t_idx").cast("int").alias("t"), F.col(x).cast("double").alias("x"))).alias("p")
+    packed = df.where(F.col(x).isNotNull()).groupBy(*keys, "epoch").agg(trial).select(*keys, "p.c", "p.t", "p.x")
+    return _summed(packed, max_lag, keys)
 
 
 def packed_lag_products(packed: DataFrame, max_lag: int, keys: tuple[str, ...] = ("subject",)) -> DataFrame:
-    """The same from one row per trial with ``chans`` (array of string) and ``xs`` (array of arrays of double).
+    """The same from one row per trial with ``chans`` (array of string) and ``xs`` (array of arrays of double), times from 0.
 
-    Tasks hold one running sum per key and set of channels, so trials are never shuffled.
+    Trials are never shuffled.
     """
-    kinds = dict(packed.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ci string, cj string, a int, lag int, c double, n bigint"
+    series = F.transform("xs", lambda v, i: F.transform(v, lambda x, t: F.struct(F.get(F.col("chans"), i).alias("c"), t.alias("t"), x.cast("double").alias("x"))))
+    return _summed(packed.select(*keys, F.flatten(series).alias("p")).select(*keys, "p.c", "p.t", "p.x"), max_lag, keys)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[tuple, list] = {}
-        for part in parts:
-            for row in part.itertuples(index=False):
-                x = np.array([np.asarray(v) for v in row.xs])
-                key = tuple(getattr(row, k) for k in keys) + (tuple(row.chans), x.shape[1])
-                if key not in sums:
-                    sums[key] = [np.zeros((max_lag + 1, len(x), len(x), x.shape[1])), 0]
-                total = sums[key]
-                for lag in range(min(max_lag, x.shape[1] - 1) + 1):
-                    total[0][lag, :, :, : x.shape[1] - lag] += np.einsum("it,jt->ijt", x[:, : x.shape[1] - lag], x[:, lag:])
-                total[1] += 1
-        for key, (c, n) in sums.items():
-            chans, length = key[-2:]
-            lag, i, j, a = np.nonzero(np.arange(length)[None, None, None, :] < (length - np.arange(max_lag + 1))[:, None, None, None] + np.zeros(c.shape[1:3])[None, :, :, None])
-            out = pd.DataFrame({k: v for k, v in zip(keys, key[: len(keys)], strict=True)} | {"ci": np.array(chans)[i], "cj": np.array(chans)[j], "a": a, "lag": lag, "c": c[lag, i, j, a], "n": n})
-            yield out
 
-    return packed.mapInPandas(run, schema).groupBy(*keys, "ci", "cj", "a", "lag").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+def _summed(trials: DataFrame, max_lag: int, keys: tuple[str, ...]) -> DataFrame:
+    """Lag products of trials (keys, c, t, x as arrays side by side): tasks add up dense blocks, Spark adds up tasks."""
+    kinds = dict(trials.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", ci string, cj string, a int, lag int, c double, n bigint"
+    width = len(keys)
+
+    def tell(sums: dict, types: list) -> Iterator[pa.RecordBatch]:
+        for (key, chans, t0), (c, n) in sums.items():
+            lag, a, i, j = np.nonzero(n)
+            names = np.array(chans, dtype=object)
+            head = [pa.array([k] * len(a), type=t) for k, t in zip(key, types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*head, pa.array(names[i], pa.string()), pa.array(names[j], pa.string()), pa.array((a + t0).astype(np.int32)), pa.array(lag.astype(np.int32)), pa.array(c[lag, a, i, j]), pa.array(n[lag, a, i, j])], names=[*keys, "ci", "cj", "a", "lag", "c", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, sums, held = [], {}, 0
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in range(width)]
+            length = np.array([len(v) if v is not None else 0 for v in batch.column(width + 2)], dtype=np.int64)
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(length) // DENSE_VALUES)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                part, size = batch.slice(lo, hi - lo), length[lo:hi]
+                own = pd.MultiIndex.from_arrays([part.column(i).to_pylist() for i in range(width)]) if width > 1 else pd.Index(part.column(0).to_pylist())
+                codes, found = pd.factorize(own)
+                row = np.repeat(np.arange(part.num_rows), size)
+                c, chans = pd.factorize(part.column(width).flatten().to_numpy(zero_copy_only=False), sort=True)
+                t, x = (part.column(width + k).flatten().to_numpy(zero_copy_only=False) for k in (1, 2))
+                for k, key in enumerate(found):
+                    at = np.flatnonzero(codes[row] == k)
+                    if not len(at):
+                        continue
+                    used, ci = np.unique(c[at], return_inverse=True)
+                    place, ri = np.unique(row[at], return_inverse=True)
+                    t0, span = int(t[at].min()), int(t[at].max() - t[at].min()) + 1
+                    dense = np.full((span, len(used), len(place)), np.nan)
+                    dense[t[at] - t0, ci, ri] = x[at]
+                    name = (key if width > 1 else (key,), tuple(chans[used]), t0)
+                    shape = (max_lag + 1, span, len(used), len(used))
+                    if name not in sums or sums[name][0].shape != shape:
+                        if name in sums:
+                            yield from tell({name: sums.pop(name)}, types)
+                        sums[name] = (np.zeros(shape), np.zeros(shape, np.int64))
+                        held += 2 * sums[name][0].size
+                    full = not np.isnan(dense).any()
+                    there = None if full else (~np.isnan(dense)).astype(np.float64)
+                    dense = dense if full else np.nan_to_num(dense, nan=0.0)
+                    for lag in range(min(max_lag, span - 1) + 1):
+                        sums[name][0][lag, : span - lag] += dense[: span - lag] @ dense[lag:].swapaxes(1, 2)
+                        sums[name][1][lag, : span - lag] += len(place) if full else (there[: span - lag] @ there[lag:].swapaxes(1, 2)).round().astype(np.int64)
+                if held > HELD_SUMS:
+                    yield from tell(sums, types)
+                    sums, held = {}, 0
+        yield from tell(sums, types)
+
+    return trials.mapInArrow(run, schema).groupBy(*keys, "ci", "cj", "a", "lag").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+
+
+def by_pair(c: DataFrame, keys: tuple[str, ...] = ("subject",)) -> DataFrame:
+    """Lag products with src < tgt, once for each pair that holds both of their channels: a product of two channels has one
+    pair, one of a channel with itself those with every other channel."""
+    names = c.groupBy(*keys).agg(F.sort_array(F.collect_set("ci")).alias("_names"))
+    pair = lambda o: F.struct(F.least("ci", o).alias("src"), F.greatest("ci", o).alias("tgt"))
+    pairs = F.when(F.col("ci") != F.col("cj"), F.array(pair(F.col("cj")))).otherwise(F.transform(F.filter("_names", lambda o: o != F.col("ci")), pair))
+    return c.join(names, list(keys)).withColumn("_p", F.explode(pairs)).select(*c.columns, "_p.src", "_p.tgt")
 
 
 def lag_means(df: DataFrame, keys: tuple[str, ...] = ("subject",), chan: str = "roi") -> DataFrame:
@@ -69,10 +120,8 @@ def fit_var_ols(c: DataFrame, keys: tuple[str, ...] = ("subject",)) -> DataFrame
     """
     later = F.col("lag") == 1
     pair = lambda i, j, on: F.sum(F.when((F.col("ci") == F.col(i)) & (F.col("cj") == F.col(j)) & on, F.col("c")))
-    names = c.select(*keys, "ci").distinct()
-    pairs = names.withColumnRenamed("ci", "src").join(names.withColumnRenamed("ci", "tgt"), list(keys)).where("src < tgt")
     span = c.groupBy(*keys).agg(F.min("a").alias("t0"), F.max(F.col("a") + F.col("lag")).alias("t1"))
-    rows = c.join(span, list(keys)).join(pairs, list(keys)).where(F.col("ci").isin(F.col("src"), F.col("tgt")) & F.col("cj").isin(F.col("src"), F.col("tgt")))
+    rows = by_pair(c, keys).join(span, list(keys))
     early, late = (F.col("lag") == 0) & (F.col("a") < F.col("t1")), (F.col("lag") == 0) & (F.col("a") > F.col("t0"))
     m = rows.groupBy(*keys, "src", "tgt").agg(
         *[pair(i, j, early).alias(f"p{k}") for i, j, k in (("src", "src", 11), ("src", "tgt", 12), ("tgt", "tgt", 22))],
@@ -161,9 +210,7 @@ def moving_window_pairwise(c: DataFrame, win: int, step: int, order: int, freqs:
     One task group is one pair of one subject; its windows share the table. ``reverse`` fits the time-reversed data. A
     window that can't be fitted gives null values and the reason as status.
     """
-    names = c.select("subject", "ci").distinct()
-    pairs = names.withColumnRenamed("ci", "src").join(names.withColumnRenamed("ci", "tgt"), "subject").where("src < tgt")
-    rows = c.join(pairs, "subject").where(F.col("ci").isin(F.col("src"), F.col("tgt")) & F.col("cj").isin(F.col("src"), F.col("tgt")))
+    rows = by_pair(c)
 
     def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         subject, src, tgt = key
@@ -223,7 +270,25 @@ def conditional_gc(c: DataFrame, order: int, freqs: list[float] | None = None, r
 
     With ``freqs`` also freq and the spectral measure of the partition method, whose mean over all frequencies is f.
     """
-    schema = "subject bigint, src string, tgt string, freq double, f double, status string"
+    return _conditional(c, ["subject"], order, freqs, rate)
+
+
+def moving_window_conditional(c: DataFrame, win: int, step: int, order: int, freqs: list[float] | None = None, rate: float = 1.0) -> DataFrame:
+    """``conditional_gc`` on every window, which adds its first sample as start; a window that can't be fitted has one row
+    with the reason as status. One group is one subject and window."""
+    return _conditional(_windows(c, win, step), ["subject", "start"], order, freqs, rate)
+
+
+def _windows(c: DataFrame, win: int, step: int) -> DataFrame:
+    """Lag products that lie inside each window, with its start."""
+    span = c.groupBy("subject").agg(F.min("a").alias("t0"), F.max(F.col("a") + F.col("lag")).alias("t1"))
+    starts = F.when(F.col("t1") - win + 1 >= F.col("t0"), F.sequence("t0", F.col("t1") - win + 1, F.lit(step)))
+    rows = c.join(span, "subject").withColumn("start", F.explode(starts))
+    return rows.where((F.col("a") >= F.col("start")) & (F.col("a") + F.col("lag") < F.col("start") + win))
+
+
+def _conditional(c: DataFrame, keys: list[str], order: int, freqs: list[float] | None, rate: float) -> DataFrame:
+    schema = "subject bigint, " + "start int, " * (len(keys) - 1) + "src string, tgt string, freq double, f double, status string"
 
     def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         names = sorted(g["ci"].unique())
@@ -235,14 +300,14 @@ def conditional_gc(c: DataFrame, order: int, freqs: list[float] | None = None, r
                 reduced = mvar.lwr(m[:, :, keep][:, :, :, keep], n, order)
                 for t in keep:
                     if freqs is None:
-                        out.append((key[0], src, names[t], None, float(np.log(reduced[1][keep.index(t), keep.index(t)] / full[1][t, t])), "ok"))
+                        out.append((*key, src, names[t], None, float(np.log(reduced[1][keep.index(t), keep.index(t)] / full[1][t, t])), "ok"))
                     else:
-                        out += [(key[0], src, names[t], f, v, "ok") for f, v in zip(freqs, mvar.conditional_spectral(full, reduced, s, t, np.array(freqs), rate), strict=True)]
+                        out += [(*key, src, names[t], f, v, "ok") for f, v in zip(freqs, mvar.conditional_spectral(full, reduced, s, t, np.array(freqs), rate), strict=True)]
         except np.linalg.LinAlgError as e:
-            out.append((key[0], None, None, None, None, str(e)[:60]))
-        return pd.DataFrame(out, columns=["subject", "src", "tgt", "freq", "f", "status"])
+            out = [(*key, None, None, None, None, str(e)[:60])]
+        return pd.DataFrame(out, columns=[*keys, "src", "tgt", "freq", "f", "status"])
 
-    return c.groupBy("subject").applyInPandas(fit, schema)
+    return c.groupBy(*keys).applyInPandas(fit, schema)
 
 
 def returned_grid(df: DataFrame, rate: float, n_times: int) -> DataFrame:
@@ -257,12 +322,10 @@ def under_resolved(bands: DataFrame, sw_ms: float, min_cycles: float = 2.0) -> D
 
 
 
-
 def statespace_gc(c: DataFrame, win: int, step: int, order: int, freqs: list[float] | None = None, rate: float = 1.0) -> DataFrame:
     """subject, start, src, tgt, freq, f, status: state-space GC of every ordered pair given all other channels, on every
     window. Without ``freqs`` the time-domain measure, freq null. One group is one subject and window."""
-    span = c.groupBy("subject").agg(F.min("a").alias("t0"), F.max(F.col("a") + F.col("lag")).alias("t1"))
-    rows = c.join(span, "subject").withColumn("start", F.explode(F.sequence("t0", F.col("t1") - win + 1, F.lit(step)))).where((F.col("a") >= F.col("start")) & (F.col("a") + F.col("lag") < F.col("start") + win))
+    rows = _windows(c, win, step)
     schema = "subject bigint, start int, src string, tgt string, freq double, f double, status string"
 
     def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:

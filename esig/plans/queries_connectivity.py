@@ -152,3 +152,8 @@ def g9(spark, d):
 @query("g10_conditional_gc_spectral")
 def g10(spark, d):
     return G.conditional_gc(wide(spark, d, 2), 2, [2.0, 6.0, 10.0], RATE)
+
+
+@query("g11_moving_window_conditional")
+def g11(spark, d):
+    return G.moving_window_conditional(wide(spark, d, 2), 15, 5, 2, [2.0, 6.0, 10.0], RATE)
