@@ -72,18 +72,18 @@ def resample(df: DataFrame, rate: float, target: float, keys: tuple[str, ...] =
     """keys, t_idx, x at the new rate; unchanged if the rates are within 1 Hz. ``df`` has t_idx from 0 without gaps.
 
     Output sample j stands at input position j * down / up. It is the sum over taps of the reflected input (``reflect``;
-    ``zero`` leaves the outside at 0), as a join of output samples with a small tap table and an equi-join on the input
-    index, so a series may spread over tasks.
+    ``zero`` leaves the outside at 0): an output sample meets the taps of its own phase, a small table, by an equi-join,
+    and then the input by its index, so a series may spread over tasks.
     """
     if abs(rate - target) <= 1:
         return df.select(*keys, "t_idx", "x")
     ratio = Fraction(target).limit_denominator(10**6) / Fraction(rate).limit_denominator(10**6)
     up, down = ratio.numerator, ratio.denominator
-    taps = df.sparkSession.createDataFrame(resample_taps(up, down), "k int, h double")
+    taps = df.sparkSession.createDataFrame([(k % up, k, h) for k, h in resample_taps(up, down)], "phase int, k int, h double")
     size = df.groupBy(*keys).agg((F.max("t_idx") + 1).alias("n"))
     outs = size.withColumn("j", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") * up / down) - 1).cast("int"))))
     # Input sample i contributes through the tap at distance j * down - i * up, in steps of the upsampled grid.
-    rows = outs.join(F.broadcast(taps)).where((F.col("j") * down - F.col("k")) % up == 0)
+    rows = outs.withColumn("phase", F.pmod(F.col("j") * down, F.lit(up)).cast("int")).join(F.broadcast(taps), "phase")
     i = ((F.col("j") * down - F.col("k")) / up).cast("int")
     last = F.col("n") - 1
     if pad == "reflect":

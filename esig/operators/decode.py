@@ -1,12 +1,13 @@
 """Distributed cross-validated decoding.
 
-Folds, pseudo-trials, standardisation and feature scores are DataFrame expressions; a task (subject, roi,
-configuration, window, repeat) fits its folds in a grouped leaf on that window's trials only.
+Folds, pseudo-trials, standardisation and feature scores are DataFrame expressions; a task (subject, roi, duration,
+window) fits the folds of every configuration and repeat in a grouped leaf on that window's trials only.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import classifier_tag, default_c, md5_order
 from ..leaf import classify
+from .windows import prepare_windowed
 
 GRID = (0.01, 0.1, 1.0, 10.0)
 RESULT = "subject bigint, roi string, classifier string, sw_dur int, tuned boolean, w int, ms double, rep int, accuracy double, c double, status string"
@@ -90,17 +92,15 @@ def _grouped(x: np.ndarray, y: np.ndarray, epochs: np.ndarray, g: int, seed: int
 def decode_tasks(windowed: DataFrame, configs: DataFrame, repeats: int = 5, k: int = 5, inner: int = 3, pseudo: int = 1, k_best: int | None = 200, pca: bool = False, seed: int = 0) -> DataFrame:
     """One row per (subject, roi, classifier, sw_dur, tuned, window, repeat) with its mean accuracy over folds.
 
-    ``windowed`` has subject, roi, epoch, y, sw_dur, w, ms_center, features; ``configs`` classifier, sw_dur, tuned, c.
-    Each window's trials are packed once and shared by the configurations and repeats of their duration; a task is
-    one repeat of one configuration, so tuned cells spread over tasks. Cells that can't be fitted have a status.
+    ``windowed`` has subject, roi, epoch, y, sw_dur, w, ms_center, features; ``configs``, a grid of a few rows that is read
+    first, classifier, sw_dur, tuned, c. The trials of a window cross the exchange once; the task that gets them runs
+    every configuration and repeat of their duration. Cells that can't be fitted have a status.
     """
-    cells = windowed.join(F.broadcast(configs.withColumn("c", default_c(F.col("classifier"), F.col("c")))), "sw_dur").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    keys = ["subject", "roi", "classifier", "sw_dur", "tuned", "w", "rep"]
+    every = [tuple(r) for r in configs.select("classifier", "sw_dur", "tuned", default_c(F.col("classifier"), F.col("c"))).distinct().orderBy("classifier", "sw_dur", "tuned").collect()]
+    keys = ["subject", "roi", "sw_dur", "w"]
+    wanted = sorted({c[1] for c in every})
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        rep, name, c = int(key[6]), key[2], float(g["c"].iloc[0])
-        g = g.sort_values("epoch")
-        x, y, epochs = np.array(g["features"].tolist()), g["y"].to_numpy(), g["epoch"].to_numpy()
+    def one(x: np.ndarray, y: np.ndarray, epochs: np.ndarray, name: str, tuned: bool, c: float, rep: int) -> tuple:
         try:
             if min((y == 0).sum(), (y == 1).sum()) < k:
                 raise ValueError("fewer trials of a class than folds")
@@ -108,28 +108,50 @@ def decode_tasks(windowed: DataFrame, configs: DataFrame, repeats: int = 5, k: i
             for f in range(k):
                 best = c
                 tx, ty, te = x[fold != f], y[fold != f], epochs[fold != f]
-                if key[4] and name != "lda":
+                if tuned and name != "lda":
                     part = _fold_ids(te, ty, 100 + rep, inner, seed)
-                    score = []
-                    for v in GRID:
-                        got = []
-                        for i in range(inner):
-                            px, py = _grouped(tx[part != i], ty[part != i], te[part != i], pseudo, seed)
-                            a, b = _prepare(px, py, tx[part == i], k_best, pca)
-                            got.append(np.mean(classify.predict(classify.fit(name, a, py, v), b) == ty[part == i]))
-                        score.append(np.mean(got))
-                    best = GRID[int(np.argmax(score))]
+                    score = np.zeros((inner, len(GRID)))
+                    for i in range(inner):
+                        px, py = _grouped(tx[part != i], ty[part != i], te[part != i], pseudo, seed)
+                        a, b = _prepare(px, py, tx[part == i], k_best, pca)
+                        score[i] = [np.mean(classify.predict(classify.fit(name, a, py, v), b) == ty[part == i]) for v in GRID]
+                    best = GRID[int(np.argmax(score.mean(axis=0)))]
                 px, py = _grouped(tx, ty, te, pseudo, seed)
                 a, b = _prepare(px, py, x[fold == f], k_best, pca)
                 hits.append(np.mean(classify.predict(classify.fit(name, a, py, best), b) == y[fold == f]))
                 chosen.append(best)
             values, n = np.unique(chosen, return_counts=True)
-            out = (float(np.mean(hits)), float(values[n.argmax()]), "ok")
+            return float(np.mean(hits)), float(values[n.argmax()]), "ok"
         except (ValueError, np.linalg.LinAlgError) as e:
-            out = (None, None, str(e)[:60])
-        return pd.DataFrame([(key[0], key[1], name, key[3], key[4], key[5], float(g["ms_center"].iloc[0]), rep, *out)], columns=[p.split()[0] for p in RESULT.split(", ")])
+            return None, None, str(e)[:60]
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("epoch")
+        x, y, epochs, ms = np.array(g["features"].tolist()), g["y"].to_numpy(), g["epoch"].to_numpy(), float(g["ms_center"].iloc[0])
+        out = [(key[0], key[1], name, key[2], tuned, key[3], ms, rep, *one(x, y, epochs, name, tuned, c, rep)) for name, dur, tuned, c in every if dur == key[2] for rep in range(repeats)]
+        return pd.DataFrame(out, columns=[p.split()[0] for p in RESULT.split(", ")])
+
+    return windowed.where(F.col("sw_dur").isin(wanted)).groupBy(*keys).applyInPandas(run, RESULT)
 
-    return cells.groupBy(*keys).applyInPandas(run, RESULT)
+
+def decode_sliding(signals: DataFrame, configs: DataFrame, tmin: float, tmax: float, rate: float, step_ms: float, **params) -> DataFrame:
+    """``decode_window`` on every sliding window of signals (subject, roi, epoch, y, vertex, t_s, x), of each duration of
+    ``configs``: windows are averaged, their trials packed and decoded in one call. ``params`` go to ``decode_tasks``."""
+    durations = sorted(r[0] for r in configs.select("sw_dur").distinct().collect())
+    parts = [prepare_windowed(signals, tmin, tmax, rate, d, step_ms).withColumn("sw_dur", F.lit(d)) for d in durations]
+    return decode_window(decode_tasks(reduce(DataFrame.unionByName, parts), configs, **params))
+
+
+def decode_subjects(windowed: DataFrame, classifier: str, sw_dur: int, tuned: bool = False, c: float | None = None, **params) -> tuple[DataFrame, DataFrame]:
+    """(results, failed): every subject decoded with one fixed configuration.
+
+    ``results`` are those of ``decode_window``; ``failed`` has subject, roi, n_failed and reason (the first by text) of the
+    subjects and regions of which some window could not be fitted, so that one bad subject doesn't stop the rest.
+    """
+    grid = windowed.sparkSession.createDataFrame([(classifier, sw_dur, tuned, c)], "classifier string, sw_dur int, tuned boolean, c double")
+    tasks = decode_tasks(windowed, grid, **params)
+    failed = tasks.where("status <> 'ok'").groupBy("subject", "roi").agg(F.countDistinct("w").alias("n_failed"), F.min("status").alias("reason"))
+    return decode_window(tasks), failed
 
 
 def decode_window(tasks: DataFrame) -> DataFrame:

@@ -1,35 +1,100 @@
 """Spatial reduction and linear projection.
 
-Gram matrices, covariances and the application of filters are joins and sums; only the small matrix of one region,
-trial or subject is solved in a grouped leaf.
+Gram matrices and covariances are partial sums of the tasks, the application of filters is a join and a sum; only the
+small matrix of one region, trial or subject is solved in a grouped leaf.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..leaf.classify import leading
 
 SIGNAL = ("subject", "roi", "epoch", "t_idx")
 
 
+#: Sums of products that a task holds before it passes them on.
+HELD_SUMS = 4_000_000
+
+
+def moments(df: DataFrame, keys: list[str], unit: str, sample: tuple[str, ...]) -> DataFrame:
+    """keys, i, j, n, g, mi, mj, cij, cii, cjj for i <= j: over the samples that hold both units their number, the sum of
+    x_i x_j, the means and the sums of products of deviations.
+
+    The units of a sample are brought together in one exchange; tasks multiply blocks of samples and pass on partial
+    sums, which Spark adds up. No row meets another by a join.
+    """
+    over = list(dict.fromkeys([*keys, *sample]))
+    kinds = dict(df.dtypes)
+    packed = df.where(F.col("x").isNotNull()).groupBy(*over).agg(F.array_sort(F.collect_list(F.struct(F.col(unit).alias("u"), F.col("x").cast("double").alias("x")))).alias("p"))
+    head, width = ", ".join(f"{c} {kinds[c]}" for c in keys), len(keys)
+    fields = ["n", "g", "mi", "mj", "cij", "cii", "cjj"]
+
+    def tell(sums: dict) -> Iterator[pa.RecordBatch]:
+        columns: list[list] = [[] for _ in range(width + 2 + len(fields))]
+        for (key, units), (n, g, mean, c) in sums.items():
+            i, j = np.triu_indices(len(units))
+            d = np.diag(c)
+            for at, v in enumerate((*[[k] * len(i) for k in key], [units[k] for k in i], [units[k] for k in j], [n] * len(i), g[i, j], mean[i], mean[j], c[i, j], d[i], d[j])):
+                columns[at].extend(v)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(columns, target, strict=True)], schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, held = {}, 0
+        for b in batches:
+            size = np.array([len(v) for v in b.column(width)], dtype=np.int64)
+            ends = np.cumsum(size)
+            u, x = (b.column(width + k).flatten().to_numpy(zero_copy_only=False) for k in (0, 1))
+            own = list(zip(*[b.column(i).to_pylist() for i in range(width)], strict=True)) if width else [()] * b.num_rows
+            groups: dict[tuple, list[int]] = {}
+            for row, key in enumerate(own):
+                groups.setdefault((key, tuple(u[ends[row] - size[row] : ends[row]].tolist())), []).append(row)
+            for name, rows in groups.items():
+                m = len(name[1])
+                block = x[(ends[rows] - m)[:, None] + np.arange(m)]
+                n, mean = len(rows), block.mean(axis=0)
+                off = block - mean
+                g, c = block.T @ block, off.T @ off
+                if name in sums:
+                    n0, g0, mean0, c0 = sums[name]
+                    step = mean - mean0
+                    c = c + c0 + np.outer(step, step) * (n * n0 / (n + n0))
+                    n, g, mean = n + n0, g + g0, mean0 + step * (n / (n + n0))
+                else:
+                    held += 2 * m * m
+                sums[name] = (n, g, mean, c)
+            if held > HELD_SUMS:
+                yield from tell(sums)
+                sums, held = {}, 0
+        yield from tell(sums)
+
+    schema = f"{head}{', ' if head else ''}i {kinds[unit]}, j {kinds[unit]}, n bigint, " + ", ".join(f"{c} double" for c in fields[1:])
+    target = to_arrow_schema(StructType.fromDDL(schema))
+    parts = packed.select(*keys, "p.u", "p.x").mapInArrow(run, schema)
+    n = F.sum("n")
+    mean = {c: F.sum(F.col("n") * F.col(c)) / n for c in ("mi", "mj")}
+    between = lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b)) - F.sum(F.col("n") * F.col(a)) * F.sum(F.col("n") * F.col(b)) / n
+    pooled = {"cij": ("mi", "mj"), "cii": ("mi", "mi"), "cjj": ("mj", "mj")}
+    return parts.groupBy(*keys, "i", "j").agg(n.alias("n"), F.sum("g").alias("g"), *[m.alias(c) for c, m in mean.items()], *[F.when(F.count("*") > 1, F.sum(c) + between(*ab)).otherwise(F.sum(c)).alias(c) for c, ab in pooled.items()])
+
+
 def gram(df: DataFrame, keys: list[str], unit: str = "vertex", sample: tuple[str, ...] = ("epoch", "t_idx")) -> DataFrame:
     """keys, i, j, g, n: sums over samples of x_i x_j for i <= j."""
-    over = list(dict.fromkeys([*keys, *sample]))
-    one = df.select(*over, F.col(unit).alias("i"), F.col("x").alias("xi"))
-    two = df.select(*over, F.col(unit).alias("j"), F.col("x").alias("xj"))
-    return one.join(two, over).where("i <= j").groupBy(*keys, "i", "j").agg(F.sum(F.col("xi") * F.col("xj")).alias("g"), F.count("*").alias("n"))
+    return moments(df, keys, unit, sample).select(*keys, "i", "j", "g", "n")
 
 
 def covariance(df: DataFrame, keys: list[str], unit: str = "chan", sample: tuple[str, ...] = ("epoch", "t_idx")) -> DataFrame:
     """keys, i, j, cov (denominator n - 1) of units over samples pooled across trials, i <= j."""
-    over = list(dict.fromkeys([*keys, *sample]))
-    one = df.select(*over, F.col(unit).alias("i"), F.col("x").alias("xi"))
-    two = df.select(*over, F.col(unit).alias("j"), F.col("x").alias("xj"))
-    return one.join(two, over).where("i <= j").groupBy(*keys, "i", "j").agg(F.covar_samp("xi", "xj").alias("cov"))
+    return moments(df, keys, unit, sample).select(*keys, "i", "j", F.when(F.col("n") > 1, F.col("cij") / (F.col("n") - 1)).alias("cov"))
 
 
 def _square(g: pd.DataFrame, value: str) -> tuple[list, np.ndarray]:
@@ -232,8 +297,7 @@ def dspm_weights(gain: DataFrame, noise_cov: DataFrame, snr: float = 3.0) -> Dat
 def collapsed_check(df: DataFrame, keys: list[str], unit: str = "vertex", r_above: float = 0.999) -> DataFrame:
     """keys, min_r, spread, collapsed: least correlation of two vertices and mean deviation across vertices."""
     over = [*keys, "epoch", "t_idx"]
-    one = df.select(*over, F.col(unit).alias("i"), F.col("x").alias("xi"))
-    two = df.select(*over, F.col(unit).alias("j"), F.col("x").alias("xj"))
-    r = one.join(two, over).where("i < j").groupBy(*keys, "i", "j").agg(F.corr("xi", "xj").alias("r")).groupBy(*keys).agg(F.min("r").alias("min_r"))
+    r = F.try_divide(F.col("cij"), F.sqrt(F.col("cii") * F.col("cjj")))
+    r = moments(df, keys, unit, ("epoch", "t_idx")).where("i < j").groupBy(*keys).agg(F.min(r).alias("min_r"))
     spread = df.groupBy(*over).agg(F.stddev_pop("x").alias("s")).groupBy(*keys).agg(F.avg("s").alias("spread"))
     return r.join(spread, keys).withColumn("collapsed", F.col("min_r") > r_above)

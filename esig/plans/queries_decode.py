@@ -136,21 +136,45 @@ def d4(spark, d):
     return rounded(decode.select_k_best(vertices(spark, d), ["subject", "t_idx"], 3), "f")
 
 
-def windowed(spark, d):
-    s = vertices(spark, d).withColumn("t_s", F.col("t_idx") / 100.0)
-    return windows.prepare_windowed(s, 0.0, 0.07, 100.0, 40.0, 20.0).withColumn("sw_dur", F.lit(40))
+def sessions(spark, d):
+    """The vertices with 200 trials to a subject, so that more rows are more subjects and no cell grows."""
+    return vertices(spark, d).withColumn("subject", F.floor(F.col("epoch") / 200)).withColumn("t_s", F.col("t_idx") / 100.0)
+
+
+def windowed(spark, d, sw_ms=40):
+    return windows.prepare_windowed(sessions(spark, d), 0.0, 0.07, 100.0, float(sw_ms), 20.0).withColumn("sw_dur", F.lit(sw_ms))
+
+
+def grid(spark, names, durations=(40,), tuned=(False, True)):
+    return select.explore_grid(spark, names, list(durations), tuned).withColumn("c", F.lit(None).cast("double"))
+
+
+@query("d5_decode_pca")
+def d5(spark, d):
+    return decode.decode_window(decode.decode_tasks(windowed(spark, d), grid(spark, ["svm", "lda"], tuned=(False,)), k_best=None, pca=True))
 
 
 @query("d10_decode_window")
 def d10(spark, d):
-    grid = select.explore_grid(spark, ["svm", "lda"], [40], (False,)).withColumn("c", F.lit(None).cast("double"))
-    return decode.decode_window(decode.decode_tasks(windowed(spark, d), grid, repeats=2))
+    return decode.decode_window(decode.decode_tasks(windowed(spark, d), grid(spark, ["svm", "lda"], tuned=(False,))))
+
+
+@query("d11_decode_sliding")
+def d11(spark, d):
+    return decode.decode_sliding(sessions(spark, d), grid(spark, ["lda"], (20, 40), (False,)), 0.0, 0.07, 100.0, 20.0)
 
 
 @query("d12_decode_sweep")
 def d12(spark, d):
-    grid = select.explore_grid(spark, ["svm", "logistic"], [40]).withColumn("c", F.lit(None).cast("double"))
-    return decode.decode_window(decode.decode_tasks(windowed(spark, d).where("w = 0"), grid, repeats=1, inner=3))
+    return decode.decode_sliding(sessions(spark, d), grid(spark, ["svm", "logistic"], (20, 40)), 0.0, 0.07, 100.0, 20.0)
+
+
+@query("d13_decode_subjects")
+def d13(spark, d):
+    rows = windowed(spark, d).where("subject > 0 OR epoch < 6")  # a subject of too few trials, which fails and is reported
+    done, failed = decode.decode_subjects(rows, "svm", 40)
+    ok = done.groupBy("subject", "roi").agg(F.count("*").alias("n_windows"), F.avg("decode_acc").alias("mean_acc"))
+    return ok.join(failed, ["subject", "roi"], "full")
 
 
 @query("d14_best_params_text", V.LINEITEM_SWEEP, "SELECT subject, classifier, sw_dur, ms, CASE WHEN classifier = 'R' THEN 'lda' ELSE 'svm(C=' || CASE best_c WHEN 1 THEN '1' WHEN 0.1::DOUBLE THEN '0.1' WHEN 0.01::DOUBLE THEN '0.01' ELSE '0.001' END || '; C_sel=' || round_even(accuracy * 100, 0)::INTEGER || '%)' END AS label FROM swp")

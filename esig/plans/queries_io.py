@@ -8,6 +8,7 @@ from ..operators import sets
 from ..sources import signals as S
 from ..sources import views as V
 from ..streaming import incremental as Z
+from .queries_decode import VTX, vertices
 from .registry import query, rounded
 
 
@@ -63,6 +64,13 @@ def s6(spark, d):
     return rounded(S.read_gc_group(spark.read.parquet(path).where(F.col("run_id") == run)).select("subject", "src", "tgt", "ms", "gc"), "gc")
 
 
+@query("s7_reduced_cache", VTX, "pw AS (SELECT subject, roi, vertex, round(var_pop(x), 9) AS p FROM vx GROUP BY ALL)", "tp AS (SELECT subject, roi, arg_min(vertex, (-p, vertex)) AS v FROM pw GROUP BY ALL)", "SELECT subject, roi, epoch, t_idx, x FROM vx JOIN tp USING (subject, roi) WHERE vertex = v")
+def s7(spark, d):
+    path, v = S.scratch(spark, "reduced"), vertices(spark, d)
+    S.write_reduced(v.where("subject < 5"), path, "maxpower")
+    return S.write_reduced(v, path, "maxpower")
+
+
 @query("s8_discover_runs", V.LINEITEM_SWEEP, "SELECT classifier, sw_dur, count(DISTINCT subject) AS n_subjects, count(*) AS n_rows FROM swp GROUP BY ALL")
 def s8(spark, d):
     return S.discover_runs(V.lineitem_sweep(spark, d), ["classifier", "sw_dur"])

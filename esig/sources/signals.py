@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import spatial
+
 SIGNALS = "subject bigint, task string, contrast string, epoch bigint, y int, chan int, t_idx int, t_s double, x double, roi string"
 
 
@@ -50,6 +52,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def write_reduced(signals: DataFrame, path: str, method: str = "pc", keys: tuple[str, ...] = ("subject", "roi")) -> DataFrame:
+    """Keep the signals of each region reduced to one series, in a cache partitioned by method and region; returns the
+    cached rows of the method: subject, roi, epoch, t_idx, x.
+
+    ``method`` is pc (first component), mean or maxpower. Subjects and regions that the cache holds under the method
+    already are not reduced again.
+    """
+    spark = signals.sparkSession
+    if exists(spark, path):
+        have = spark.read.parquet(path).where(F.col("method") == method).select(*keys).distinct()
+        signals = signals.join(have, list(keys), "left_anti")
+    one = spatial.first_pc(signals, keys) if method == "pc" else spatial.aggregate_variants(signals, keys).withColumn("x", F.col(method))
+    out = one.select(*keys, "epoch", "t_idx", "x").withColumn("method", F.lit(method))
+    out.repartition("roi").write.partitionBy("method", "roi").mode("append").parquet(path)
+    return spark.read.parquet(path).where(F.col("method") == method).select(*keys, "epoch", "t_idx", "x")
+
+
 def find_cached(roots: list[DataFrame], keys: list[str]) -> DataFrame:
     """The first hit of each key over tables in order of preference, with its place as ``priority``."""
     rows = None
