@@ -155,6 +155,15 @@ def test_contexts_find_unseen_identifiers(spark, none):
     assert all(got[i] == (1, []) for i, _ in seen)
 
 
+def test_hidden_seeds_come_back(spark):
+    rng = random.Random(3)
+    rows = [(i, f"{rng.choice(['see', 'by', 'at'])} a{rng.randrange(10**6)}@mail.example.org {rng.choice(['or', 'and', 'if'])}\n10.{rng.randrange(256)}.{rng.randrange(256)}.7 was up") for i in range(300)]
+    got = {r.k: r for r in pii.hidden_seeds(spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id bigint, text string")).collect()}
+    assert all(got[k].n_hidden > 10 and got[k].n_found == got[k].n_hidden and got[k].n_wrong == 0 for k in (0, 1))
+    words = pii.base_spans(spark.createDataFrame([(1, "one  two\t1234 six\n 99887 x")], "doc_id bigint, text string")).first().words
+    assert [(w.txt, w.ctx, w.nxt) for w in words] == [("1234", "one two", "six"), ("99887", "\nsix", "x")]
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------
 def test_quality_rules(docs, rows, labels, none):
     assert quality_rules.apply_rules(none, labels).count() == 0
