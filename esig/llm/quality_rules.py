@@ -1,7 +1,7 @@
 """Rule-based quality with a hashed n-gram likelihood ratio. DataFrame functions only.
 
-Every document is a bag of hashed n-grams: its words, and the character 5-grams across each word boundary (two
-characters, the gap, two characters). Two multinomials over the hash buckets are estimated, one from a trusted
+Every document is a bag of hashed n-grams: its words, the pairs of neighbouring words, and the character 5-grams across
+each word boundary (two characters, the gap, two characters). Two multinomials over the hash buckets are estimated, one from a trusted
 target and one from the raw corpus, and a document's score is the mean over its n-grams of the log ratio of the
 two. Documents below a fixed threshold are rejected, as are those that fail the base rules.
 """
@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from .util import BLANK_CLASS, BLANKS, stage_table
 
-#: Hash buckets of each kind of n-gram.
-BUCKETS = 1 << 14
+#: Hash buckets of each kind of n-gram. The three weight tables are broadcast, so their size is bounded by this: 3 MB each.
+BUCKETS = 1 << 16
+#: Fitted on the labels outside fold 0 of the sf0.1 tables, documents that pass the base rules scored as follows: good ones
+#: -0.034 and up (held out in fold 0: -0.100), bad ones -0.986 and down (held out: -1.131). Any threshold between keeps all
+#: good and rejects all bad ones; this one lies a third of the way down, on the side of keeping.
 THRESHOLD = -0.35
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -61,17 +64,18 @@ def base_rules(docs: DataFrame) -> DataFrame:
     return rows.withColumn("base_failed", failed)
 
 
-def ngrams(docs: DataFrame, *more: Column) -> DataFrame:
-    """doc_id, th, the further columns and one row per word with its two buckets, word and boundary."""
+def ngrams(docs: DataFrame, *more: Column, buckets: int = BUCKETS) -> DataFrame:
+    """doc_id, th, the further columns and one row per word with its three buckets: word, boundary and pair."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), *more, words_of(text).alias("w"))
     rows = rows.select("doc_id", "th", *[c for c in rows.columns if c not in ("doc_id", "th", "w")], F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("b"))).alias("z"))
-    word = F.pmod(F.xxhash64(F.col("z.a")), F.lit(BUCKETS)).cast("int")
-    edge = F.concat(F.right("z.a", F.lit(2)), F.lit(" "), F.left(F.coalesce("z.b", F.lit("")), F.lit(2)))
-    return rows.select(*[c for c in rows.columns if c != "z"], word.alias("b1"), (BUCKETS + F.pmod(F.xxhash64(edge), F.lit(BUCKETS))).cast("int").alias("b2"))
+    follower = F.coalesce("z.b", F.lit(""))
+    edge = F.concat(F.right("z.a", F.lit(2)), F.lit(" "), F.left(follower, F.lit(2)))
+    hashes = (F.xxhash64("z.a"), F.xxhash64(edge), F.xxhash64("z.a", follower))
+    return rows.select(*[c for c in rows.columns if c != "z"], *[(k * buckets + F.pmod(h, F.lit(buckets))).cast("int").alias(f"b{k + 1}") for k, h in enumerate(hashes)])
 
 
-def fit_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def fit_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """b, w: log ratio of target to raw probability of every bucket that occurs, add-one smoothed.
 
     The target counts cover all trusted documents, the raw counts the whole corpus.
@@ -82,17 +86,17 @@ def fit_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marked = marked.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("id"), spread.alias("part"))
     trusted = trusted.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("part"), F.lit(1).alias("hit"))
     marked = marked.join(trusted.hint("shuffle_hash"), ["id", "part"], "left")  # at every size the same plan
-    grams = ngrams(marked, F.coalesce("hit", F.lit(0)).alias("hit"))
-    counts = grams.select("hit", F.explode(F.array("b1", "b2")).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("hit").alias("target"))
+    grams = ngrams(marked, F.coalesce("hit", F.lit(0)).alias("hit"), buckets=buckets)
+    counts = grams.select("hit", F.explode(F.array("b1", "b2", "b3")).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("hit").alias("target"))
     counts = stage_table(counts, "rules-counts")
-    kind = F.when(F.col("b") < BUCKETS, 0).otherwise(1)
+    kind = F.floor(F.col("b") / buckets).cast("int")
     totals = counts.groupBy(kind.alias("kind")).agg(F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
     both = counts.withColumn("kind", kind).join(F.broadcast(totals), "kind")
-    ratio = F.log((F.col("target") + 1) / (F.col("targets") + BUCKETS)) - F.log((F.col("raw") + 1) / (F.col("raws") + BUCKETS))
+    ratio = F.log((F.col("target") + 1) / (F.col("targets") + buckets)) - F.log((F.col("raw") + 1) / (F.col("raws") + buckets))
     return stage_table(both.select("b", ratio.alias("w")), "rules-weights")
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, the base measures, base_failed, score and kept for every row of ``docs`` (doc_id, text).
 
     ``labels`` (doc_id, quality) names the trusted documents by quality 1. The score is rounded to 9 places before it
@@ -100,11 +104,14 @@ def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
     the base rules, as any text under 50 words; without trusted documents every bucket has the ratio of the
     smoothing alone. Repeated rows get equal results. Other columns are not read.
     """
-    weights = fit_weights(docs, labels)
+    weights = fit_weights(docs, labels, buckets)
     base = stage_table(base_rules(docs), "rules-base")
-    one, two = weights.select(F.col("b").alias("b1"), F.col("w").alias("w1")), weights.select(F.col("b").alias("b2"), F.col("w").alias("w2"))
-    grams = ngrams(docs).join(F.broadcast(one), "b1").join(F.broadcast(two), "b2")
-    scores = grams.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.round(F.avg(F.col("w1") + F.col("w2")) / 2, 9).alias("score"))
+    grams = ngrams(docs, buckets=buckets)
+    for k in range(3):
+        kind = weights.where((F.col("b") >= k * buckets) & (F.col("b") < (k + 1) * buckets))
+        grams = grams.join(F.broadcast(kind.select(F.col("b").alias(f"b{k + 1}"), F.col("w").alias(f"w{k + 1}"))), f"b{k + 1}")
+    mean = F.avg(F.col("w1") + F.col("w2") + F.col("w3")) / 3
+    scores = grams.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.round(mean, 9).alias("score"))
     out = base.join(scores, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
     kept = ~F.col("base_failed") & (F.coalesce("score", F.lit(0.0)) >= threshold)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", kept.alias("kept"))

@@ -189,7 +189,7 @@ def test_quality_score_is_the_mean_log_ratio(spark):
     weights = {r.b: r.w for r in quality_rules.fit_weights(df, known).collect()}
     grams = defaultdict(list)
     for r in quality_rules.ngrams(df).collect():
-        grams[r.doc_id] += [weights[r.b1], weights[r.b2]]
+        grams[r.doc_id] += [weights[r.b1], weights[r.b2], weights[r.b3]]
     score = {r.doc_id: r.score for r in quality_rules.apply_rules(df, known).collect()}
     assert all(score[i] == pytest.approx(np.mean(w), abs=1e-8) for i, w in grams.items())
     assert min(score[i] for i, _ in good) > max(score[i] for i, _ in bad)
