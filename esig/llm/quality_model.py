@@ -150,10 +150,12 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, fit_rows: int = FIT_ROWS) -> Network:
-    """A network fitted on at most ``fit_rows`` labelled documents, taken in order of a hash of their ids."""
+    """A network fitted on at most ``fit_rows`` labelled documents, taken in order of a hash of their ids. Of rows that share
+    an id one text counts."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).where("y IN (0, 1)")
     known = known.withColumn("f", fold()).where("f <> 0").orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(fit_rows)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "y", "f", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
+    rows = rows.groupBy("doc_id", "y", "f").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # an id counts once, however often it comes
     data = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
