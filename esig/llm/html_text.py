@@ -5,7 +5,9 @@ parent-child edge has a potential by the kind of the child. Sum-product messages
 the tree and give each element's content marginal; the text of elements above one half is the page's main text.
 
 Potentials are trained from labelled pages: a fixed set written for this module, and a bounded sample of the given
-pages that say themselves where their article is (an article or main element, or the role or property for it).
+pages that say themselves where their article is (an article or main element, or the role or property for it). Each of
+these is learned from twice, as it is and without its names and telling elements, so that the model also learns what an
+article looks like where nothing says so.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from .util import text_chunks
 FIT_PAGES = 500
 #: Pages longer than this many characters aren't trained on; every page is extracted whole.
 FIT_CHARS = 200_000
+#: Plain children of a parent whose own evidence counts in full.
+SIBLING_VOTES = 8
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 #: Elements by their role in a page.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -238,6 +242,8 @@ def _close_last(nodes: list[Node], stack: list[int], tag: str, flush) -> None:
             return
 
 
+#: Elements whose names tell their part in a page.
+TELLING = frozenset("article main nav aside footer header form menu search dialog address section hgroup".split())
 TAGS = {t: i for i, t in enumerate(sorted(BLOCKS))}
 WIDTH = len(TAGS) + 16
 
@@ -262,7 +268,7 @@ def features(n: Node) -> list[int]:
 def edge_kind(n: Node) -> int:
     """0: a plain text element, which follows its parent; 1: one that names itself; 2: a container."""
     named = bool(n.names) and (AWAY.search(n.names) or TOWARD.search(n.names))
-    return 1 if named or n.tag in ("article", "main", "nav", "aside", "footer", "header", "form", "menu", "search", "dialog", "address") else 0 if n.tag in PLAIN else 2
+    return 1 if named or n.tag in TELLING - {"section", "hgroup"} else 0 if n.tag in PLAIN else 2
 
 
 def labels_by_markup(nodes: list[Node]) -> list[int] | None:
@@ -278,6 +284,16 @@ def labels_by_markup(nodes: list[Node]) -> list[int] | None:
     return out
 
 
+def stripped(nodes: list[Node]) -> list[Node]:
+    """The nodes without class names and ids, and with elements that tell their part as plain ones."""
+    out = []
+    for n in nodes:
+        m = Node("div" if n.tag in TELLING else n.tag, n.parent, "", n.label)
+        m.words, m.linked, m.stops, m.kids, m.below, m.below_linked = n.words, n.linked, n.stops, n.kids, n.below, n.below_linked
+        out.append(m)
+    return out
+
+
 def labels_given(nodes: list[Node]) -> list[int]:
     out = []
     for n in nodes:
@@ -286,19 +302,30 @@ def labels_given(nodes: list[Node]) -> list[int]:
 
 
 class Model:
-    """Node weights and edge potentials of the tree."""
+    """Node weights, edge potentials and the log odds of content by the kind of edge, at which a child tells its parent nothing."""
 
-    def __init__(self, weights: np.ndarray, edges: np.ndarray):
-        self.weights, self.edges = weights.tolist(), edges.tolist()
+    def __init__(self, weights: np.ndarray, edges: np.ndarray, prior: np.ndarray):
+        self.weights, self.edges, self.prior = weights.tolist(), edges.tolist(), prior.tolist()
 
-    def marginals(self, nodes: list[Node]) -> list[float]:
-        """P(content) of every node by one upward and one downward pass; the page's top elements have no parent edge."""
+    def potentials(self, nodes: list[Node], kinds: list[int]) -> list[float]:
+        """Odds of content of every node by its own features. Plain children of one parent tell much the same, so that more
+        than ``SIBLING_VOTES`` of them count as that many together: a long list can't outvote the article it is in."""
+        alike = [0] * len(nodes)
+        for n, kind in zip(nodes[1:], kinds[1:], strict=True):
+            alike[n.parent] += kind == 0
         own = [1.0] * len(nodes)
         for i, n in enumerate(nodes[1:], 1):
-            own[i] = math.exp(max(-30.0, min(30.0, sum([self.weights[f] for f in features(n)]))))
-        up = list(own)
-        message = [1.0] * len(nodes)
+            odds = sum([self.weights[f] for f in features(n)])
+            if kinds[i] == 0 and n.parent > 0 and alike[n.parent] > SIBLING_VOTES:
+                odds = self.prior[0] + (odds - self.prior[0]) * SIBLING_VOTES / alike[n.parent]
+            own[i] = math.exp(max(-30.0, min(30.0, odds)))
+        return own
+
+    def marginals(self, nodes: list[Node]) -> list[float]:
+        """P(content) of every node by one upward and one downward pass; the page's top elements have no parent edge."""
         kinds = [edge_kind(n) for n in nodes]
+        up = self.potentials(nodes, kinds)
+        message = [1.0] * len(nodes)
         for i in range(len(nodes) - 1, 0, -1):
             p = nodes[i].parent
             if p > 0:
@@ -321,10 +348,12 @@ class Model:
 
 
 def train(pages: list[str]) -> Model:
-    """Potentials from the fixed labelled pages, each counted as often as keeps them a third of all, and ``pages``."""
+    """Potentials from the fixed labelled pages, each counted as often as keeps them a fifth of all, and ``pages``, as they
+    are and stripped."""
     fixed = [(n, labels_given(n)) for n in (parse(p)[0] for p in LABELLED_PAGES)]
     own = [(n, y) for n in (parse(p)[0] for p in pages) if (y := labels_by_markup(n)) is not None]
-    weight = max(1.0, len(own) / (2 * len(fixed)))
+    own += [(stripped(n), y) for n, y in own]
+    weight = max(1.0, len(own) / (4 * len(fixed)))
     rows, target, mass, edges = [], [], [], np.ones((3, 2, 2))
     for group, w in ((fixed, weight), (own, 1.0)):
         for nodes, y in group:
@@ -345,7 +374,8 @@ def train(pages: list[str]) -> Model:
         h = (x * (m * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(WIDTH)
         w -= np.linalg.solve(h, g)
     share = edges / edges.sum(axis=2, keepdims=True)
-    return Model(w, share / (edges.sum(axis=1, keepdims=True) / edges.sum(axis=(1, 2), keepdims=True)))
+    both = edges.sum(axis=1)
+    return Model(w, share / (both / edges.sum(axis=(1, 2))[:, None])[:, None, :], np.log(both[:, 1] / both[:, 0]))
 
 
 def extract_text(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
@@ -360,7 +390,7 @@ def extract_text(pages: DataFrame, fit_pages: int = FIT_PAGES) -> DataFrame:
     marks = ("<article", "<main", "articlebody", "role=main", 'role="main', "role='main")
     named = low.where(reduce(lambda a, b: a | b, [F.col("low").contains(m) for m in marks]))
     ids = named.select("page_id", F.xxhash64("html").alias("h")).distinct().orderBy(F.xxhash64("page_id", "h"), "page_id").limit(fit_pages)
-    sample = rows.withColumn("h", F.xxhash64("html")).join(F.broadcast(ids), ["page_id", "h"]).select("page_id", "h", "html")
+    sample = rows.withColumn("h", F.xxhash64("html")).join(F.broadcast(ids), ["page_id", "h"]).select("page_id", "h", "html").dropDuplicates(["page_id", "h"])
     model = pages.sparkSession.sparkContext.broadcast(train([r["html"] for r in sorted(sample.collect(), key=lambda r: (r["page_id"], r["h"]))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

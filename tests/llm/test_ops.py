@@ -50,6 +50,16 @@ def test_bpe_query(docs, rows, none, encoding):
     assert all(bytes(r.decoded) == (r.text or "").encode() and r.exact for r in both)
 
 
+def test_bpe_long_texts_and_repeated_rows(spark, encoding):
+    """Texts beyond the default leaf, so that joins happen at it."""
+    enc, rng = encoding[1], random.Random(12)
+    words = ["the", "Grüße", "don't", "42", "…", "中文", "x" * 300, "\n\n", "  "]
+    texts = [" ".join(rng.choice(words) for _ in range(4000)), "a" * 9000, "".join(rng.choice("ab ") for _ in range(9000))]
+    df = spark.createDataFrame([(7, t) for t in texts] + [(7, texts[0])], "doc_id bigint, text string")
+    want = sorted((len(i), hashlib.sha256(struct.pack(f"<{len(i)}I", *i)).hexdigest(), brute.sha(t)) for t in [*texts, texts[0]] for i in [enc.encode_ordinary(t)])
+    assert sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.bpe_digest(df, RANKS).collect()) == want
+
+
 # 2 -----------------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("batches,fanout", [(1, 4), (4, 2), (6, 3)])
 def test_line_dedup(docs, rows, batches, fanout):
@@ -226,6 +236,30 @@ def test_quality_model(spark, none, labels):
     assert {r.score for r in quality_model.score(df, known.where("quality = 2")).collect()} == {0.5}
 
 
+def test_word_vectors_and_pooling_equal_plain_ones(spark):
+    rng, Q = random.Random(15), quality_model
+    texts = [" ".join(rng.choice(["ab", "cde", "f", "ab", "é"]) for _ in range(rng.randrange(0, 30))) for _ in range(40)] + [None, "", "one", "long word " * 3000, "one"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    bucket = lambda w: int(Q._terms([w])[0][0])
+    total = np.zeros((Q.BUCKETS, Q.DIM))
+    for t in texts:
+        ws = [bucket(w) for w in (t or "").split()]
+        for i, a in enumerate(ws):
+            for c in ws[max(0, i - Q.WINDOW) : i] + ws[i + 1 : i + 1 + Q.WINDOW]:
+                total[a] += Q._INDEX[c]
+    unit = total / np.maximum(np.sqrt((total**2).sum(axis=1, keepdims=True)), 1e-12)
+    got = Q.word_vectors(df)
+    assert np.allclose(got, unit, atol=1e-6)
+    for t, row in zip(texts, Q.pooled(texts, got), strict=True):
+        ws = (t or "").split()
+        if not ws:
+            assert not row.any()
+            continue
+        assert np.allclose(row[: Q.DIM], np.mean([unit[bucket(w)] for w in ws], axis=0), atol=1e-6)
+        assert np.allclose(row[Q.DIM : 2 * Q.DIM], np.mean([Q._INDEX[bucket(w)] for w in ws], axis=0), atol=1e-6)
+        assert row[-2] == pytest.approx(np.mean([a == b for a, b in zip(ws, [*ws[1:], None], strict=True)])) and row[-1] == pytest.approx(math.log1p(len(ws)))
+
+
 # 8 -----------------------------------------------------------------------------------------------------------------
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><div class="top-menu"><a href=x>Home</a> <a>News</a></div>
 <article><h1>A &amp; B</h1><p>First&nbsp;paragraph,  with   <b>bold</b>
@@ -270,13 +304,36 @@ def test_html_text_directly_in_body():
     assert model.text("just text") == "just text"
 
 
+def test_html_article_of_many_short_blocks():
+    """However many like blocks an article has, they don't outvote it."""
+    model = html_text.train([])
+    for item in ("<p>A line of the long story is here.</p>", "<li>item one</li>", "<p>Yes.</p>"):
+        for n in (1, 10, 500, 20_000):
+            page = f"<body><nav><a>Home</a></nav><article><h1>Title of it</h1>{item * n}</article><footer>F</footer></body>"
+            assert model.text(page).count("\n") == n, (item, n)
+
+
+def test_html_without_telling_names_and_repeated_pages(spark):
+    """A page without an article element, class words or paragraphs, as one that is very long; repeats don't count twice."""
+    plain = "<body><div><a>Home</a> <a>News</a> <a>About</a></div><div><div>The harbour was quiet in the morning. Boats came in late, and the market opened only at noon.</div><div>By the evening all was sold, and people went home.</div></div><div><a>Imprint</a></div></body>"
+    model = html_text.train([])
+    assert "The harbour was quiet" in model.text(plain) and "Home" not in model.text(plain) and "Imprint" not in model.text(plain)
+    long = f"<article>{'<p>A line of the long story is here.</p>' * 20_000}</article>"
+    df = spark.createDataFrame([(1, "u", PAGE)] * 40 + [(2, "u", long)], "page_id bigint, url string, html string")
+    got = {(r.page_id, r.n_chars) for r in html_text.extract_text(df).collect()}
+    assert len(got) == 2 and (2, 20_000 * 36 - 1) in got
+
+
 def test_marginals_equal_enumeration():
     model = html_text.train([])
     for page in (*html_text.LABELLED_PAGES[:2], PAGE):
         nodes = html_text.parse(page)[0][:12]
         nodes = [n for n in nodes if n.parent < len(nodes)]
         total, mass = 0.0, np.zeros(len(nodes))
-        own = [1.0] + [math.exp(sum(model.weights[f] for f in html_text.features(n))) for n in nodes[1:]]
+        own = model.potentials(nodes, [html_text.edge_kind(n) for n in nodes])
+        for i, n in enumerate(nodes[1:], 1):
+            if sum(html_text.edge_kind(m) == 0 for m in nodes[1:] if m.parent == n.parent) <= 8:
+                assert own[i] == pytest.approx(math.exp(sum(model.weights[f] for f in html_text.features(n))))
         for bits in range(1 << (len(nodes) - 1)):
             y = [0] + [bits >> i & 1 for i in range(len(nodes) - 1)]
             p = 1.0
@@ -304,6 +361,17 @@ def test_sharding(docs, rows, none):
         assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1 and len(slots) == shards
 
 
+def test_sharding_repeated_rows_long_texts_and_reruns(spark):
+    rows = [(1, "x")] * 50 + [(None, None)] * 30 + [(2, "long " * 60_000)] + [(i, f"t{i}") for i in range(3, 40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    first = [tuple(r) for r in sharding.shard(df, 7).collect()]
+    assert len(first) == len(rows) and Counter(r[0] for r in first) == Counter(r[0] for r in rows)
+    assert sorted(first, key=repr) == sorted((tuple(r) for r in sharding.shard(df, 7).collect()), key=repr)
+    count = Counter(r[3] for r in first)
+    assert max(count.values()) - min(count.values()) <= 1
+    assert sorted((r[3], r[4]) for r in first) == [(s, i) for s in sorted(count) for i in range(count[s])]
+
+
 def test_hypergeometric_moments():
     rng = np.random.default_rng(1)
     x = [sharding.hypergeometric(rng, 3000, 7000, 500) for _ in range(4000)]
