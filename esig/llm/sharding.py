@@ -64,6 +64,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     Size is the text's UTF-8 bytes (null: none) plus 16; the CRC of a null text is that of an empty one. Slots run
     from 0 without a gap in every shard that has rows. Each row counts by itself, whether or not its doc_id or text
     repeats. Only ids, sizes and checksums move. Other columns are not read.
+
+    The draw depends on how the rows are cut into partitions: reruns on the same partitions agree, and within one run the
+    rows are numbered in a written table, so tasks that run again deal alike; other partitions give another shuffle.
     """
     spark, text = docs.sparkSession, F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
