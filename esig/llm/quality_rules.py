@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .util import BLANK_CLASS, BLANKS, stage_table
+from .util import BLANK_CLASS, BLANKS, sieve, sift, stage_table
 
-#: Hash buckets of each kind of n-gram. The three weight tables are broadcast, so their size is bounded by this: 3 MB each.
+#: Hash buckets of each kind of n-gram. The weight table is broadcast, so its size is bounded by this: three rows for each.
 BUCKETS = 1 << 16
 #: Fitted on the labels outside fold 0 of the sf0.1 tables, documents that pass the base rules scored as follows: good ones
 #: -0.034 and up (held out in fold 0: -0.100), bad ones -0.986 and down (held out: -1.131). Any threshold between keeps all
@@ -75,19 +75,23 @@ def ngrams(docs: DataFrame, *more: Column, buckets: int = BUCKETS) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c != "z"], *[(k * buckets + F.pmod(h, F.lit(buckets))).cast("int").alias(f"b{k + 1}") for k, h in enumerate(hashes)])
 
 
+def _each(grams: DataFrame, *names: str) -> DataFrame:
+    """The named columns and b, a row for each n-gram."""
+    return grams.select(*names, F.explode(F.array("b1", "b2", "b3")).alias("b"))
+
+
 def fit_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """b, w: log ratio of target to raw probability of every bucket that occurs, add-one smoothed.
 
     The target counts cover all trusted documents, the raw counts the whole corpus.
     """
-    trusted = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
-    spread = F.when(F.col("doc_id").isNull(), F.xxhash64("text").bitwiseOR(F.lit(1))).otherwise(F.lit(0))  # null ids match nothing and must not meet in one task
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = marked.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("id"), spread.alias("part"))
-    trusted = trusted.select(F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("part"), F.lit(1).alias("hit"))
-    marked = marked.join(trusted.hint("shuffle_hash"), ["id", "part"], "left")  # at every size the same plan
-    grams = ngrams(marked, F.coalesce("hit", F.lit(0)).alias("hit"), buckets=buckets)
-    counts = grams.select("hit", F.explode(F.array("b1", "b2", "b3")).alias("b")).groupBy("b").agg(F.count("*").alias("raw"), F.sum("hit").alias("target"))
+    trusted = stage_table(labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("id")).where("id IS NOT NULL").distinct(), "rules-trusted")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    # Only rows that may be trusted move to meet the ids; null ids match nothing.
+    docs = sift(docs, F.xxhash64("doc_id"), sieve(trusted, F.xxhash64("id"))).withColumn("maybe", F.col("maybe") & F.col("doc_id").isNotNull())
+    met = docs.where("maybe").join(trusted.hint("shuffle_hash"), F.col("doc_id") == F.col("id"), "left")
+    marked = met.select("doc_id", "text", F.col("id").isNotNull().cast("int").alias("hit")).unionByName(docs.where("NOT maybe").select("doc_id", "text", F.lit(0).alias("hit")))
+    counts = _each(ngrams(marked, F.col("hit"), buckets=buckets), "hit").groupBy("b").agg(F.count("*").alias("raw"), F.sum("hit").alias("target"))
     counts = stage_table(counts, "rules-counts")
     kind = F.floor(F.col("b") / buckets).cast("int")
     totals = counts.groupBy(kind.alias("kind")).agg(F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
@@ -107,11 +111,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
     weights = fit_weights(docs, labels, buckets)
     base = stage_table(base_rules(docs), "rules-base")
     grams = ngrams(docs, buckets=buckets)
-    for k in range(3):
-        kind = weights.where((F.col("b") >= k * buckets) & (F.col("b") < (k + 1) * buckets))
-        grams = grams.join(F.broadcast(kind.select(F.col("b").alias(f"b{k + 1}"), F.col("w").alias(f"w{k + 1}"))), f"b{k + 1}")
-    mean = F.avg(F.col("w1") + F.col("w2") + F.col("w3")) / 3
-    scores = grams.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.round(mean, 9).alias("score"))
+    grams = _each(grams, "doc_id", "th").join(F.broadcast(weights), "b")  # at most 3 * buckets rows
+    scores = grams.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(F.round(F.avg("w"), 9).alias("score"))
     out = base.join(scores, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
     kept = ~F.col("base_failed") & (F.coalesce("score", F.lit(0.0)) >= threshold)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", kept.alias("kept"))
