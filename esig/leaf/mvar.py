@@ -89,7 +89,7 @@ def geweke(a: np.ndarray, sigma: np.ndarray, freqs: np.ndarray, rate: float) ->
 
 def conditional_spectral(full: tuple, reduced: tuple, src: int, tgt: int, freqs: np.ndarray, rate: float) -> np.ndarray:
     """Spectral GC from src to tgt given all others: both models normalised to independent target noise, the reduced
-    one's transfer inverted and applied to the full one's (partition method)."""
+    one's transfer inverted and applied to the full one's (partition method); not finite or negative counts as 0."""
     (a, sigma), (b, gamma) = full, reduced
     n = len(sigma)
     rest = [i for i in range(n) if i not in (src, tgt)]
@@ -108,7 +108,9 @@ def conditional_spectral(full: tuple, reduced: tuple, src: int, tgt: int, freqs:
     wide[:, 1, 1] = 1
     q = np.linalg.solve(wide, ht)
     own = np.abs(q[:, 0, 0]) ** 2 * st[0, 0]
-    return np.maximum(np.log(rt[0, 0] / own), 0)
+    with np.errstate(all="ignore"):
+        v = np.log(rt[0, 0] / own)
+    return np.maximum(np.where(np.isfinite(v), v, 0), 0)
 
 
 def _decorrelate(h: np.ndarray, sigma: np.ndarray, blocks: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:

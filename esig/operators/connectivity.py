@@ -268,7 +268,8 @@ def best_order(criteria: DataFrame, by: str = "bic") -> DataFrame:
 def conditional_gc(c: DataFrame, order: int, freqs: list[float] | None = None, rate: float = 1.0) -> DataFrame:
     """subject, src, tgt, f: time-domain conditional GC ln(reduced / full) of every ordered pair given all other channels.
 
-    With ``freqs`` also freq and the spectral measure of the partition method, whose mean over all frequencies is f.
+    With ``freqs`` also freq and the spectral measure of the partition method; its mean over all frequencies would be f if
+    negative values didn't count as 0.
     """
     return _conditional(c, ["subject"], order, freqs, rate)
 

@@ -112,3 +112,28 @@ def test_order_criteria(spark, trials):
     assert np.allclose([got[w] for w in want], list(want.values()), rtol=1e-7)
     best = {s: min((want[s, p][2], p) for p in range(1, 5))[1] for s in cubes}
     assert {r["subject"]: r["p"] for r in QUERIES["g4_bic_order"](spark, TABLES).collect()} == best
+
+
+def test_conditional(spark, trials):
+    """In time the log ratio of the target's residual variances; over frequency the share of the target's own noise in the
+    reduced model's innovation: its inverse transfer's row times the full model's response to that noise, negative values as 0."""
+    names, cubes = trials
+    freqs, time, spectral = (2.0, 6.0, 10.0), {}, {}
+    for subject, x in cubes.items():
+        a, sigma = fits(x, 2)[-1]
+        for s, src in enumerate(names):
+            keep = [i for i in range(len(names)) if i != s]
+            b, gamma = fits(x[:, keep], 2)[-1]
+            for at, t in enumerate(keep):
+                time[subject, src, names[t]] = math.log(gamma[at, at] / sigma[t, t])
+                for f in freqs:
+                    turn = [np.exp(-2j * np.pi * f * k / RATE) for k in (1, 2)]
+                    response = np.linalg.solve(np.eye(len(names)) - a[0] * turn[0] - a[1] * turn[1], sigma[:, t] / sigma[t, t])
+                    own = np.eye(len(keep))[at] - b[0][at] * turn[0] - b[1][at] * turn[1]
+                    spectral[subject, src, names[t], f] = max(0.0, math.log(gamma[at, at] / (abs(own @ response[keep]) ** 2 * sigma[t, t])))
+    got = {(r["subject"], r["src"], r["tgt"]): r["f"] for r in QUERIES["g9_conditional_gc_time"](spark, TABLES).collect()}
+    assert set(got) == set(time)
+    assert np.allclose([got[k] for k in time], list(time.values()), rtol=1e-5, atol=1e-8)
+    got = {(r["subject"], r["src"], r["tgt"], r["freq"]): r["f"] for r in QUERIES["g10_conditional_gc_spectral"](spark, TABLES).collect()}
+    assert set(got) == set(spectral)
+    assert np.allclose([got[k] for k in spectral], list(spectral.values()), rtol=1e-5, atol=1e-8)

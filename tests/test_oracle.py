@@ -33,7 +33,7 @@ def test_same_rows(spark, duck, name):
     assert got == sorted(tuple(norm(r[at[c]]) for c in cols) for r in want.fetchall())
 
 
-#: Compared with numpy in test_spatial_numpy.py.
+#: Compared with numpy in test_spatial_numpy.py, on the same tables.
 NUMPY = {"r1_first_pc", "r2_top_pcs", "r3_mean_flip", "r4_epoch_summary", "r5_pca_flip", "r6_orthogonalise", "r7_regress_out", "r11_lcmv_weights", "r12_dspm_weights", "r13_rank_and_shared_fraction"}
 
 
