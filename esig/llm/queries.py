@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, centroids, html_text, line_dedup, mixing, near_dedup, phrases, pii, quality_model, quality_rules, sharding
+from . import ann, bpe, centroids, html_text, line_dedup, mixing, near_dedup, phrases, pii, quality_model, quality_rules, sharding, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters_digest(table(spark, sf_dir, "embeddings"))
 
@@ -74,6 +78,6 @@ def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_near_dedup": op3_near_dedup, "op4_mixing": op4_mixing, "op5_pii": op5_pii, "op6_quality_rules": op6_quality_rules, "op7_quality_model": op7_quality_model, "op8_html_text": op8_html_text, "op9_sharding": op9_sharding, "op10_nearest": op10_nearest, "op12_centroids": op12_centroids, "op13_phrases": op13_phrases}
+QUERIES = {"op1_bpe": op1_bpe, "op2_line_dedup": op2_line_dedup, "op3_near_dedup": op3_near_dedup, "op4_mixing": op4_mixing, "op5_pii": op5_pii, "op6_quality_rules": op6_quality_rules, "op7_quality_model": op7_quality_model, "op8_html_text": op8_html_text, "op9_sharding": op9_sharding, "op10_nearest": op10_nearest, "op11_near_vectors": op11_near_vectors, "op12_centroids": op12_centroids, "op13_phrases": op13_phrases}
 
-ORACLE_SQL = {"op2_line_dedup": line_dedup.LINE_SQL, "op3_near_dedup": near_dedup.NEAR_SQL, "op4_mixing": mixing.MIX_SQL, "op10_nearest": ann.ANN_SQL, "op12_centroids": centroids.CENTROID_SQL, "op13_phrases": phrases.PHRASE_SQL}
+ORACLE_SQL = {"op2_line_dedup": line_dedup.LINE_SQL, "op3_near_dedup": near_dedup.NEAR_SQL, "op4_mixing": mixing.MIX_SQL, "op10_nearest": ann.ANN_SQL, "op11_near_vectors": vector_dedup.VECTOR_SQL, "op12_centroids": centroids.CENTROID_SQL, "op13_phrases": phrases.PHRASE_SQL}
