@@ -46,7 +46,7 @@ def first_centroids(rows: DataFrame, clusters: int = CLUSTERS, seed: int = SEED)
     """(clusters, dim): the vectors whose hashed ids come first; rows of one id in order of their components."""
     mark = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     first = rows.select("v", mark.alias("mark")).orderBy(F.col("mark").asc_nulls_last(), "v").limit(clusters).collect()
-    return np.array([r["v"] for r in first], dtype=np.int64).reshape(len(first), -1)
+    return np.array([r["v"] for r in first], dtype=np.int64)
 
 
 def encode_chunks(rows: DataFrame, width: int = WIDTH, chunk: int = CHUNK) -> DataFrame:
