@@ -295,55 +295,108 @@ def test_html_skips_end(page, want):
     assert [t for _, t in html_text.parse(page)[1]] == want
 
 
-def test_html_text_directly_in_body():
-    model = html_text.train([])
-    long = "The first part of the story is told here, and it takes more than a few words to tell it well."
-    assert model.text(f"<body><h1>Title</h1>{long}<br><br>Second part.<hr>The third part ends the story, as all stories end.").endswith(f"{long} Second part.\nThe third part ends the story, as all stories end.")
-    assert model.text(f"<body><p>{long}<div class=ad>Buy now</div>{long}") == f"{long}\n{long}"
-    assert model.text(f"<body><nav><a>Home</a></nav>{long}<footer>Imprint</footer>") == long
-    assert model.text("just text") == "just text"
+@pytest.fixture(scope="module")
+def model():
+    """The model that the query trains, on pages of the given table."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    return html_text.train([r["html"] for r in pages[: html_text.FIT_PAGES]])
+
+
+SAID = "The council met on Monday to talk about the bridge, and most of the members agreed to it."
+MORE = "Work will begin in the spring if the money comes in time. It should take about two years."
+NAV = "<nav><ul><li><a>Home</a></li><li><a>World</a></li></ul></nav>"
+FOOT = "<footer>All rights reserved. <a>Imprint</a></footer>"
 
 
-def test_html_article_of_many_short_blocks():
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        (f"<article><h1>T</h1><div>{SAID}</div><div>{MORE}</div></article>", ["T", SAID, MORE]),
+        (f"<body>{NAV}<main><h1>T</h1><div>{SAID}</div><div>{MORE}</div></main>{FOOT}</body>", ["T", SAID, MORE]),
+        (f"<body>{NAV}<article><p>{SAID}</p><ul><li><a>Town council</a></li><li><a>Daily news</a></li></ul></article>{FOOT}</body>", [SAID, "Town council", "Daily news"]),
+        (f"<body><table><tr><td><a>Home</a> <a>News</a> <a>More</a></td><td><h1>T</h1><p>{SAID}</p><p>{MORE}</p></td></tr></table></body>", ["T", SAID, MORE]),
+        (f"<table><tr><td>{SAID}</td></tr><tr><td>{MORE}</td></tr></table>", [SAID, MORE]),
+        (f"<body><div>{SAID}</div><div>{MORE}</div></body>", [SAID, MORE]),
+        (f"<body>{NAV}<div>{SAID}</div><div>{MORE}</div>{FOOT}</body>", [SAID, MORE]),
+        (f'<body>{NAV}<div class="content"><h1>T</h1><p>{SAID}</p><div class="sidebar"><h3>Most read</h3><p>{MORE}</p></div><p>{MORE}</p></div>{FOOT}</body>', ["T", SAID, MORE]),
+        (f'<body>{NAV}<article><h1>T</h1><p>{SAID}</p></article><section id="comments"><h2>Comments</h2><article><p>{MORE}</p></article><article><p>{MORE}</p></article></section>{FOOT}</body>', ["T", SAID]),
+        (f'<body>{NAV}<main><article><h1>T</h1><p>{SAID}</p></article><section id="comments"><article><p>{MORE}</p></article></section></main>{FOOT}</body>', ["T", SAID]),
+        (f"<body><h1>Title</h1>{SAID}<br><br>Second part.<hr>{MORE}</body>", ["Title", f"{SAID} Second part.", MORE]),
+        (f'<body>{NAV}<article><h1>T</h1><p>{SAID}</p><div class="ad">Buy warm boots now.</div><p>{MORE}</p></article>{FOOT}</body>', ["T", SAID, MORE]),
+        (f"<body><div><a>Home</a> <a>News</a> <a>About</a></div><div><div>{SAID}</div><div>{MORE}</div></div><div><a>Imprint</a></div></body>", [SAID, MORE]),
+        (f"<article><h1>T</h1><p>{SAID}</p><table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr></table><p>{MORE}</p></article>", ["T", SAID, "A", "B", "1", "2", MORE]),
+        (f"<body><nav><a>Home</a></nav>{SAID}<footer>Imprint</footer></body>", [SAID]),
+        ("just text", ["just text"]),
+        ("<p>Short.</p>", ["Short."]),
+    ],
+)
+def test_html_layouts(model, page, want):
+    assert model.text(page).split("\n") == want
+
+
+def test_html_article_of_many_short_blocks(model):
     """However many like blocks an article has, they don't outvote it."""
-    model = html_text.train([])
-    for item in ("<p>A line of the long story is here.</p>", "<li>item one</li>", "<p>Yes.</p>"):
-        for n in (1, 10, 500, 20_000):
+    for item in ("<p>A line of the long story is here.</p>", "<li>item one</li>", "<p>Yes.</p>", "<div>Yes.</div>"):
+        for n in (1, 10, 50, 500, 20_000):
             page = f"<body><nav><a>Home</a></nav><article><h1>Title of it</h1>{item * n}</article><footer>F</footer></body>"
             assert model.text(page).count("\n") == n, (item, n)
 
 
-def test_html_without_telling_names_and_repeated_pages(spark):
-    """A page without an article element, class words or paragraphs, as one that is very long; repeats don't count twice."""
-    plain = "<body><div><a>Home</a> <a>News</a> <a>About</a></div><div><div>The harbour was quiet in the morning. Boats came in late, and the market opened only at noon.</div><div>By the evening all was sold, and people went home.</div></div><div><a>Imprint</a></div></body>"
-    model = html_text.train([])
-    assert "The harbour was quiet" in model.text(plain) and "Home" not in model.text(plain) and "Imprint" not in model.text(plain)
+def test_html_given_pages_come_out_whole(model):
+    """Pages that weren't trained on: their articles cut out by markup, and the same without names and telling elements."""
+    import pyarrow.parquet as pq
+
+    pages = [r["html"] for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()][html_text.FIT_PAGES :]
+    want = []
+    for p in pages:
+        nodes, pieces = html_text.parse(p)
+        states = html_text.labels_by_markup(nodes)
+        want.append("\n".join(t for i, t in pieces if states[i] == html_text.CONTENT))
+    assert model.texts(pages) == want
+    bare = model.texts([html_text.stripped(p) for p in pages])
+    assert sum(a == b for a, b in zip(bare, want, strict=True)) >= 0.97 * len(want)
+
+
+def test_html_composed_layouts_held_out(model):
+    rng = random.Random(4321)
+    hit = found = wanted = 0
+    for _ in range(150):
+        nodes, pieces = html_text.parse(html_text.compose(rng))
+        states, forest = html_text.labels_given(nodes), html_text.Forest([nodes])
+        p = forest.marginals(model.weights, model.edges)[0][:, html_text.CONTENT]
+        for i, _t in pieces:
+            hit += p[i] > 0.5 and states[i] == html_text.CONTENT
+            found += p[i] > 0.5
+            wanted += states[i] == html_text.CONTENT
+    assert hit >= 0.95 * wanted and hit >= 0.95 * found
+
+
+def test_html_repeated_and_long_pages(spark):
     long = f"<article>{'<p>A line of the long story is here.</p>' * 20_000}</article>"
     df = spark.createDataFrame([(1, "u", PAGE)] * 40 + [(2, "u", long)], "page_id bigint, url string, html string")
     got = {(r.page_id, r.n_chars) for r in html_text.extract_text(df).collect()}
     assert len(got) == 2 and (2, 20_000 * 34 - 1) in got
 
 
-def test_marginals_equal_enumeration():
-    model = html_text.train([])
-    for page in (*html_text.LABELLED_PAGES[:2], PAGE):
-        nodes = html_text.parse(page)[0][:12]
-        nodes = [n for n in nodes if n.parent < len(nodes)]
-        total, mass = 0.0, np.zeros(len(nodes))
-        own = model.potentials(nodes, [html_text.edge_kind(n) for n in nodes])
-        for i, n in enumerate(nodes[1:], 1):
-            if sum(html_text.edge_kind(m) == 0 for m in nodes[1:] if m.parent == n.parent) <= 8:
-                assert own[i] == pytest.approx(math.exp(sum(model.weights[f] for f in html_text.features(n))))
-        for bits in range(1 << (len(nodes) - 1)):
-            y = [0] + [bits >> i & 1 for i in range(len(nodes) - 1)]
-            p = 1.0
-            for i, n in enumerate(nodes[1:], 1):
-                p *= own[i] if y[i] else 1.0
-                if n.parent > 0:
-                    p *= model.edges[html_text.edge_kind(n)][y[n.parent]][y[i]]
-            total += p
-            mass += p * np.array(y)
-        assert np.allclose(model.marginals(nodes)[1:], (mass / total)[1:], atol=1e-9)
+def test_marginals_equal_enumeration(model):
+    """All states of small trees, one by one."""
+    import itertools
+
+    for page in ("<article><p>a b c.</p><div class=ad>x</div></article>", "<div><p>one</p></div><nav><a>x</a></nav>"):
+        nodes = html_text.parse(page)[0][:8]
+        forest = html_text.Forest([nodes])
+        own = model.weights[forest.rows].sum(axis=1)
+        mass = np.zeros((len(nodes), 3))
+        for states in itertools.product(range(3), repeat=len(nodes) - 1):
+            y = (html_text.MIXED, *states)
+            w = math.exp(sum(own[i, y[i]] + model.edges[n.kind, y[n.parent], y[i]] for i, n in enumerate(nodes) if i))
+            for i, k in enumerate(y):
+                mass[i, k] += w
+        got, joint = forest.marginals(model.weights, model.edges)
+        assert np.allclose(got, mass / mass.sum(axis=1, keepdims=True), atol=1e-9)
+        assert np.allclose(joint[1:].sum(axis=1), got[1:], atol=1e-9)
 
 
 # 9 -----------------------------------------------------------------------------------------------------------------
