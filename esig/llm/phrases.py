@@ -8,8 +8,10 @@ that overlap in a word are a phrase of three words: the same count on pairs of t
 only be frequent if both phrases it overlaps from are, so every level loses no phrase.
 
 Texts are cut into chunks of tokens of one language. A chunk has its own dictionary of what is in it (words, then
-pairs), so that only distinct entries of a chunk move, to be added up and to fetch their number; a frequent entry
-comes once from each chunk. No dictionary of the corpus is broadcast or held by a task.
+pairs), cut into bands by a hash of the entry. A band of all chunks is added up in one task, which knows the frequent
+entries and the chunks that hold them; once these are numbered, only their numbers go back to the chunks. Entries travel
+as packed arrays, in bands of bounded size: a frequent entry comes once from each chunk. No dictionary of the corpus is
+broadcast or held by a task.
 """
 
 from __future__ import annotations
@@ -20,23 +22,59 @@ from functools import reduce
 from itertools import count
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import sieve, sift, stage_table
+from .util import stage_table
 
 #: Tokens of a chunk, after which it is closed; the text that reaches it is whole.
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 #: Numbers on a side of a tile, and the share of its cells from which pairs are counted densely.
 TILE, DENSE = 256, 0.25
+#: Bands at least, and what a band of words (in characters of text) and of phrases (in occurrences) is cut for.
+BANDS, BAND_CHARS, BAND_PHRASES = 16, 1 << 26, 1 << 22
 #: Groups in which candidates are ranked before the language is.
 RANK_GROUPS = 64
 #: Bytes that end a piece of a text; no UTF-8 text holds the byte that stands for them.
 ENDS, END = b".,;:!?\n\x0b\x0c\r", b"\xff"
 _TO_END = bytes.maketrans(ENDS, END * len(ENDS))
-CHUNK_SCHEMA = "chunk bigint, lang string, codes binary, keys array<{}>, counts array<bigint>"
+#: A chunk is a row of band -1 with its codes (places in its dictionary, -1 between pieces) and the size of that, and one
+#: row for each band with the band's entries: their keys, how often each occurs, and its place.
+PIECES = pa.schema([("chunk", pa.int64()), ("lang", pa.string()), ("band", pa.int32()), ("codes", pa.binary()), ("size", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
+PIECES_SQL = "chunk bigint, lang string, band int, codes binary, size int, keys binary, counts binary, places binary"
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers as planes of bytes, low ones first, behind one byte with their number; empty planes compress to nothing."""
+    width = 4 if not len(x) or -(1 << 31) <= x.min() and x.max() < 1 << 31 else 8
+    return bytes([width]) + x.astype(f"<i{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def unpack(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(b, np.uint8, offset=1).reshape(b[0], -1).T).view(f"<i{b[0]}").ravel().astype(np.int64)
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted numbers by their steps, or words by the line ends that no word holds."""
+    return "\n".join(keys).encode() if keys.dtype == object else pack(np.diff(keys, prepend=0))
+
+
+def unpack_keys(b: bytes, words: bool) -> np.ndarray:
+    return np.array(b.decode().split("\n") if b else [], dtype=object) if words else np.cumsum(unpack(b))
+
+
+def in_pieces(chunk: int, lang: str, codes: np.ndarray, keys: np.ndarray, counts: np.ndarray, bands: int) -> pa.RecordBatch:
+    """The rows of a chunk."""
+    rows = [(chunk, lang, -1, pack(codes), len(keys), None, None, None)]
+    band = pd.util.hash_array(keys, categorize=False) % np.uint64(bands)
+    order = np.argsort(band, kind="stable") if keys.dtype == object else np.lexsort((keys, band))
+    for at in np.split(order, np.cumsum(np.bincount(band.astype(np.int64), minlength=bands))[:-1]):
+        if len(at):
+            rows.append((chunk, lang, int(band[at[0]]), None, None, pack_keys(keys[at]), pack(counts[at]), pack(at)))
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), PIECES, strict=True)], schema=PIECES)
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -82,8 +120,8 @@ def neighbours(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes[stay].astype(np.int32), keys, times
 
 
-def cut_chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
-    """chunk, lang, codes (places in keys as 32-bit integers, -1 between pieces), keys (words), counts of ``docs`` (lang, text)."""
+def cut_chunks(docs: DataFrame, bands: int, size: int = CHUNK) -> DataFrame:
+    """The pieces of the chunks of ``docs`` (lang, text); keys are words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, part = count(), TaskContext.get().partitionId() << 33
@@ -99,9 +137,7 @@ def cut_chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
             every[every == end] = -1
             every = np.where(every > end, every - 1, every)
             times = np.bincount(every[every >= 0], minlength=len(book))
-            data = [[part + next(number)], [lang], [every.astype(np.int32).tobytes()], [[w.decode() for w in book]], [times]]
-            types = (pa.int64(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(data, types, strict=True)], names=["chunk", "lang", "codes", "keys", "counts"])
+            return in_pieces(part + next(number), lang, every, np.array([w.decode() for w in book], dtype=object), times, bands)
 
         for b in batches:
             for i in range(b.num_rows):
@@ -110,46 +146,90 @@ def cut_chunks(docs: DataFrame, size: int = CHUNK) -> DataFrame:
                     books[lang] = defaultdict(count().__next__)
                 book = books[lang]
                 words.append(END)
-                codes[lang].append(np.fromiter(map(book.__getitem__, words), np.int64, len(words)))
+                codes[lang].append(np.fromiter(map(book.__getitem__, words), np.int32, len(words)))
                 held[lang] += len(words)
                 if held[lang] >= size:
                     yield close(lang)
-                elif sum(held.values()) >= 2 * size:
+                elif sum(held.values()) >= 3 * size:
                     yield close(max(held, key=held.__getitem__))
         for lang in sorted(codes):
             yield close(lang)
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, CHUNK_SCHEMA.format("string"))
+    return rows.mapInArrow(run, PIECES_SQL)
+
+
+MERGED = pa.schema([("lang", pa.string()), ("band", pa.int32()), ("total", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("chunks", pa.binary()), ("owners", pa.binary()), ("places", pa.binary())])
+
+
+def merge_bands(pieces: DataFrame, least: int, words: bool) -> DataFrame:
+    """One row per language and band: total (all occurrences), keys and counts of the entries that occur ``least`` times or
+    more, and the chunks that hold these, each with the entry it holds (owners) and the place in its dictionary."""
+
+    def run(key: tuple, g: pa.Table) -> pa.Table:
+        keys = [unpack_keys(b, words) for b in g["keys"].to_pylist()]
+        sizes = [len(k) for k in keys]
+        n, places = (np.concatenate([unpack(b) for b in g[c].to_pylist()]) for c in ("counts", "places"))
+        which, every = pd.factorize(np.concatenate(keys), sort=not words)
+        sums = np.zeros(len(every), np.int64)
+        np.add.at(sums, which, n)
+        stay = sums >= least
+        number = np.cumsum(stay) - 1
+        live = stay[which]
+        data = [key[0].as_py(), key[1].as_py(), int(n.sum()), pack_keys(every[stay]), pack(sums[stay]), pack(np.repeat(g["chunk"].to_numpy(), sizes)[live]), pack(number[which[live]]), pack(places[live])]
+        return pa.table([pa.array([x], f.type) for x, f in zip(data, MERGED, strict=True)], schema=MERGED)
+
+    rows = pieces.where("band >= 0").select("lang", "band", "chunk", "keys", "counts", "places")
+    return rows.groupBy("lang", "band").applyInArrow(run, "lang string, band int, total bigint, keys binary, counts binary, chunks binary, owners binary, places binary")
+
+
+def frequent_entries(merged: DataFrame, words: bool) -> DataFrame:
+    """lang, band, key, n of the frequent entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lang, band, keys, counts in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                key, n = unpack_keys(keys, words), unpack(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([band] * len(n), pa.int32()), pa.array(key, pa.string() if words else pa.int64()), pa.array(n)], names=["lang", "band", "key", "n"])
+
+    return merged.select("lang", "band", "keys", "counts").mapInArrow(run, f"lang string, band int, key {'string' if words else 'bigint'}, n bigint")
+
+
+def next_chunks(pieces: DataFrame, merged: DataFrame, ranks: DataFrame, words: bool, bands: int) -> DataFrame:
+    """The pieces one level up: what is in ``ranks`` (lang, band, key, id) is replaced by its number, neighbours become pairs."""
+    KNOWN = pa.schema([("chunk", pa.int64()), ("places", pa.binary()), ("ids", pa.binary())])
 
+    def give(m: pa.Table, r: pa.Table) -> pa.Table:
+        """The numbers of a band's entries to the chunks that hold them."""
+        if not m.num_rows or not r.num_rows:
+            return KNOWN.empty_table()
+        row = m.slice(0, 1).to_pylist()[0]
+        ids = pd.Series(r["id"].to_numpy(), index=pd.Index(r["key"].to_pandas())).reindex(unpack_keys(row["keys"], words)).to_numpy().astype(np.int64)
+        chunks, owners, places = (unpack(row[c]) for c in ("chunks", "owners", "places"))
+        order = np.argsort(chunks, kind="stable")
+        cuts = np.flatnonzero(np.diff(chunks[order])) + 1
+        parts = [at for at in np.split(order, cuts) if len(at)]
+        return pa.table([pa.array(c, f.type) for c, f in zip(([int(chunks[at[0]]) for at in parts], [pack(places[at]) for at in parts], [pack(ids[owners[at]]) for at in parts]), KNOWN, strict=True)], schema=KNOWN)
 
-def next_chunks(chunks: DataFrame, ranks: DataFrame) -> DataFrame:
-    """The chunks one level up: what had a place in ``ranks`` (lang, key, id) is replaced by its number, neighbours become pairs."""
-    entries = chunks.select("chunk", "lang", F.posexplode("keys").alias("place", "key"))
-    mark = F.xxhash64("lang", "key")
-    wanted = sift(entries, mark, sieve(ranks, mark)).where("maybe").drop("maybe")
-    known = wanted.join(ranks.select("lang", "key", "id"), ["lang", "key"])
-    known = known.groupBy("chunk").agg(F.collect_list("place").alias("places"), F.collect_list("id").alias("ids"))
-    types = (pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    known = merged.groupBy("lang", "band").cogroup(ranks.select("lang", "band", "key", "id").groupBy("lang", "band")).applyInArrow(give, "chunk bigint, places binary, ids binary")
+    known = known.groupBy("chunk").agg(F.collect_list(F.struct("places", "ids")).alias("known"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                old = np.frombuffer(b.column(2)[i].as_py(), np.int32)
-                places, ids = (b.column(k)[i].values.to_numpy() for k in (4, 5))
                 table = np.full(b.column(3)[i].as_py() + 1, -1, np.int64)  # its last place stands for gaps
-                table[places] = ids
-                codes, keys, times = neighbours(table[old])
+                for k in b.column(4)[i].as_py():
+                    table[unpack(k["places"])] = unpack(k["ids"])
+                codes, keys, times = neighbours(table[unpack(b.column(2)[i].as_py())])
                 if len(keys):
-                    data = [[b.column(0)[i].as_py()], [b.column(1)[i].as_py()], [codes.tobytes()], [keys], [times]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(data, types, strict=True)], names=["chunk", "lang", "codes", "keys", "counts"])
+                    yield in_pieces(b.column(0)[i].as_py(), b.column(1)[i].as_py(), codes, keys, times, bands)
 
-    both = chunks.select("chunk", "lang", "codes", F.size("keys").alias("size")).join(known, "chunk")
-    return both.mapInArrow(run, CHUNK_SCHEMA.format("bigint"))
+    both = pieces.where("band = -1").select("chunk", "lang", "codes", "size").join(known, "chunk")
+    return both.mapInArrow(run, PIECES_SQL)
 
 
 def ranked(rows: DataFrame) -> DataFrame:
-    """``rows`` (lang, key, n) with id, their place by falling n and then key within the language, from 0.
+    """``rows`` (lang, band, key, n) with id, their place by falling n and then key within the language, from 0.
 
     Rows are dealt out in this order and numbered in their task; the number of rows in the tasks before is added.
     """
@@ -166,10 +246,10 @@ def ranked(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(place, pa.int64())], names=[*b.schema.names, "place"])
 
     kind = dict(rows.dtypes)["key"]
-    placed = stage_table(dealt.select("lang", "key", "n", "part").mapInArrow(run, f"lang string, key {kind}, n bigint, part int, place bigint"), "phrase-ranks")
+    placed = stage_table(dealt.select("lang", "band", "key", "n", "part").mapInArrow(run, f"lang string, band int, key {kind}, n bigint, part int, place bigint"), "phrase-ranks")
     parts = placed.groupBy("lang", "part").agg(F.count("*").alias("size"))
     before = F.sum("size").over(Window.partitionBy("lang").orderBy("part")) - F.col("size")
-    return placed.join(parts.select("lang", "part", before.alias("before")), ["lang", "part"]).select("lang", "key", "n", (F.col("before") + F.col("place")).alias("id"))
+    return placed.join(parts.select("lang", "part", before.alias("before")), ["lang", "part"]).select("lang", "band", "key", "n", (F.col("before") + F.col("place")).alias("id"))
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5, chunk: int = CHUNK) -> tuple[DataFrame, list[DataFrame]]:
@@ -179,14 +259,13 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5,
     2, ... words) and ends (those of its last 1, 2, ... words), and from two words on one and two, the ids of the phrases
     without its last and without its first word.
     """
-    chunks, levels, sizes = stage_table(cut_chunks(docs, chunk), "phrase-chunks"), [], None
+    chars = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
+    pieces, levels, sizes = stage_table(cut_chunks(docs, max(BANDS, chars // BAND_CHARS), chunk), "phrase-pieces"), [], None
     for k in range(1, max_words + 1):
-        entries = chunks.select("lang", F.explode(F.arrays_zip("keys", "counts")).alias("e")).select("lang", F.col("e.keys").alias("key"), F.col("e.counts").alias("n"))
-        totals = entries.groupBy("lang", "key").agg(F.sum("n").alias("n"))
+        merged = stage_table(merge_bands(pieces, min_count, k == 1), f"phrase-bands-{k}")
         if k == 1:
-            totals = stage_table(totals, "phrase-words")
-            sizes = stage_table(totals.groupBy("lang").agg(F.sum("n").alias("size")), "phrase-sizes")
-        ranks = stage_table(ranked(stage_table(totals.where(F.col("n") >= min_count), "phrase-frequent")), f"phrase-ids-{k}")
+            sizes = stage_table(merged.groupBy("lang").agg(F.sum("total").alias("size")), "phrase-sizes")
+        ranks = stage_table(ranked(stage_table(frequent_entries(merged, k == 1), "phrase-frequent")), f"phrase-ids-{k}")
         if k == 1:
             level = ranks.select("lang", "id", F.array("key").alias("words"), "n", F.array("n").alias("starts"), F.array("n").alias("ends"))
         else:
@@ -198,7 +277,8 @@ def frequent_phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5,
             level = level.select("lang", "id", grow("w1", "w2").alias("words"), "n", grow("starts", "n").alias("starts"), grow("ends", "n").alias("ends"), "one", "two", "n1", "n2")
         levels.append(stage_table(level, f"phrase-level-{k}"))
         if k < max_words:
-            chunks = stage_table(next_chunks(chunks, ranks), f"phrase-chunks-{k + 1}")
+            live = ranks.agg(F.sum("n")).first()[0] or 0
+            pieces = stage_table(next_chunks(pieces, merged, ranks, k == 1, max(BANDS, live // BAND_PHRASES)), f"phrase-pieces-{k + 1}")
     return sizes, levels
 
 
