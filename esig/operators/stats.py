@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
-from ..functions.scalar import md5_sign, normal_sf, t_sf
+from ..functions.scalar import normal_sf, t_critical, t_sf
+from ..leaf import permutation
 from .summary import mean_sem
-from .windows import average_rank, runs
+from .windows import average_rank
 
 
 def ttest(df: DataFrame, keys: list[str], value: str = "value", mu: Column | float = 0.0, tail: str = "greater") -> DataFrame:
@@ -77,54 +83,85 @@ def task_vs_baseline(df: DataFrame, keys: list[str], base: tuple[float, float],
     return rows.withColumn("sig", F.coalesce(F.col("p") < alpha, F.lit(False)))
 
 
-def sign_flips(spark, permutations: int, subjects: DataFrame, seed: int = 0) -> DataFrame:
-    """perm, subject, sign: all +1 for permutation 0, hashed signs for the others."""
-    return subjects.select("subject").distinct().withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("sign", F.when(F.col("perm") == 0, 1.0).otherwise(md5_sign(F.lit(seed), "perm", "subject")))
-
-
-def permuted_t(df: DataFrame, keys: list[str], flips: DataFrame, value: str = "value", t: str = "ms") -> DataFrame:
-    """keys, perm, t, stat: the one-sample t statistic under each sign pattern (one row per time and permutation).
+def permuted_t(df: DataFrame, keys: list[str], permutations: int, value: str = "value", t: str = "ms", seed: int = 0) -> DataFrame:
+    """keys, t, stats: the one-sample t of a time under each sign pattern, packed as bytes of doubles.
 
-    Squares don't change with signs, so the sum of squares is aggregated once and only signed sums per permutation.
+    The subjects of a time are one row; it is multiplied by the hashed sign patterns inside the task, so no row for a
+    pattern is ever exchanged. Null values count as missing.
     """
-    sq = df.groupBy(*keys, t).agg(F.sum(F.col(value) * F.col(value)).alias("ss"), F.count(value).alias("n"))
-    signed = df.join(flips, "subject").groupBy(*keys, "perm", t).agg(F.sum(F.col(value) * F.col("sign")).alias("s"))
-    var = F.try_divide(F.col("ss") - F.try_divide(F.col("s") * F.col("s"), F.col("n")), F.col("n") - 1)
-    return signed.join(sq, [*keys, t]).select(*keys, "perm", t, F.when(var > 0, F.try_divide(F.col("s") / F.col("n"), F.sqrt(var / F.col("n")))).otherwise(0.0).alias("stat"))
-
-
-def cluster_permutation(df: DataFrame, keys: list[str], threshold: float, permutations: int = 1024, value: str = "value", t: str = "ms", seed: int = 0) -> DataFrame:
+    packed = df.where(F.col(value).isNotNull()).groupBy(*keys, t).agg(F.sort_array(F.collect_list(F.struct(F.col("subject").cast("string").alias("s"), F.col(value).cast("double").alias("v")))).alias("p"))
+    packed = packed.select(*keys, t, F.col("p.s").alias("_s"), F.col("p.v").alias("_v"))
+    schema = StructType([*(packed.schema[c] for c in (*keys, t)), StructField("stats", BinaryType())])
+    width = len(keys) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            stats = []
+            for subjects, values in zip(b.column(width).to_pylist(), b.column(width + 1), strict=True):
+                at = tuple(subjects)
+                if at not in known:
+                    known = {at: permutation.signs(subjects, permutations, seed)}  # neighbours mostly share their subjects
+                stats.append(permutation.t_statistics(values.values.to_numpy(), known[at]).tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(stats, pa.binary())], names=schema.names)
+
+    return packed.mapInArrow(run, schema)
+
+
+def _by_times(stats: DataFrame, keys: list[str], t: str, leaf, out: StructType, *more: str) -> DataFrame:
+    """``leaf`` on the (times, patterns) matrix of each group, times in order, and what columns ``more`` hold for the group; a
+    group's size is that of times and patterns."""
+
+    def run(g: pa.Table) -> pa.Table:
+        g = g.sort_by(t)
+        rows = leaf(np.stack([np.frombuffer(b) for b in g["stats"].to_pylist()], axis=0), g[t].to_pylist(), *(g[c].to_pylist()[0] for c in more))
+        head = [g[k].to_pylist()[0] for k in keys]
+        types = g.schema
+        cols = list(zip(*[(*head, *r) for r in rows], strict=True)) if rows else [[] for _ in out]
+        kinds = [types.field(f.name).type if f.name in keys else types.field(t).type if f.name in (t, "start", "end") else pa.int32() if f.dataType == IntegerType() else pa.float64() for f in out]
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=out.names)
+
+    return stats.groupBy(*keys).applyInArrow(run, out)
+
+
+def cluster_permutation(df: DataFrame, keys: list[str], threshold: float | None = None, permutations: int = 1024, value: str = "value", t: str = "ms", seed: int = 0) -> DataFrame:
     """keys, run, start, end, mass, p_cluster of the observed clusters of t over ``threshold``.
 
-    p is the share of sign patterns, the observed one included, whose largest cluster mass reaches the cluster's.
+    p is the share of sign patterns, the observed one included, whose largest cluster mass reaches the cluster's. Without
+    a threshold each group is cut at the upper 5 % point of Student's t for its own number of subjects.
     """
-    stats = permuted_t(df, keys, sign_flips(df.sparkSession, permutations, df, seed), value, t)
-    clusters = runs(stats, F.col("stat") > threshold, [*keys, "perm"], t, F.round(F.sum("stat"), 9).alias("mass"))
-    top = clusters.groupBy(*keys, "perm").agg(F.max("mass").alias("top"))
-    seen = clusters.where("perm = 0").select(*keys, "run", "start", "end", "mass")
-    hits = seen.join(top, keys).groupBy(*keys, "run", "start", "end", "mass").agg(F.sum((F.col("top") >= F.col("mass")).cast("long")).alias("_k"))
-    return hits.select(*keys, "run", "start", "end", "mass", (F.col("_k") / permutations).alias("p_cluster"))
+    stats = permuted_t(df, keys, permutations, value, t, seed)
+    time = stats.schema[t].dataType
+    out = StructType([*(stats.schema[k] for k in keys), StructField("run", IntegerType()), StructField("start", time), StructField("end", time), StructField("mass", DoubleType()), StructField("p_cluster", DoubleType())])
+
+    def leaf(stat: np.ndarray, times: list, subjects: int | None = None) -> list[tuple]:
+        found = permutation.cluster_test(stat, t_critical(subjects - 1) if threshold is None else threshold)
+        return [(k + 1, times[a], times[b], mass, p) for k, (a, b, mass, p) in enumerate(found)]
+
+    if threshold is not None:
+        return _by_times(stats, keys, t, leaf, out)
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.countDistinct("subject").cast("int").alias("subjects"))
+    return _by_times(stats.join(sizes, keys), keys, t, leaf, out, "subjects")
 
 
 def tfce(stats: DataFrame, keys: list[str], step: float = 0.2, t: str = "ms", stat: str = "stat") -> DataFrame:
-    """keys, t, tfce: sum over heights h = 0, step, ... under the statistic of extent^0.5 * h^2 * step, where extent is
-    the length of the run of times at or over h that holds the time."""
-    place = stats.select(*keys, t, stat, F.row_number().over(Window.partitionBy(*keys).orderBy(t)).alias("_n"))
-    rows = place.where(F.col(stat) > 0).withColumn("_k", F.explode(F.sequence(F.lit(1), F.greatest(F.floor(F.col(stat) / step).cast("int"), F.lit(1))))).where(F.col("_k") * step <= F.col(stat))
-    island = F.col("_n") - F.row_number().over(Window.partitionBy(*keys, "_k").orderBy("_n"))
-    rows = rows.withColumn("_i", island)
-    extent = F.count("*").over(Window.partitionBy(*keys, "_k", "_i"))
-    score = rows.withColumn("_s", F.sqrt(extent) * F.pow(F.col("_k") * step, F.lit(2.0)) * step).groupBy(*keys, t).agg(F.sum("_s").alias("tfce"))
-    return stats.select(*keys, t).join(score, [*keys, t], "left").withColumn("tfce", F.coalesce("tfce", F.lit(0.0)))
+    """keys, t, tfce: sum over heights h = step, 2 step, ... under the statistic of extent^0.5 * h^2 * step, where extent
+    is the length of the run of times at or over h that holds the time."""
+    out = StructType([*(stats.schema[k] for k in (*keys, t)), StructField("tfce", DoubleType())])
+
+    def run(g: pa.Table) -> pa.Table:
+        g = g.sort_by(t)
+        x = np.nan_to_num(g[stat].to_numpy(zero_copy_only=False).astype(float), nan=0.0)
+        return pa.table([*(g[k] for k in (*keys, t)), pa.array(permutation.tfce(x[:, None], step)[:, 0])], names=out.names)
+
+    return stats.select(*keys, t, stat).groupBy(*keys).applyInArrow(run, out)
 
 
 def tfce_permutation(df: DataFrame, keys: list[str], permutations: int = 256, step: float = 0.2, value: str = "value", t: str = "ms", seed: int = 0) -> DataFrame:
     """keys, t, tfce, p_tfce: the share of sign patterns whose largest score under the keys reaches the point's."""
-    stats = permuted_t(df, keys, sign_flips(df.sparkSession, permutations, df, seed), value, t)
-    scores = tfce(stats, [*keys, "perm"], step, t).withColumn("tfce", F.round("tfce", 9))
-    top = scores.groupBy(*keys, "perm").agg(F.max("tfce").alias("top"))
-    seen = scores.where("perm = 0").select(*keys, t, "tfce")
-    return seen.join(top, keys).groupBy(*keys, t, "tfce").agg((F.sum((F.col("top") >= F.col("tfce")).cast("long")) / permutations).alias("p_tfce"))
+    stats = permuted_t(df, keys, permutations, value, t, seed)
+    out = StructType([*(stats.schema[k] for k in (*keys, t)), StructField("tfce", DoubleType()), StructField("p_tfce", DoubleType())])
+    return _by_times(stats, keys, t, lambda stat, times: list(zip(times, *(x.tolist() for x in permutation.tfce_test(stat, step)), strict=True)), out)
 
 
 def across_roi_bonferroni(df: DataFrame, p: str, roi: str = "roi") -> DataFrame:

@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import grid, t_critical
+from ..functions.scalar import grid
 from ..operators import condition, stats, windows
 
+
 def roi_stats(df: DataFrame, mu: float, permutations: int = 1024, threshold: float | None = None, value: str = "value", t: str = "ms", roi: str = "roi", step: float = 0.5) -> DataFrame:
     """Everything per (roi, ms): mean, sem, t, p, p_bonf, p_fdr, p_cluster, tfce, p_tfce and the two corrected for the
     number of regions. ``df`` has one value per (subject, roi, ms). Clusters are cut at the upper 5 % point of Student's t
-    for the number of subjects unless ``threshold`` is given."""
+    for the region's own number of subjects unless ``threshold`` is given."""
     base = stats.fdr_bh(stats.bonferroni(stats.ttest(df, [roi, t], value, mu), [roi]), [roi], tie=t)
     centred = df.withColumn(value, F.col(value) - mu)
-    if threshold is None:
-        n = df.agg(F.countDistinct("subject")).first()[0] - 1
-        threshold = t_critical(n)
     clusters = stats.cluster_permutation(centred, [roi], threshold, permutations, value, t)
     inside = clusters.select(F.col(roi).alias("_r"), "start", "end", "mass", "p_cluster")
     out = base.join(inside, (F.col(roi) == F.col("_r")) & F.col(t).between(F.col("start"), F.col("end")), "left").drop("_r", "start", "end")
@@ -50,9 +48,10 @@ def significant_runs(signals: DataFrame, win: int = 5, base: tuple[int, int] = (
     return runs.select("roi", "run", "start", "end", "n", F.col("b.t").alias("peak_t"), "least_p")
 
 
-def config_cluster_stats(df: DataFrame, keys: list[str], mu: float, threshold: float = 1.7, permutations: int = 1024, value: str = "accuracy") -> DataFrame:
+def config_cluster_stats(df: DataFrame, keys: list[str], mu: float, threshold: float | None = None, permutations: int = 1024, value: str = "accuracy") -> DataFrame:
     """Per configuration: subjects, significant clusters, earliest onset and the peak of the mean; fewer than three
-    subjects are not tested."""
+    subjects are not tested. Clusters are cut at the upper 5 % point of Student's t for the configuration's own number of
+    subjects unless ``threshold`` is given."""
     n = df.groupBy(*keys).agg(F.countDistinct("subject").alias("n_subjects"))
     mean = df.groupBy(*keys, "ms").agg(grid(F.avg(value)).alias("mean"))
     peak = windows.first_peak(mean, "mean", keys)

@@ -106,17 +106,17 @@ def t8(spark, d):
 TF = """hh AS (SELECT roi, perm, ms, n, unnest(range(1, greatest(floor(stat / 0.5)::INTEGER, 1) + 1)) AS k, stat FROM (SELECT *, row_number() OVER (PARTITION BY roi, perm ORDER BY ms) AS n FROM pt) WHERE stat > 0),
   hi AS (SELECT *, n - row_number() OVER (PARTITION BY roi, perm, k ORDER BY n) AS i FROM hh WHERE k * 0.5 <= stat),
   hs AS (SELECT roi, perm, ms, sqrt(count(*) OVER (PARTITION BY roi, perm, k, i)) * pow(k * 0.5::DOUBLE, 2) * 0.5::DOUBLE AS s FROM hi),
-  sc AS (SELECT roi, perm, ms, round(coalesce(s, 0), 9) AS tfce FROM pt LEFT JOIN (SELECT roi, perm, ms, sum(s) AS s FROM hs GROUP BY ALL) USING (roi, perm, ms)),
+  sc AS (SELECT roi, perm, ms, CASE WHEN s > 0 THEN round_even(s * pow(2, 29 - floor(log2(s))), 0) / pow(2, 29 - floor(log2(s))) ELSE 0 END AS tfce FROM pt LEFT JOIN (SELECT roi, perm, ms, sum(s) AS s FROM hs GROUP BY ALL) USING (roi, perm, ms)),
   tops AS (SELECT roi, perm, max(tfce) AS top FROM sc GROUP BY ALL)"""
 
 
-T9 = (V.ORDERS_RESULTS, FLIPS, PT, TF, f"SELECT s.roi, s.ms, round(s.tfce, 6) AS tfce, count(*) FILTER (t.top >= s.tfce)::DOUBLE / {PERMS} AS p_tfce FROM sc s JOIN tops t ON s.roi = t.roi WHERE s.perm = 0 GROUP BY ALL")
+T9 = (V.ORDERS_RESULTS, FLIPS, PT, TF, f"SELECT s.roi, s.ms, round(s.tfce, 3) AS tfce, count(*) FILTER (t.top >= s.tfce)::DOUBLE / {PERMS} AS p_tfce FROM sc s JOIN tops t ON s.roi = t.roi WHERE s.perm = 0 GROUP BY ALL")
 
 
 @query("t9_tfce", *T9)
 @query("t9_tfce_all", *T9)
 def t9(spark, d):
-    return rounded(stats.tfce_permutation(centred(spark, d), ["roi"], PERMS, 0.5), "tfce")
+    return rounded(stats.tfce_permutation(centred(spark, d), ["roi"], PERMS, 0.5), "tfce", places=3)
 
 
 @query("t10_across_roi_bonferroni", V.ORDERS_RESULTS, TT, TP, "SELECT roi, ms, round(p, 6) AS p, round(least(p * (SELECT count(DISTINCT roi) FROM tp), 1), 6) AS p_rois FROM tp")
@@ -124,14 +124,23 @@ def t10(spark, d):
     return rounded(stats.across_roi_bonferroni(tests(spark, d), "p").select("roi", "ms", "p", "p_rois"))
 
 
+def crit(name, keys, sizes):
+    """Upper 5 % point of Student's t of every group of ``sizes`` (keys, n_subjects), by bisection."""
+    return f"""{name} AS (SELECT * FROM (WITH RECURSIVE b AS (SELECT {keys}, n_subjects AS k, 0.0::DOUBLE AS lo, 64.0::DOUBLE AS hi, 0 AS i FROM {sizes}
+    UNION ALL SELECT {keys}, k, CASE WHEN p > 0.05 THEN mid ELSE lo END, CASE WHEN p > 0.05 THEN hi ELSE mid END, i + 1 FROM (SELECT *, {t_sf_sql('mid', '(k - 1)')} AS p FROM (SELECT *, (lo + hi) / 2 AS mid FROM b WHERE i < 60)))
+    SELECT {keys}, CASE WHEN k < 2 THEN 'inf'::DOUBLE ELSE hi END AS cut FROM b WHERE i = 60))"""
+
+
 SWEPT = f"""n AS (SELECT classifier, sw_dur, count(DISTINCT subject) AS n_subjects FROM swp GROUP BY ALL),
+  big AS (SELECT * FROM n WHERE n_subjects >= 3),
+  {crit("crit", "classifier, sw_dur", "big")},
   pk AS (SELECT classifier, sw_dur, max(mean) AS peak, arg_min(ms, (-mean, ms)) AS peak_at FROM (SELECT classifier, sw_dur, ms, round(avg(accuracy), 6) AS mean FROM swp GROUP BY ALL) GROUP BY ALL),
   cen AS (SELECT subject, classifier, sw_dur, ms, accuracy - 0.49::DOUBLE AS value FROM swp JOIN n USING (classifier, sw_dur) WHERE n_subjects >= 3),
   fl AS (SELECT s.subject, p.perm, CASE WHEN p.perm = 0 THEN 1.0::DOUBLE WHEN instr('0123456789abcdef', substr(md5('0:' || p.perm || ':' || s.subject), 1, 1)) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign FROM (SELECT DISTINCT subject FROM cen) s CROSS JOIN (SELECT unnest(range({PERMS})) AS perm) p),
   sq AS (SELECT classifier, sw_dur, ms, sum(value * value) AS ss, count(*) AS n FROM cen GROUP BY ALL),
   sg AS (SELECT classifier, sw_dur, perm, ms, sum(value * sign) AS s FROM cen JOIN fl USING (subject) GROUP BY ALL),
   pt AS (SELECT classifier, sw_dur, perm, ms, CASE WHEN v > 0 THEN s / n / sqrt(v / n) ELSE 0 END AS stat FROM (SELECT *, (ss - s * s / n) / nullif(n - 1, 0) AS v FROM sg JOIN sq USING (classifier, sw_dur, ms))),
-  isl AS (SELECT *, n - row_number() OVER (PARTITION BY classifier, sw_dur, perm ORDER BY ms) AS i FROM (SELECT *, row_number() OVER (PARTITION BY classifier, sw_dur, perm ORDER BY ms) AS n FROM pt) WHERE stat > 1.7),
+  isl AS (SELECT *, n - row_number() OVER (PARTITION BY classifier, sw_dur, perm ORDER BY ms) AS i FROM (SELECT *, row_number() OVER (PARTITION BY classifier, sw_dur, perm ORDER BY ms) AS n FROM pt) JOIN crit USING (classifier, sw_dur) WHERE stat > cut),
   cl AS (SELECT classifier, sw_dur, perm, min(ms) AS start, round(sum(stat), 9) AS mass FROM isl GROUP BY classifier, sw_dur, perm, i),
   top AS (SELECT classifier, sw_dur, perm, max(mass) AS top FROM cl GROUP BY ALL),
   pc AS (SELECT c.classifier, c.sw_dur, c.start, count(*) FILTER (t.top >= c.mass)::DOUBLE / {PERMS} AS p FROM cl c JOIN top t ON c.classifier = t.classifier AND c.sw_dur = t.sw_dur WHERE c.perm = 0 GROUP BY c.classifier, c.sw_dur, c.start, c.mass),
@@ -143,9 +152,19 @@ def t11(spark, d):
     return group_stats.config_cluster_stats(V.lineitem_sweep(spark, d), ["classifier", "sw_dur"], 0.49)
 
 
-@query("t12_roi_stats")
+SIZES = "n12 AS (SELECT roi, count(DISTINCT subject) AS n_subjects FROM res GROUP BY roi)"
+BOTH = f"""bt AS (SELECT *, least(p * count(p) OVER (PARTITION BY roi), 1) AS p_bonf, p * count(p) OVER (PARTITION BY roi) / row_number() OVER (PARTITION BY roi ORDER BY p NULLS LAST, ms) AS q FROM tp),
+  bf AS (SELECT *, CASE WHEN p IS NOT NULL THEN least(min(q) OVER (PARTITION BY roi ORDER BY p NULLS LAST, ms ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1) END AS p_fdr FROM bt),
+  cp AS (SELECT c.roi, c.start, c."end", c.mass, (SELECT count(*) FROM top WHERE top.roi = c.roi AND top.top >= c.mass)::DOUBLE / {PERMS} AS p_cluster FROM cl c WHERE c.perm = 0),
+  tq AS (SELECT s.roi, s.ms, s.tfce, count(*) FILTER (t.top >= s.tfce)::DOUBLE / {PERMS} AS p_tfce FROM sc s JOIN tops t ON s.roi = t.roi WHERE s.perm = 0 GROUP BY ALL),
+  nr AS (SELECT count(DISTINCT roi) AS r FROM tp)"""
+T12 = "SELECT b.roi, b.ms, n, round(mean, 6) AS mean, round(sem, 6) AS sem, round(b.t, 6) AS t, round(p, 6) AS p, round(p_bonf, 6) AS p_bonf, round(p_fdr, 6) AS p_fdr, round(mass, 6) AS mass, round(p_cluster, 6) AS p_cluster, round(tfce, 3) AS tfce, round(p_tfce, 6) AS p_tfce, round(least(p_cluster * r, 1), 6) AS p_cluster_rois, round(least(p_tfce * r, 1), 6) AS p_tfce_rois FROM bf b LEFT JOIN cp c ON b.roi = c.roi AND b.ms BETWEEN c.start AND c.\"end\" JOIN tq q ON q.roi = b.roi AND q.ms = b.ms, nr"
+
+
+@query("t12_roi_stats", V.ORDERS_RESULTS, TT, TP, FLIPS, PT, SIZES, crit("crit", "roi", "n12"), CL.replace("WHERE stat > 1.2", "JOIN crit USING (roi) WHERE stat > cut"), TF, BOTH, T12)
 def t12(spark, d):
-    return group_stats.roi_stats(V.orders_results(spark, d), MU)
+    out = group_stats.roi_stats(V.orders_results(spark, d), MU)
+    return rounded(rounded(out, *[c for c, t in out.dtypes if t == "double" and c != "tfce"]), "tfce", places=3)
 
 
 FLAG = f"""dm AS (SELECT subject, epoch, roi, t_idx, x - avg(x) OVER (PARTITION BY subject, epoch, roi) AS x FROM sig),
