@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import grid
+from ..functions.scalar import grid, t_sf
 from .windows import average_rank, first_peak
 
 
@@ -79,6 +79,14 @@ def task_baseline_contrast(df: DataFrame, keys: list[str], base: tuple[float, fl
     return out.withColumn("diff", F.col("task") - F.col("base"))
 
 
+def contrast_summary(contrast: DataFrame, keys: list[str], diff: str = "diff") -> DataFrame:
+    """keys, n, mean, sem, n_positive, t, p (two-sided) of the subjects' differences; null differences don't count, and
+    without spread or a second subject there is no test."""
+    t = F.try_divide(F.avg(diff), F.stddev_samp(diff) / F.sqrt(F.count(diff)))
+    out = contrast.where(F.col(diff).isNotNull()).groupBy(*keys).agg(*mean_sem(diff, 0), F.sum((F.col(diff) > 0).cast("long")).alias("n_positive"), t.alias("t"))
+    return out.withColumn("p", 2 * t_sf(F.abs("t"), F.col("n") - 1))
+
+
 def all_pairs_curve(df: DataFrame, pair: list[str], keys: list[str], value: str = "value", ddof: int = 1) -> DataFrame:
     """Mean over pairs within each subject first, then over subjects."""
     one = df.groupBy("subject", *keys).agg(F.avg(value).alias("value"))

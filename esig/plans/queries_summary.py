@@ -83,9 +83,7 @@ def a10(spark, d):
 
 @query("a11_contrast_group_summary", V.ORDERS_RESULTS, CONTRAST, "g AS (SELECT roi, count(*) AS n, avg(task - base) AS mean, stddev_pop(task - base) / sqrt(count(*)) AS sem, count(*) FILTER (task > base) AS n_positive, avg(task - base) / (stddev_samp(task - base) / sqrt(count(*))) AS t FROM con WHERE task IS NOT NULL AND base IS NOT NULL GROUP BY roi)", f"SELECT roi, n, round(mean, 6) AS mean, round(sem, 6) AS sem, n_positive, round(t, 6) AS t, round(2 * ({scalar.t_sf_sql('abs(t)', '(n - 1)')}), 6) AS p FROM g")
 def a11(spark, d):
-    c = contrast(spark, d).where("diff IS NOT NULL")
-    out = c.groupBy("roi").agg(*summary.mean_sem("diff", 0), F.sum((F.col("diff") > 0).cast("long")).alias("n_positive"), (F.avg("diff") / (F.stddev_samp("diff") / F.sqrt(F.count("diff")))).alias("t"))
-    return rounded(out.withColumn("p", 2 * scalar.t_sf(F.abs("t"), F.col("n") - 1)))
+    return rounded(summary.contrast_summary(contrast(spark, d), ["roi"]))
 
 
 @query("a12_all_pairs_curve", V.ORDERS_RESULTS, "o AS (SELECT subject, ms, avg(value) AS v FROM res GROUP BY ALL)", "SELECT ms, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v) / sqrt(count(*)), 6) AS sem FROM o GROUP BY ms")

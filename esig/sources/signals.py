@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import spatial
+from . import published
 
 SIGNALS = "subject bigint, task string, contrast string, epoch bigint, y int, chan int, t_idx int, t_s double, x double, roi string"
 
@@ -22,7 +25,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def read_signals(spark: SparkSession, path: str, subject=None, task: str | None = None, contrast: str | None = None, rois: list[str] | None = None) -> DataFrame:
     """Signals of a partitioned table; every filter reaches the scan, regions as partitions."""
-    df = spark.read.schema(SIGNALS).parquet(path)
+    return _filtered(spark.read.schema(SIGNALS).parquet(path), subject, task, contrast, rois)
+
+
+def _filtered(df: DataFrame, subject, task: str | None, contrast: str | None, rois: list[str] | None) -> DataFrame:
     for name, v in (("subject", subject), ("task", task), ("contrast", contrast)):
         df = df.where(F.col(name) == v) if v is not None else df
     return df.where(F.col("roi").isin(rois)) if rois else df
@@ -35,38 +41,30 @@ def complete_for_rois(df: DataFrame, rois: list[str]) -> DataFrame:
 
 
 def write_signals(df: DataFrame, path: str, overwrite: bool = False, keys: tuple[str, ...] = ("subject", "roi")) -> None:
-    """Write signals partitioned by region. Without ``overwrite`` keys that are there already are skipped; with it only
-    the partitions that come anew are replaced."""
-    spark = df.sparkSession
-    if not overwrite and exists(spark, path):
-        df = df.join(spark.read.parquet(path).select(*keys).distinct(), list(keys), "left_anti")
-    w = df.repartition("roi").write.partitionBy("roi")
-    if overwrite:
-        w.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-    else:
-        w.mode("append").parquet(path)
+    """Publish signals partitioned by region. Without ``overwrite`` keys that are there already are skipped; with it the
+    partitions that come anew are replaced. Read them with ``published_signals``."""
+    published.write(df, path, ["roi"], list(keys), replace=overwrite)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+def published_signals(spark: SparkSession, path: str, subject=None, task: str | None = None, contrast: str | None = None, rois: list[str] | None = None) -> DataFrame:
+    """``read_signals`` of a published table: the rows of its newest manifest."""
+    return _filtered(published.read(spark, path, ["roi"]), subject, task, contrast, rois)
 
 
 def write_reduced(signals: DataFrame, path: str, method: str = "pc", keys: tuple[str, ...] = ("subject", "roi")) -> DataFrame:
-    """Keep the signals of each region reduced to one series, in a cache partitioned by method and region; returns the
-    cached rows of the method: subject, roi, epoch, t_idx, x.
+    """Keep the signals of each region reduced to one series, in a published cache partitioned by method and region;
+    returns the cached rows of the method: subject, roi, epoch, t_idx, x.
 
     ``method`` is pc (first component), mean or maxpower. Subjects and regions that the cache holds under the method
     already are not reduced again.
     """
-    spark = signals.sparkSession
-    if exists(spark, path):
-        have = spark.read.parquet(path).where(F.col("method") == method).select(*keys).distinct()
-        signals = signals.join(have, list(keys), "left_anti")
+    spark, by = signals.sparkSession, ["method", "roi"]
+    live = [x for x in published.state(spark, path)[1]["live"] if x[0] == method]
+    if live:
+        signals = signals.join(published.read(spark, path, by, live).select(*keys).distinct(), list(keys), "left_anti")
     one = spatial.first_pc(signals, keys) if method == "pc" else spatial.aggregate_variants(signals, keys).withColumn("x", F.col(method))
-    out = one.select(*keys, "epoch", "t_idx", "x").withColumn("method", F.lit(method))
-    out.repartition("roi").write.partitionBy("method", "roi").mode("append").parquet(path)
-    return spark.read.parquet(path).where(F.col("method") == method).select(*keys, "epoch", "t_idx", "x")
+    published.write(one.select(*keys, "epoch", "t_idx", "x").withColumn("method", F.lit(method)), path, by, ["method", *keys])
+    return published.read(spark, path, by).where(F.col("method") == method).select(*keys, "epoch", "t_idx", "x")
 
 
 def find_cached(roots: list[DataFrame], keys: list[str]) -> DataFrame:
@@ -90,15 +88,29 @@ def read_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_run(df: DataFrame, path: str, run: dict) -> str:
-    """Append a run's rows under the identity of its parameters (SHA-1 of their sorted text); returns it."""
-    spark = df.sparkSession
-    text = ";".join(f"{k}={run[k]}" for k in sorted(run))
-    run_id = spark.range(1).select(F.sha1(F.lit(text))).first()[0]
+    """Publish a run's rows under the identity of its parameters (SHA-1 of their sorted text); returns it. Rows that the
+    table has under this identity already are replaced."""
+    run_id = hashlib.sha1(";".join(f"{k}={run[k]}" for k in sorted(run)).encode()).hexdigest()
     out = df.withColumns({k: F.lit(v) for k, v in run.items()}).withColumn("run_id", F.lit(run_id))
-    out.write.partitionBy("run_id").mode("append").parquet(path)
+    published.write(out, path, ["run_id"], replace=True, facts={run_id: {k: str(v) for k, v in run.items()}})
     return run_id
 
 
+def read_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    return published.read(spark, path, ["run_id"]).where(F.col("run_id") == run_id)
+
+
+def append_checkpoint(results: DataFrame, path: str, tasks: list[str]) -> DataFrame:
+    """Add the results of the tasks that the checkpoint at ``path`` lacks, and return all it holds then. A task that is there
+    isn't computed again, as its rows drop out before the work above them, and one that two runs finish counts once."""
+    spark, by = results.sparkSession, ["part"]
+    live = published.state(spark, path)[1]["live"]
+    if live:
+        results = results.join(published.read(spark, path, by, live).select(*tasks).distinct(), tasks, "left_anti")
+    published.write(results.withColumn("part", F.lit("0")), path, by, tasks)
+    return published.read(spark, path, by).drop("part")
+
+
 def read_gc_group(df: DataFrame) -> DataFrame:
     """The group's rows if every subject has the same edges and windows; else reading them is an error."""
     shape = df.groupBy("subject").agg(F.sha1(F.array_join(F.array_sort(F.collect_set(F.concat_ws(">", "src", "tgt"))), ",")).alias("e"), F.countDistinct("ms").alias("w"))
@@ -113,12 +125,27 @@ def discover_runs(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def rename_column_dataset(spark: SparkSession, path: str, out: str, old: str, new: str, dry_run: bool = False) -> DataFrame:
-    """Rewrite a CSV tree with a column renamed; status per file: renamed, already, or absent. Idempotent."""
-    df = spark.read.csv(path, header=True)
-    status = "already" if new in df.columns else "renamed" if old in df.columns else "absent"
-    if status == "renamed" and not dry_run:
-        df.withColumnRenamed(old, new).write.mode("overwrite").csv(out, header=True)
-    return df.select(F.input_file_name().alias("file")).groupBy("file").agg(F.count("*").alias("n_rows")).withColumn("status", F.lit("would rename" if dry_run and status == "renamed" else status))
+    """Rewrite a CSV tree with a column renamed, each file by its own header; file, n_rows and status per file.
+
+    Status is renamed, already (the file has the new name) or absent (it has neither; it isn't written). Files of either
+    name and of any order of columns come out in one order, that of the smallest header. Idempotent. Lines are records.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at"))
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("head"), F.min("at").alias("first"), (F.count("*") - 1).alias("n_rows"))
+    names = F.transform(F.split("head", ","), lambda c: F.trim(F.translate(c, '"', "")))
+    status = F.when(F.array_contains(names, new), "already").when(F.array_contains(names, old), "renamed").otherwise("absent")
+    heads = heads.withColumn("names", names).withColumn("status", status)
+    kinds = sorted(tuple(r) for r in heads.where("status <> 'absent'").select("head", "names").distinct().collect())  # one row per layout
+    if kinds and not dry_run:
+        records = lines.join(heads.select("file", "head", "first"), "file").where("at <> first")
+        parts = []
+        for head, columns in kinds:
+            columns = [new if c == old and new not in columns else c for c in columns]
+            parsed = F.from_csv("value", F.lit(", ".join(f"`{c}` string" for c in columns)))
+            parts.append(records.where(F.col("head") == head).select(parsed.alias("r")).select("r.*"))
+        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).write.mode("overwrite").csv(out, header=True)
+    shown = F.when((F.col("status") == "renamed") & F.lit(dry_run), "would rename").otherwise(F.col("status"))
+    return heads.select("file", "n_rows", shown.alias("status"))
 
 
 def reshape_sweep_to_subject(df: DataFrame, classifier: str, sw_dur: int) -> DataFrame:

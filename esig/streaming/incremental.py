@@ -1,26 +1,9 @@
-"""Streaming forms: upsert per micro-batch, event-time sliding means, running lag products."""
+"""Streaming forms: event-time sliding means and running lag products."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-
-from ..operators.sets import upsert_last
-
-
-def streaming_upsert(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Keep a Parquet table of the last row per key. Each batch writes a new version folder (v=batch) that holds the
-    merged table; a batch that is run again overwrites its own folder, so a restart neither loses nor doubles rows."""
-
-    def merge(batch: DataFrame, n: int) -> None:
-        spark, rows = batch.sparkSession, batch.withColumn("_n", F.monotonically_increasing_id())
-        last = rows.groupBy(*keys).agg(F.max("_n").alias("_n"))
-        new = rows.join(last, [*keys, "_n"], "left_semi").drop("_n")
-        old = spark.read.schema(batch.schema).parquet(f"{path}/v={n - 1}") if n else spark.createDataFrame([], batch.schema)
-        upsert_last(old, new, keys).write.mode("overwrite").parquet(f"{path}/v={n}")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest_version(spark: SparkSession, path: str) -> DataFrame:
