@@ -83,7 +83,8 @@ def _each(grams: DataFrame, *names: str) -> DataFrame:
 def fit_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """b, w: log ratio of target to raw probability of every bucket that occurs, add-one smoothed.
 
-    The target counts cover all trusted documents, the raw counts the whole corpus.
+    The target counts cover all trusted documents, the raw counts the whole corpus. Without any word in a trusted document
+    there is nothing to compare with, and every ratio is 0.
     """
     trusted = stage_table(labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("id")).where("id IS NOT NULL").distinct(), "rules-trusted")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -97,7 +98,7 @@ def fit_weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> D
     totals = counts.groupBy(kind.alias("kind")).agg(F.sum("raw").alias("raws"), F.sum("target").alias("targets"))
     both = counts.withColumn("kind", kind).join(F.broadcast(totals), "kind")
     ratio = F.log((F.col("target") + 1) / (F.col("targets") + buckets)) - F.log((F.col("raw") + 1) / (F.col("raws") + buckets))
-    return stage_table(both.select("b", ratio.alias("w")), "rules-weights")
+    return stage_table(both.select("b", F.when(F.col("targets") > 0, ratio).otherwise(0.0).alias("w")), "rules-weights")
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS) -> DataFrame:
@@ -105,8 +106,8 @@ def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD
 
     ``labels`` (doc_id, quality) names the trusted documents by quality 1. The score is rounded to 9 places before it
     meets the threshold, so the order of its sums can't turn a verdict. Null and empty texts have no words and fail
-    the base rules, as any text under 50 words; without trusted documents every bucket has the ratio of the
-    smoothing alone. Repeated rows get equal results. Other columns are not read.
+    the base rules, as any text under 50 words; without trusted documents the base rules alone decide and scores are 0.
+    Repeated rows get equal results. Other columns are not read.
     """
     weights = fit_weights(docs, labels, buckets)
     base = stage_table(base_rules(docs), "rules-base")

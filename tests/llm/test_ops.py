@@ -165,6 +165,14 @@ def test_contexts_find_unseen_identifiers(spark, none):
     assert all(got[i] == (1, []) for i, _ in seen)
 
 
+def test_pii_repeated_rows_get_equal_spans(spark):
+    text = "Write to anna.berg@mail.example.org or call +1 (555) 010-2345 from 10.0.0.7."
+    df = spark.createDataFrame([(1, text)] * 3 + [(1, text + " Again: 10.0.0.8."), (2, text), (None, text)], "doc_id bigint, text string")
+    got = pii.find_personal_data(df).select("doc_id", pii.span_text(F.col("base")).alias("s"), pii.span_text(F.col("added")).alias("a")).collect()
+    assert len(got) == 6 and len({(r.s, r.a) for r in got}) == 2
+    assert sorted(r.s.count("ip:") for r in got) == [1, 1, 1, 1, 1, 2]
+
+
 def test_hidden_seeds_come_back(spark):
     rng = random.Random(3)
     rows = [(i, f"{rng.choice(['see', 'by', 'at'])} a{rng.randrange(10**6)}@mail.example.org {rng.choice(['or', 'and', 'if'])}\n10.{rng.randrange(256)}.{rng.randrange(256)}.7 was up") for i in range(300)]
@@ -190,6 +198,25 @@ def test_quality_rules(docs, rows, labels, none):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute.quality_base(texts[r.doc_id])
 
 
+def test_quality_rules_without_trusted_labels(docs, rows, labels):
+    """Nothing to compare with: the base rules alone decide."""
+    for none_trusted in (labels.limit(0), labels.where("quality = 0"), labels.withColumn("doc_id", F.col("doc_id") + 100_000)):
+        got = quality_rules.apply_rules(docs, none_trusted).collect()
+        assert len(got) == len(rows) and all(r.kept == (not r.base_failed) for r in got) and any(r.kept for r in got)
+
+
+def test_quality_rules_long_and_repeated_texts(spark):
+    rng = random.Random(6)
+    long = "\n".join(" ".join(f"w{rng.randrange(3000)}" for _ in range(40)) for _ in range(1500))
+    same = " ".join(f"v{k % 61}" for k in range(70))
+    texts = [long, long, same, same, same, "x" * 500_000, "a b c " * 20_000]
+    df = spark.createDataFrame([(k % 4 if t == same else k, t) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    got = quality_rules.apply_rules(df, spark.createDataFrame([(0, 1), (2, 1)], "doc_id bigint, quality int")).collect()
+    assert len(got) == len(texts)
+    assert sorted((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == sorted(brute.quality_base(t) for t in texts)
+    assert len({(r.n_words, r.score, r.kept) for r in got}) == len(set(texts))
+
+
 def test_quality_score_is_the_mean_log_ratio(spark):
     rng = random.Random(8)
     good = [(i, " ".join(rng.choice(["river", "stone", "tree", "cloud", "and", "the"]) for _ in range(80))) for i in range(60)]
@@ -236,6 +263,16 @@ def test_quality_model(spark, none, labels):
     assert {r.score for r in quality_model.score(df, known.where("quality = 2")).collect()} == {0.5}
 
 
+def test_quality_model_repeated_rows_and_two_texts_of_one_label(spark, docs, labels):
+    rows = docs.select("doc_id", "text").where("doc_id < 60")
+    twice = rows.unionByName(rows).unionByName(rows.withColumn("text", F.lit("another text under the same id")))
+    got = {}
+    for r in quality_model.score(twice, labels).collect():
+        got.setdefault(r.doc_id, []).append((r.held_out, round(r.score, 12), r.predicted))
+    assert len(got) == 60 and all(len(v) == 3 and len(set(v)) <= 2 for v in got.values())
+    assert all(0 <= s <= 1 and p == int(s >= 0.3) for v in got.values() for _, s, p in v)
+
+
 def test_word_vectors_and_pooling_equal_plain_ones(spark):
     rng, Q = random.Random(15), quality_model
     texts = [" ".join(rng.choice(["ab", "cde", "f", "ab", "é"]) for _ in range(rng.randrange(0, 30))) for _ in range(40)] + [None, "", "one", "long word " * 3000, "one"]
