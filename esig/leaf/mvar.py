@@ -1,7 +1,7 @@
 """Multichannel autoregression from second moments, and spectral Granger measures. numpy only.
 
-Moments are C[a, b] = sum over trials of x(a) x(b)^T for a window of T samples, shape (T, T, n, n). The model is
-x(t) = sum_k A_k x(t - k) + e(t).
+Moments are C[a, b] = sum over trials of x(a) x(b)^T. A fit of order p needs them only for |a - b| <= p, so that they are
+kept as a band of p + 1 diagonals of n x n blocks. The model is x(t) = sum_k A_k x(t - k) + e(t).
 """
 
 from __future__ import annotations
@@ -13,21 +13,52 @@ def _root(s: np.ndarray) -> np.ndarray:
     return np.linalg.cholesky((s + s.T) / 2)
 
 
-def lwr_orders(c: np.ndarray, trials: int, order: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """{p: (A of shape (p, n, n), Sigma)} for p = 1..order by Morf's normalised multichannel recursion.
+class Band:
+    """Diagonals d = 0, 1, ... of moments over ``size`` samples, ``diagonals[d][t]`` = C[t, t - d], and their running sums.
+
+    The sum over any window is the difference of two of these, so windows share one band.
+    """
+
+    def __init__(self, diagonals: list[np.ndarray]):
+        self.diagonals, self.size = diagonals, len(diagonals[0])
+        self.sums = [np.concatenate([np.zeros((1, *d.shape[1:])), np.cumsum(d, axis=0)]) for d in diagonals]
+
+    @classmethod
+    def dense(cls, c: np.ndarray, order: int) -> Band:
+        """Of moments as one array (T, T, n, n)."""
+        t = np.arange(len(c))
+        return cls([np.where((t >= d)[:, None, None], c[t, np.maximum(t - d, 0)], 0.0) for d in range(min(order, len(c) - 1) + 1)])
+
+    def reversed(self) -> Band:
+        """Of the samples in reverse: C'[a, b] = C[T - 1 - a, T - 1 - b]."""
+        out = []
+        for d, x in enumerate(self.diagonals):
+            y = np.zeros_like(x)
+            y[d:] = np.swapaxes(x[d:][::-1], 1, 2)
+            out.append(y)
+        return Band(out)
+
+    def take(self, keep: list[int]) -> Band:
+        return Band([d[:, keep][:, :, keep] for d in self.diagonals])
+
+
+def lwr_orders(c: Band | np.ndarray, trials: int, order: int, start: int = 0, size: int | None = None) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """{p: (A of shape (p, n, n), Sigma)} for p = 1..order by Morf's normalised multichannel recursion, on the ``size``
+    samples from ``start`` on.
 
     At stage m the forward residual at t and the backward residual at t - m are linear in the last m + 1 samples, so
     their sums over t and trials come from C alone, with the residuals' coefficients as weights.
     """
-    size, n = c.shape[0], c.shape[2]
+    band = c if isinstance(c, Band) else Band.dense(c, order)
+    size, n = band.size - start if size is None else size, band.diagonals[0].shape[1]
     if order >= size:
         raise np.linalg.LinAlgError("order not below window length")
-    # Running sums along the diagonals: c[s, s - d] summed over s, so that any window's total is one difference.
-    along = [np.concatenate([np.zeros((d + 1, n, n)), np.cumsum(c[np.arange(d, size), np.arange(size - d)], axis=0)]) for d in range(order + 2)]
 
     def total(lo: int, hi: int, i: int, j: int) -> np.ndarray:
-        """Sum of c[t - i, t - j] over lo <= t < hi, for j >= i."""
-        return along[j - i][hi - i] - along[j - i][lo - i] if hi > lo else np.zeros((n, n))
+        """Sum of C[t - i, t - j] over lo <= t < hi of the window, for j >= i."""
+        if hi <= lo or j - i >= len(band.sums):
+            return np.zeros((n, n))
+        return band.sums[j - i][start + hi - i] - band.sums[j - i][start + lo - i]
 
     head, tail = total(1, size, 0, 0), total(0, size - 1, 0, 0)
     # Normalised forward (a) and backward (b) prediction filters, coefficient k on sample t - k.
@@ -59,8 +90,8 @@ def lwr_orders(c: np.ndarray, trials: int, order: int) -> dict[int, tuple[np.nda
     return out
 
 
-def lwr(c: np.ndarray, trials: int, order: int) -> tuple[np.ndarray, np.ndarray]:
-    return lwr_orders(c, trials, order)[order]
+def lwr(c: Band | np.ndarray, trials: int, order: int, start: int = 0, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    return lwr_orders(c, trials, order, start, size)[order]
 
 
 def transfer(a: np.ndarray, freqs: np.ndarray, rate: float) -> np.ndarray:

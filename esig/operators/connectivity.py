@@ -22,6 +22,8 @@ PAIR = "subject bigint, src string, tgt string, start int, freq double, f_xy dou
 
 #: Values that a task turns into dense arrays at a time, and sums that it holds before it passes them on.
 DENSE_VALUES, HELD_SUMS = 4_000_000, 8_000_000
+#: Samples of a stretch of time; sums are kept by stretch, so that they follow the data and not the span of its times.
+STRETCH = 1024
 
 
 def lag_products(df: DataFrame, max_lag: int, keys: tuple[str, ...] = ("subject",), chan: str = "roi", x: str = "x") -> DataFrame:
@@ -76,22 +78,32 @@ def _summed(trials: DataFrame, max_lag: int, keys: tuple[str, ...]) -> DataFrame
                         continue
                     used, ci = np.unique(c[at], return_inverse=True)
                     place, ri = np.unique(row[at], return_inverse=True)
-                    t0, span = int(t[at].min()), int(t[at].max() - t[at].min()) + 1
-                    dense = np.full((span, len(used), len(place)), np.nan)
-                    dense[t[at] - t0, ci, ri] = x[at]
-                    name = (key if width > 1 else (key,), tuple(chans[used]), t0)
-                    shape = (max_lag + 1, span, len(used), len(used))
-                    if name not in sums or sums[name][0].shape != shape:
-                        if name in sums:
-                            yield from tell({name: sums.pop(name)}, types)
-                        sums[name] = (np.zeros(shape), np.zeros(shape, np.int64))
-                        held += 2 * sums[name][0].size
-                    full = not np.isnan(dense).any()
-                    there = None if full else (~np.isnan(dense)).astype(np.float64)
-                    dense = dense if full else np.nan_to_num(dense, nan=0.0)
-                    for lag in range(min(max_lag, span - 1) + 1):
-                        sums[name][0][lag, : span - lag] += dense[: span - lag] @ dense[lag:].swapaxes(1, 2)
-                        sums[name][1][lag, : span - lag] += len(place) if full else (there[: span - lag] @ there[lag:].swapaxes(1, 2)).round().astype(np.int64)
+                    when, values = t[at], x[at]
+                    for stretch in np.unique(when // STRETCH):
+                        t0 = int(stretch) * STRETCH
+                        live = (when >= t0) & (when < t0 + STRETCH + max_lag)
+                        first, last = int(when[live].min()), int(when[live].max())
+                        near = min(last, t0 + STRETCH - 1) - first + 1  # samples that begin a product
+                        dense = np.full((last - first + 1, len(used), len(place)), np.nan)
+                        dense[when[live] - first, ci[live], ri[live]] = values[live]
+                        name = (key if width > 1 else (key,), tuple(chans[used]), first)
+                        shape = (max_lag + 1, near, len(used), len(used))
+                        if name not in sums or sums[name][0].shape != shape:
+                            if name in sums:
+                                held -= 2 * sums[name][0].size
+                                yield from tell({name: sums.pop(name)}, types)
+                            sums[name] = (np.zeros(shape), np.zeros(shape, np.int64))
+                            held += 2 * sums[name][0].size
+                        full = not np.isnan(dense).any()
+                        there = None if full else (~np.isnan(dense)).astype(np.float64)
+                        dense = dense if full else np.nan_to_num(dense, nan=0.0)
+                        for lag in range(min(max_lag, len(dense) - 1) + 1):
+                            n = min(near, len(dense) - lag)
+                            sums[name][0][lag, :n] += dense[:n] @ dense[lag : lag + n].swapaxes(1, 2)
+                            sums[name][1][lag, :n] += len(place) if full else (there[:n] @ there[lag : lag + n].swapaxes(1, 2)).round().astype(np.int64)
+                        if held > HELD_SUMS:
+                            yield from tell(sums, types)
+                            sums, held = {}, 0
                 if held > HELD_SUMS:
                     yield from tell(sums, types)
                     sums, held = {}, 0
@@ -192,41 +204,90 @@ def net_gc(df: DataFrame, keys: list[str], value: str = "gc") -> DataFrame:
     return df.groupBy(*keys, a, b).agg(F.sum(F.when(F.col("src") < F.col("tgt"), F.col(value)).otherwise(-F.col(value))).alias("net"))
 
 
-def _moments(g: pd.DataFrame, names: list[str]) -> np.ndarray:
-    """C[a, b] as (T, T, n, n) from lag product rows of one group; zero beyond the largest lag."""
+def _band(g: pd.DataFrame, names: list[str], order: int) -> tuple[mvar.Band, np.ndarray, int]:
+    """(band up to ``order``, most trials by first sample, first sample) of the lag product rows of one group; its memory is
+    that of order x samples x channels^2."""
     at = {c: i for i, c in enumerate(names)}
     t0 = int(g["a"].min())
     size = int((g["a"] + g["lag"]).max()) - t0 + 1
-    out = np.zeros((size, size, len(names), len(names)))
-    a, b = g["a"].to_numpy() - t0, g["a"].to_numpy() + g["lag"].to_numpy() - t0
+    a, lag, c = g["a"].to_numpy() - t0, g["lag"].to_numpy(), g["c"].to_numpy()
     i, j = g["ci"].map(at).to_numpy(), g["cj"].map(at).to_numpy()
-    out[a, b, i, j] = out[b, a, j, i] = g["c"].to_numpy()
-    return out
+    diagonals = []
+    for d in range(min(order, size - 1) + 1):
+        out, here = np.zeros((size, len(names), len(names))), lag == d
+        out[a[here] + d, j[here], i[here]] = c[here]
+        if d == 0:
+            out[a[here], i[here], j[here]] = c[here]
+        diagonals.append(out)
+    trials = np.zeros(size, np.int64)
+    np.maximum.at(trials, a, g["n"].to_numpy())
+    return mvar.Band(diagonals), trials, t0
+
+
+def _pair_windows(c: DataFrame, cells: dict[int, list[int]], step: int, freqs: list[float], rate: float, ways: tuple[bool, ...]) -> DataFrame:
+    """PAIR, win, p and reversed of every pair src < tgt on all windows of all lengths in ``cells`` (length: orders), forward
+    or reversed in time. One recursion for each window and way gives every order; a pair of a subject is one group."""
+    rows = by_pair(c)
+    top = {win: max(orders) for win, orders in cells.items()}
+    names = ["subject", "src", "tgt", "start", "freq", "f_xy", "f_yx", "status", "win", "p", "reversed"]
+
+    def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        subject, src, tgt = key
+        band, trials, t0 = _band(g, [src, tgt], max(top.values()))
+        n, out = int(trials.max()), []
+        for way in ways:
+            b = band.reversed() if way else band
+            for win, orders in cells.items():
+                for s in range(0, band.size - win + 1, step):
+                    fits, wrong = _fits(b, n, top[win], band.size - win - s if way else s, win, orders)
+                    for p in orders:
+                        if p in fits:
+                            fxy, fyx = mvar.geweke(*fits[p], np.array(freqs), rate)
+                            out += [(subject, src, tgt, t0 + s, f, x, y, "ok", win, p, way) for f, x, y in zip(freqs, fxy, fyx, strict=True)]
+                        else:
+                            out += [(subject, src, tgt, t0 + s, f, None, None, wrong[p], win, p, way) for f in freqs]
+        return pd.DataFrame(out, columns=names)
+
+    return rows.groupBy("subject", "src", "tgt").applyInPandas(fit, f"{PAIR}, win int, p int, reversed boolean")
+
+
+def _fits(band: mvar.Band, n: int, top: int, start: int, win: int, orders: list[int]) -> tuple[dict, dict[int, str]]:
+    """Fits of a window by order, and the reason of those that can't be made: if the largest fails, each is tried alone."""
+    try:
+        return mvar.lwr_orders(band, n, top, start, win), {}
+    except np.linalg.LinAlgError:
+        fits, wrong = {}, {}
+        for p in orders:
+            try:
+                fits[p] = mvar.lwr(band, n, p, start, win)
+            except np.linalg.LinAlgError as e:
+                wrong[p] = str(e)[:60]
+        return fits, wrong
 
 
 def moving_window_pairwise(c: DataFrame, win: int, step: int, order: int, freqs: list[float], rate: float, reverse: bool = False) -> DataFrame:
     """Geweke GC of every pair src < tgt on every window, from lag products (subject, ci, cj, a, lag, c, n).
 
-    One task group is one pair of one subject; its windows share the table. ``reverse`` fits the time-reversed data. A
+    One task group is one pair of one subject; its windows share the running sums. ``reverse`` fits the time-reversed data. A
     window that can't be fitted gives null values and the reason as status.
     """
-    rows = by_pair(c)
+    return _pair_windows(c, {win: [order]}, step, freqs, rate, (reverse,)).drop("win", "p", "reversed")
 
-    def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        subject, src, tgt = key
-        m, n, t0, out = _moments(g, [src, tgt]), int(g["n"].max()), int(g["a"].min()), []
-        for s in range(0, m.shape[0] - win + 1, step):
-            part = m[s : s + win, s : s + win]
-            part = part[::-1, ::-1] if reverse else part
-            try:
-                a, sigma = mvar.lwr(part, n, order)
-                fxy, fyx = mvar.geweke(a, sigma, np.array(freqs), rate)
-                out += [(subject, src, tgt, t0 + s, f, x, y, "ok") for f, x, y in zip(freqs, fxy, fyx, strict=True)]
-            except np.linalg.LinAlgError as e:
-                out += [(subject, src, tgt, t0 + s, f, None, None, str(e)[:60]) for f in freqs]
-        return pd.DataFrame(out, columns=["subject", "src", "tgt", "start", "freq", "f_xy", "f_yx", "status"])
 
-    return rows.groupBy("subject", "src", "tgt").applyInPandas(fit, PAIR)
+def moving_window_orders(c: DataFrame, cells: dict[int, list[int]], step: int, freqs: list[float], rate: float) -> DataFrame:
+    """``moving_window_pairwise`` for many window lengths and orders at once, with columns win and p: ``cells`` has the orders
+    of each length. A window is gone through once for all of its orders."""
+    return _pair_windows(c, cells, step, freqs, rate, (False,)).drop("reversed")
+
+
+def moving_window_trgc(c: DataFrame, win: int, step: int, order: int, freqs: list[float], rate: float) -> DataFrame:
+    """``diff_trgc`` of the fits on the data and on the time-reversed data, both from one pass over the lag products."""
+    both = _pair_windows(c, {win: [order]}, step, freqs, rate, (False, True))
+    keys = ["subject", "src", "tgt", "start", "freq"]
+    of = lambda name, way: F.max(F.when(F.col("reversed") == F.lit(way), F.col(name)))
+    one = both.groupBy(*keys).agg(of("f_xy", False).alias("f_xy"), of("f_yx", False).alias("f_yx"), of("status", False).alias("status"), of("f_xy", True).alias("r_xy"), of("f_yx", True).alias("r_yx"))
+    d = (F.col("f_xy") - F.col("f_yx")) - (F.col("r_xy") - F.col("r_yx"))
+    return one.withColumn("d_xy", d).withColumn("d_yx", -d)
 
 
 def diff_trgc(forward: DataFrame, backward: DataFrame) -> DataFrame:
@@ -246,7 +307,8 @@ def order_criteria(c: DataFrame, orders: list[int]) -> DataFrame:
 
     def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         names = sorted(g["ci"].unique())
-        m, n, k, out = _moments(g, names), int(g["n"].max()), len(names), []
+        m, trials, _ = _band(g, names, max(orders))
+        n, k, out = int(trials.max()), len(names), []
         try:
             every = mvar.lwr_orders(m, n, max(orders))
         except np.linalg.LinAlgError:
@@ -254,7 +316,7 @@ def order_criteria(c: DataFrame, orders: list[int]) -> DataFrame:
         for p in orders:
             if p in every:
                 det = np.linalg.slogdet(every[p][1])[1]
-                size, full = n * (m.shape[0] - p), n * m.shape[0]
+                size, full = n * (m.size - p), n * m.size
                 out.append((key[0], p, det + 2 * p * k * k / size, det + math.log(size) * p * k * k / size, full * det + k * k * p * math.log(full)))
         return pd.DataFrame(out, columns=["subject", "p", "aic", "bic", "bic_full"])
 
@@ -271,44 +333,71 @@ def conditional_gc(c: DataFrame, order: int, freqs: list[float] | None = None, r
     With ``freqs`` also freq and the spectral measure of the partition method; its mean over all frequencies would be f if
     negative values didn't count as 0.
     """
-    return _conditional(c, ["subject"], order, freqs, rate)
+    schema = "subject bigint, src string, tgt string, freq double, f double, status string"
+
+    def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(g["ci"].unique())
+        band, trials, _ = _band(g, names, order)
+        return pd.DataFrame(_conditional(key, names, band, int(trials.max()), order, freqs, rate, 0, None), columns=["subject", "src", "tgt", "freq", "f", "status"])
+
+    return c.groupBy("subject").applyInPandas(fit, schema)
 
 
 def moving_window_conditional(c: DataFrame, win: int, step: int, order: int, freqs: list[float] | None = None, rate: float = 1.0) -> DataFrame:
     """``conditional_gc`` on every window, which adds its first sample as start; a window that can't be fitted has one row
-    with the reason as status. One group is one subject and window."""
-    return _conditional(_windows(c, win, step), ["subject", "start"], order, freqs, rate)
+    with the reason as status."""
+    fit = lambda key, names, band, n, s: _conditional(key, names, band, n, order, freqs, rate, s, win)
+    return _on_windows(c, win, step, order, fit)
+
+
+#: Windows are gone through in blocks of starts; a block is so many windows long.
+BLOCK_WINDOWS = 4
 
 
-def _windows(c: DataFrame, win: int, step: int) -> DataFrame:
-    """Lag products that lie inside each window, with its start."""
+def in_blocks(c: DataFrame, win: int, step: int, order: int) -> DataFrame:
+    """Lag products up to ``order`` with t0 and t1, the ends of the subject's time, and the blocks of window starts that need
+    them. Blocks overlap by a window, so that a lag product goes to two of them at most, whatever the step."""
     span = c.groupBy("subject").agg(F.min("a").alias("t0"), F.max(F.col("a") + F.col("lag")).alias("t1"))
-    starts = F.when(F.col("t1") - win + 1 >= F.col("t0"), F.sequence("t0", F.col("t1") - win + 1, F.lit(step)))
-    rows = c.join(span, "subject").withColumn("start", F.explode(starts))
-    return rows.where((F.col("a") >= F.col("start")) & (F.col("a") + F.col("lag") < F.col("start") + win))
+    length = BLOCK_WINDOWS * max(win, step)
+    rows = c.where(F.col("lag") <= order).join(span, "subject").where(F.col("t1") - F.col("t0") + 1 >= win)
+    first = F.greatest(F.col("a") + F.col("lag") - win + 1 - F.col("t0"), F.lit(0))
+    return rows.withColumn("block", F.explode(F.sequence(F.floor(first / length).cast("int"), F.floor((F.col("a") - F.col("t0")) / length).cast("int"))))
 
 
-def _conditional(c: DataFrame, keys: list[str], order: int, freqs: list[float] | None, rate: float) -> DataFrame:
-    schema = "subject bigint, " + "start int, " * (len(keys) - 1) + "src string, tgt string, freq double, f double, status string"
+def _on_windows(c: DataFrame, win: int, step: int, order: int, leaf) -> DataFrame:
+    """subject, start, src, tgt, freq, f, status of ``leaf`` on every window of all channels. A group is a subject and a block
+    of neighbouring windows, which share one band and its running sums."""
+    length = BLOCK_WINDOWS * max(win, step)
+    schema = "subject bigint, start int, src string, tgt string, freq double, f double, status string"
 
     def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(g["ci"].unique())
-        m, n, out = _moments(g, names), int(g["n"].max()), []
-        try:
-            full = mvar.lwr(m, n, order)
-            for s, src in enumerate(names):
-                keep = [i for i in range(len(names)) if i != s]
-                reduced = mvar.lwr(m[:, :, keep][:, :, :, keep], n, order)
-                for t in keep:
-                    if freqs is None:
-                        out.append((*key, src, names[t], None, float(np.log(reduced[1][keep.index(t), keep.index(t)] / full[1][t, t])), "ok"))
-                    else:
-                        out += [(*key, src, names[t], f, v, "ok") for f, v in zip(freqs, mvar.conditional_spectral(full, reduced, s, t, np.array(freqs), rate), strict=True)]
-        except np.linalg.LinAlgError as e:
-            out = [(*key, None, None, None, None, str(e)[:60])]
-        return pd.DataFrame(out, columns=[*keys, "src", "tgt", "freq", "f", "status"])
+        t0, t1, names, out = int(g["t0"].iloc[0]), int(g["t1"].iloc[0]), sorted(g["ci"].unique()), []
+        band, trials, at = _band(g, names, order)
+        begin = -(-key[1] * length // step) * step
+        for s in range(t0 + begin, min(t0 + (key[1] + 1) * length, t1 - win + 2), step):
+            if at <= s and s + win <= at + band.size:
+                out += leaf((key[0], s), names, band, int(trials[s - at : s - at + win].max()), s - at)
+        return pd.DataFrame(out, columns=["subject", "start", "src", "tgt", "freq", "f", "status"])
+
+    return in_blocks(c, win, step, order).groupBy("subject", "block").applyInPandas(fit, schema)
+
 
-    return c.groupBy(*keys).applyInPandas(fit, schema)
+def _conditional(key: tuple, names: list[str], band: mvar.Band, n: int, order: int, freqs: list[float] | None, rate: float, start: int, size: int | None) -> list[tuple]:
+    """Rows of the conditional measure of all ordered pairs on one window of a band."""
+    out = []
+    try:
+        full = mvar.lwr(band, n, order, start, size)
+        for s, src in enumerate(names):
+            keep = [i for i in range(len(names)) if i != s]
+            reduced = mvar.lwr(band.take(keep), n, order, start, size)
+            for t in keep:
+                if freqs is None:
+                    out.append((*key, src, names[t], None, float(np.log(reduced[1][keep.index(t), keep.index(t)] / full[1][t, t])), "ok"))
+                else:
+                    out += [(*key, src, names[t], f, v, "ok") for f, v in zip(freqs, mvar.conditional_spectral(full, reduced, s, t, np.array(freqs), rate), strict=True)]
+    except np.linalg.LinAlgError as e:
+        out = [(*key, None, None, None, None, str(e)[:60])]
+    return out
 
 
 def returned_grid(df: DataFrame, rate: float, n_times: int) -> DataFrame:
@@ -322,27 +411,28 @@ def under_resolved(bands: DataFrame, sw_ms: float, min_cycles: float = 2.0) -> D
     return bands.select("*", cycles.alias("cycles"), (cycles < min_cycles).alias("under_resolved"), (1000 * min_cycles / F.col("lo")).alias("min_window_ms"))
 
 
-
 def statespace_gc(c: DataFrame, win: int, step: int, order: int, freqs: list[float] | None = None, rate: float = 1.0) -> DataFrame:
     """subject, start, src, tgt, freq, f, status: state-space GC of every ordered pair given all other channels, on every
-    window. Without ``freqs`` the time-domain measure, freq null. One group is one subject and window."""
-    rows = _windows(c, win, step)
-    schema = "subject bigint, start int, src string, tgt string, freq double, f double, status string"
+    window. Without ``freqs`` the time-domain measure, freq null."""
 
-    def fit(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        names, out = sorted(g["ci"].unique()), []
+    def fit(key: tuple, names: list[str], band: mvar.Band, n: int, s: int) -> list[tuple]:
+        out = []
         try:
-            m = statespace.from_var(*mvar.lwr(_moments(g, names), int(g["n"].max()), order))
-            for s, t in ((s, t) for s in range(len(names)) for t in range(len(names)) if s != t):
+            m = statespace.from_var(*mvar.lwr(band, n, order, s, win))
+            for a, b in ((a, b) for a in range(len(names)) for b in range(len(names)) if a != b):
                 if freqs is None:
-                    out.append((*key, names[s], names[t], None, statespace.time_gc(m, [s], [t]), "ok"))
+                    out.append((*key, names[a], names[b], None, statespace.time_gc(m, [a], [b]), "ok"))
                 else:
-                    out += [(*key, names[s], names[t], f, float(v), "ok") for f, v in zip(freqs, statespace.spectral_gc(m, [s], [t], np.array(freqs), rate), strict=True)]
+                    out += [(*key, names[a], names[b], f, float(v), "ok") for f, v in zip(freqs, statespace.spectral_gc(m, [a], [b], np.array(freqs), rate), strict=True)]
         except np.linalg.LinAlgError as e:
             out.append((*key, None, None, None, None, str(e)[:60]))
-        return pd.DataFrame(out, columns=["subject", "start", "src", "tgt", "freq", "f", "status"])
+        return out
+
+    return _on_windows(c, win, step, order, fit)
+
 
-    return rows.groupBy("subject", "start").applyInPandas(fit, schema)
+#: Complex values of one batch of transforms.
+FFT_VALUES = 1 << 21
 
 
 def wavelet_csd(packed: DataFrame, freqs: list[float], rate: float, sw_ms: float, least_cycles: float = 3.0, step: int = 1) -> DataFrame:
@@ -359,15 +449,20 @@ def wavelet_csd(packed: DataFrame, freqs: list[float], rate: float, sw_ms: float
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kernels, sums = [kernel(f) for f in freqs], {}
+        middle = [len(k) // 2 for k in kernels]
         for part in parts:
-            for row in part.itertuples(index=False):
-                x = np.array([np.asarray(v) for v in row.xs])
-                size = x.shape[1]
-                z = np.array([[np.convolve(s, k)[len(k) // 2 : len(k) // 2 + size][::step] for k in kernels] for s in x])
-                key = (row.subject, tuple(row.chans), size)
-                total = sums.setdefault(key, [0, 0])
-                total[0] = total[0] + np.einsum("ift,jft->ijft", z, z.conj())
-                total[1] += 1
+            sizes = part["xs"].map(lambda v: len(v[0]) if len(v) else 0)
+            for (subject, chans, size), rows in part.groupby([part["subject"], part["chans"].map(tuple), sizes], sort=False):
+                length = 1 << int(size + max(map(len, kernels)) - 2).bit_length()
+                filters = np.stack([np.fft.fft(k, length) for k in kernels])
+                block = max(1, FFT_VALUES // (len(chans) * len(kernels) * length))
+                total = sums.setdefault((subject, chans, size), [0, 0])
+                for at in range(0, len(rows), block):  # all trials of a block, channels and frequencies in one transform
+                    x = np.array([[np.asarray(v, dtype=float) for v in xs] for xs in rows["xs"].iloc[at : at + block]])
+                    z = np.fft.ifft(np.fft.fft(x, length)[:, :, None, :] * filters)
+                    z = np.stack([z[:, :, k, m : m + size : step] for k, m in enumerate(middle)], axis=2)
+                    total[0] = total[0] + np.einsum("nift,njft->ijft", z, z.conj(), optimize=True)
+                    total[1] += len(x)
         for (subject, chans, _), (s, n) in sums.items():
             i, j, f, t = (v.ravel() for v in np.indices(s.shape))
             yield pd.DataFrame({"subject": subject, "ci": np.array(chans)[i], "cj": np.array(chans)[j], "freq": np.array(freqs)[f], "t": t * step, "re": s.real.ravel(), "im": s.imag.ravel(), "n": n})

@@ -37,7 +37,7 @@ def g14c(spark, d):
 
 @query("g15_sensor_gc")
 def g15(spark, d):
-    m = spark.createDataFrame([("p", "click"), ("p", "view"), ("q", "error"), ("q", "signup")], "roi string, sensor string")
+    m = spark.createDataFrame([("p", "click"), ("p", "view"), ("q", "error"), ("q", "signup"), ("r", "purchase")], "roi string, sensor string")
     s = V.events_signals(spark, d).withColumnRenamed("roi", "chan")
     return runs.sensor_gc(s, m, win=15, step=15, order=2, freqs=[4.0, 6.0, 9.0, 14.0], rate=RATE, bands=spectral.bands_table(spark))
 

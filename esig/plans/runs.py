@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import condition, spatial, spectral
 from ..operators import connectivity as G
+from ..sources.signals import staged
 
 
 def pack(df: DataFrame, chan: str = "roi") -> DataFrame:
@@ -27,7 +28,7 @@ def subject_gc(signals: DataFrame, win: int, step: int, order: int, freqs: list[
     resampled, trials demeaned, the event-related mean removed within labels, then GC on moving windows in bands.
 
     ``mode`` is pairwise or conditional; both have the same columns, dtrgc null for conditional. Trials are read
-    once, into lag products, which serve the forward and the time-reversed fit.
+    once, into lag products, which are written out and serve the forward and the time-reversed fit in one pass.
     """
     keys = ("subject", "epoch", "y", "roi")
     if "vertex" in signals.columns:
@@ -38,13 +39,13 @@ def subject_gc(signals: DataFrame, win: int, step: int, order: int, freqs: list[
     signals = condition.demean_trials(signals, ("subject", "epoch", "roi"))
     if normalise != "none":
         signals = condition.remove_erp(signals, scale=normalise == "zscore")
-    c = G.packed_lag_products(pack(signals), order)
+    c = staged(G.packed_lag_products(pack(signals), order), "lag-products")
     if mode == "conditional":
         f = G.statespace_gc(c, win, step, order, freqs, rate).where("status = 'ok'")
         out = spectral.band_average(f, bands, ["subject", "src", "tgt", "start"], ["f"])
         return out.select("subject", "src", "tgt", "band", "start", F.col("f").alias("gc"), F.lit(None).cast("double").alias("dtrgc"))
-    d = G.diff_trgc(*(G.moving_window_pairwise(c, win, step, order, freqs, rate, r) for r in (False, True)))
-    b = spectral.band_average(d, bands, ["subject", "src", "tgt", "start"], ["f_xy", "f_yx", "d_xy", "d_yx"])
+    d = G.moving_window_trgc(c, win, step, order, freqs, rate)
+    b = staged(spectral.band_average(d, bands, ["subject", "src", "tgt", "start"], ["f_xy", "f_yx", "d_xy", "d_yx"]), "band-gc")
     one = b.select("subject", "src", "tgt", "band", "start", F.col("f_xy").alias("gc"), F.col("d_xy").alias("dtrgc"))
     two = b.select("subject", F.col("tgt").alias("src"), F.col("src").alias("tgt"), "band", "start", F.col("f_yx").alias("gc"), F.col("d_yx").alias("dtrgc"))
     return one.unionByName(two)
@@ -57,13 +58,17 @@ def sensor_gc(sensors: DataFrame, members: DataFrame, **params) -> DataFrame:
 
 def order_window_sweep(c: DataFrame, cells: list[tuple[int, int]], step: int, freqs: list[float], rate: float, length: int) -> DataFrame:
     """Net GC per (win, order) cell, averaged over frequencies; cells with win <= order + 1 or longer than the data are
-    left out. All cells share the lag products."""
-    out = []
+    left out. All cells share the lag products and one pass over them, and all orders of a window length one recursion. No
+    rows if no cell is left."""
+    by_win: dict[int, list[int]] = {}
     for win, order in cells:
-        if order + 1 < win <= length:
-            g = G.moving_window_pairwise(c, win, step, order, freqs, rate).where("status = 'ok'")
-            out.append(g.groupBy("subject", "src", "tgt", "start").agg(F.avg(F.col("f_xy") - F.col("f_yx")).alias("net")).withColumn("win", F.lit(win)).withColumn("p", F.lit(order)))
-    return reduce(DataFrame.unionByName, out)
+        if order + 1 < win <= length and order not in by_win.setdefault(win, []):
+            by_win[win].append(order)
+    by_win = {win: orders for win, orders in by_win.items() if orders}
+    if not by_win:
+        return c.sparkSession.createDataFrame([], "subject bigint, src string, tgt string, start int, net double, win int, p int")
+    g = G.moving_window_orders(c, by_win, step, freqs, rate).where("status = 'ok'")
+    return g.groupBy("subject", "src", "tgt", "start", "win", "p").agg(F.avg(F.col("f_xy") - F.col("f_yx")).alias("net")).select("subject", "src", "tgt", "start", "net", "win", "p")
 
 
 def pair_diagnosis(signals: DataFrame, a: str, b: str, base: tuple[int, int], task: tuple[int, int], rate: float, max_lag: int) -> DataFrame:

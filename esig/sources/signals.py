@@ -23,6 +23,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again, so that what is used twice is worked out once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_signals(spark: SparkSession, path: str, subject=None, task: str | None = None, contrast: str | None = None, rois: list[str] | None = None) -> DataFrame:
     """Signals of a partitioned table; every filter reaches the scan, regions as partitions."""
     return _filtered(spark.read.schema(SIGNALS).parquet(path), subject, task, contrast, rois)

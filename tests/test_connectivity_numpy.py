@@ -137,3 +137,104 @@ def test_conditional(spark, trials):
     got = {(r["subject"], r["src"], r["tgt"], r["freq"]): r["f"] for r in QUERIES["g10_conditional_gc_spectral"](spark, TABLES).collect()}
     assert set(got) == set(spectral)
     assert np.allclose([got[k] for k in spectral], list(spectral.values()), rtol=1e-5, atol=1e-8)
+
+
+def partition(full, reduced, names, s, freq):
+    """Spectral measure from s to every other channel given the rest, from coefficients and covariances of both models."""
+    (a, sigma), (b, gamma) = full, reduced
+    keep = [i for i in range(len(names)) if i != s]
+    turn = lambda k: np.exp(-2j * np.pi * freq * k / RATE)
+    out = {}
+    for at, t in enumerate(keep):
+        response = np.linalg.solve(np.eye(len(names)) - sum(c * turn(k + 1) for k, c in enumerate(a)), sigma[:, t] / sigma[t, t])
+        own = np.eye(len(keep))[at] - sum(c[at] * turn(k + 1) for k, c in enumerate(b))
+        out[names[t]] = max(0.0, math.log(gamma[at, at] / (abs(own @ response[keep]) ** 2 * sigma[t, t])))
+    return out
+
+
+def test_conditional_windows(spark, trials):
+    names, cubes = trials
+    want = {}
+    for subject, x in cubes.items():
+        for w in range(0, x.shape[2] - 15 + 1, 5):
+            part = x[:, :, w : w + 15]
+            full = fits(part, 2)[-1]
+            for s, src in enumerate(names):
+                reduced = fits(part[:, [i for i in range(len(names)) if i != s]], 2)[-1]
+                for f in (2.0, 6.0, 10.0):
+                    want |= {(subject, w, src, t, f): v for t, v in partition(full, reduced, names, s, f).items()}
+    got = {(r["subject"], r["start"] - 1, r["src"], r["tgt"], r["freq"]): r["f"] for r in QUERIES["g11_moving_window_conditional"](spark, TABLES).collect()}
+    assert set(got) == set(want)
+    assert np.allclose([got[k] for k in want], list(want.values()), rtol=1e-4, atol=1e-7)
+
+
+def without(full, s, order=60):
+    """(coefficients, covariance) of the process of a model without channel s: a long autoregression on its autocovariances."""
+    a, sigma = full
+    n, p = len(sigma), len(a)
+    big = np.zeros((n * p, n * p))
+    big[:n] = np.concatenate(a, axis=1)
+    big[n:, : -n or None] += np.eye(n * (p - 1))
+    noise = np.zeros_like(big)
+    noise[:n, :n] = sigma
+    cov = np.linalg.solve(np.eye((n * p) ** 2) - np.kron(big, big), noise.ravel()).reshape(n * p, n * p)
+    keep, lags, state = [i for i in range(n) if i != s], [], cov
+    for _ in range(order + 1):
+        lags.append(state[:n, :n][np.ix_(keep, keep)])
+        state = big @ state
+    m = len(keep)
+    block = np.zeros((m * order, m * order))
+    for i in range(order):
+        for j in range(order):
+            block[i * m : (i + 1) * m, j * m : (j + 1) * m] = lags[j - i] if j >= i else lags[i - j].T
+    right = np.concatenate([g.T for g in lags[1:]], axis=0)
+    solved = np.linalg.solve(block, right)
+    b = [solved[k * m : (k + 1) * m].T for k in range(order)]
+    return b, lags[0] - sum(c @ g.T for c, g in zip(b, lags[1:], strict=True))
+
+
+@pytest.mark.parametrize("name,win,freqs", [("g12_statespace_gc_time", 30, None), ("g13_moving_window_statespace", 15, (2.0, 6.0, 10.0))])
+def test_state_space(spark, trials, name, win, freqs):
+    """Without a channel the process has a model of its own, here as a long autoregression on the model's autocovariances."""
+    names, cubes = trials
+    want = {}
+    for subject, x in cubes.items():
+        for w in range(0, x.shape[2] - win + 1, win):
+            full = fits(x[:, :, w : w + win], 2)[-1]
+            for s, src in enumerate(names):
+                reduced = without(full, s)
+                keep = [i for i in range(len(names)) if i != s]
+                if freqs is None:
+                    want |= {(subject, w, src, names[t], None): math.log(reduced[1][at, at] / full[1][t, t]) for at, t in enumerate(keep)}
+                for f in freqs or ():
+                    want |= {(subject, w, src, t, f): v for t, v in partition(full, reduced, names, s, f).items()}
+    got = {(r["subject"], r["start"] - 1, r["src"], r["tgt"], r["freq"]): r["f"] for r in QUERIES[name](spark, TABLES).where("status = 'ok'").collect()}
+    assert set(got) == set(want)
+    assert np.allclose([got[k] for k in want], list(want.values()), rtol=1e-3, atol=1e-6)
+
+
+def test_wavelets(spark, trials):
+    names, cubes = trials
+    got = {(r["subject"], r["ci"], r["cj"], r["freq"], r["t"]): complex(r["re"], r["im"]) for r in QUERIES["g16_wavelet_csd"](spark, TABLES).collect()}
+    assert len(got) == len(cubes) * len(names) ** 2 * 4 * 6
+    for f in (2.0, 4.0, 6.0, 8.0):
+        sd = max(f * 0.5, 3.0) / (2 * np.pi * f)
+        t = np.arange(-int(4 * sd * RATE), int(4 * sd * RATE) + 1) / RATE
+        k = np.exp(2j * np.pi * f * t - t * t / (2 * sd * sd))
+        k /= np.sqrt((np.abs(k) ** 2).sum())
+        for subject, x in cubes.items():
+            z = np.array([[np.convolve(s, k)[len(k) // 2 : len(k) // 2 + len(s)][::5] for s in e] for e in x])
+            cross = np.einsum("eit,ejt->ijt", z, z.conj()) / len(x)
+            mine = np.array([[[got[subject, a, b, f, 5 * q] for q in range(z.shape[2])] for b in names] for a in names])
+            assert np.allclose(mine, cross, rtol=1e-8, atol=1e-8 * np.abs(cross).max())
+
+
+def test_order_and_window_sweep(spark, trials):
+    want = {}
+    for win, p in ((10, 2), (20, 2), (20, 4)):
+        one = windows(trials, win, 10, p, [4.0, 8.0])
+        for k in {k[:4] for k in one}:
+            want[(*k, win, p)] = np.mean([one[(*k, f)][0] - one[(*k, f)][1] for f in (4.0, 8.0)])
+    got = {(r["subject"], r["src"], r["tgt"], r["start"] - 1, r["win"], r["p"]): r["net"] for r in QUERIES["a13_order_window_sweep"](spark, TABLES).collect()}
+    assert set(got) == set(want)
+    assert np.allclose([got[k] for k in want], list(want.values()), rtol=1e-5, atol=1e-8)
