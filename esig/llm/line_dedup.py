@@ -126,7 +126,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else []
     batch = reduce(lambda c, x: c + (F.coalesce("doc_id", F.lit(-(1 << 63))) <= x).cast("int"), sorted(set(cuts or [])), F.lit(0))
-    lines = stage_table(line_hashes(docs, min_chars).withColumn("batch", batch), "line-hashes")
+    lines = stage_table(line_hashes(docs, min_chars).withColumn("batch", batch), "line-hashes", by="batch")
     runs = LineRuns(docs.sparkSession, min_docs, fanout)
     for k in range(len(set(cuts or [])) + 1):
         runs.add(lines.where(F.col("batch") == k))

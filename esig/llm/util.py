@@ -26,10 +26,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def stage_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared scratch folder and read it back: lineage ends at durable files."""
+def stage_table(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet to the shared scratch folder and read it back: lineage ends at durable files. ``by`` has few
+    values, each of which gets folders of its own."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
