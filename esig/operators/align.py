@@ -81,7 +81,7 @@ def nearest_time_align(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame
     return both.withColumn("offset", F.max(F.abs(F.col("t_a") - F.col("t_b"))).over(w))
 
 
-def interpolate(series: DataFrame, grid: DataFrame, keys: list[str], points: bool = True) -> DataFrame:
+def interpolate(series: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
     """Linear interpolation of (keys, t, x) at the times g of ``grid`` (keys, g): the bracketing samples are found by one
     ordered pass over both; null outside the series."""
     rows = series.select(*keys, "t", "x", F.lit(0).alias("ask")).unionByName(grid.select(*keys, F.col("g").alias("t"), F.lit(None).cast("double").alias("x"), F.lit(1).alias("ask")))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 
 def demean_trials(df: DataFrame, keys: tuple[str, ...] = ("epoch", "roi"), x: str = "x") -> DataFrame:
@@ -72,22 +75,70 @@ def resample(df: DataFrame, rate: float, target: float, keys: tuple[str, ...] =
     """keys, t_idx, x at the new rate; unchanged if the rates are within 1 Hz. ``df`` has t_idx from 0 without gaps.
 
     Output sample j stands at input position j * down / up. It is the sum over taps of the reflected input (``reflect``;
-    ``zero`` leaves the outside at 0): an output sample meets the taps of its own phase, a small table, by an equi-join,
-    and then the input by its index, so a series may spread over tasks.
+    ``zero`` leaves the outside at 0). Series are cut into stretches of samples, each with as many of its neighbours' as the
+    filter is wide, so that a long series spreads over tasks; a stretch is filtered phase by phase, by one product of a
+    matrix of its samples and the taps of the phase. Null samples count as 0.
     """
     if abs(rate - target) <= 1:
         return df.select(*keys, "t_idx", "x")
     ratio = Fraction(target).limit_denominator(10**6) / Fraction(rate).limit_denominator(10**6)
     up, down = ratio.numerator, ratio.denominator
-    taps = df.sparkSession.createDataFrame([(k % up, k, h) for k, h in resample_taps(up, down)], "phase int, k int, h double")
-    size = df.groupBy(*keys).agg((F.max("t_idx") + 1).alias("n"))
-    outs = size.withColumn("j", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n") * up / down) - 1).cast("int"))))
-    # Input sample i contributes through the tap at distance j * down - i * up, in steps of the upsampled grid.
-    rows = outs.withColumn("phase", F.pmod(F.col("j") * down, F.lit(up)).cast("int")).join(F.broadcast(taps), "phase")
-    i = ((F.col("j") * down - F.col("k")) / up).cast("int")
-    last = F.col("n") - 1
-    if pad == "reflect":
-        cycle = F.pmod(i, F.greatest(2 * last, F.lit(1)))
-        i = F.when(last == 0, F.lit(0)).otherwise(F.when(cycle <= last, cycle).otherwise(2 * last - cycle))
-    rows = rows.select(*keys, "j", "h", i.alias("t_idx"))
-    return rows.join(df.select(*keys, "t_idx", "x"), [*keys, "t_idx"]).groupBy(*keys, F.col("j").alias("t_idx")).agg(F.sum(F.col("h") * F.col("x")).alias("x"))
+    halo = -(-10 * max(up, down) // up) + 1
+    length = max(STRETCH, 20 * halo)
+    packed = in_stretches(df, keys, length, halo).groupBy(*keys, "stretch").agg(F.collect_list(F.struct("t_idx", "x")).alias("p"))
+    packed = packed.select(*keys, "stretch", F.col("p.t_idx").alias("t"), F.col("p.x").alias("x"))
+    phases = [[] for _ in range(up)]
+    for k, h in resample_taps(up, down):
+        phases[k % up].append((k, h))
+    taps = [(np.array([k for k, _ in p]), np.array([h for _, h in p])) for p in phases]
+    schema = StructType([*(df.schema[c] for c in keys), StructField("t_idx", IntegerType()), StructField("x", DoubleType())])
+    width = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, places, values = [], [], []
+            for r in range(b.num_rows):
+                start = b.column(width)[r].as_py() * length
+                t = b.column(width + 1)[r].values.to_numpy()
+                low = int(t.min())
+                line = np.zeros(int(t.max()) - low + 1)
+                line[t - low] = b.column(width + 2)[r].values.cast(pa.float64()).fill_null(0.0).to_numpy()
+                end = low + len(line)  # of the series, if this is its last stretch or the halo reaches it
+                stop = min(start + length, end)
+                j = np.arange(-(-start * up // down), -(-stop * up // down))
+                out = np.zeros(len(j))
+                for phase in np.unique(j * down % up):
+                    at = np.flatnonzero(j * down % up == phase)
+                    k, h = taps[phase]
+                    i = (j[at] * down)[:, None] - k
+                    i //= up
+                    inside = (i >= 0) & (i < end)
+                    if pad == "reflect":
+                        cycle = np.mod(i, max(2 * (end - 1), 1))
+                        i = np.where(inside, i, np.where(cycle <= end - 1, cycle, 2 * (end - 1) - cycle) if end > 1 else 0)
+                    else:
+                        h = np.where(inside, h, 0.0)
+                    x = line[np.clip(i - low, 0, len(line) - 1)]
+                    out[at] = (x * h).sum(axis=1)
+                row.append(np.full(len(j), r))
+                places.append(j)
+                values.append(out)
+            if row:
+                rest = b.select(list(range(width))).take(pa.array(np.concatenate(row)))
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(values))], names=schema.names)
+
+    return packed.mapInArrow(run, schema)
+
+
+#: Samples of a stretch of a series at least.
+STRETCH = 4096
+
+
+def in_stretches(df: DataFrame, keys: tuple[str, ...], length: int, halo: int) -> DataFrame:
+    """keys, t_idx, x and the stretch that a sample is for: its own, and a neighbour's if it lies within ``halo`` of it."""
+    own = F.floor(F.col("t_idx") / length).cast("int")
+    before = F.when((own > 0) & (F.col("t_idx") - own * length < halo), own - 1)
+    after = F.when((own + 1) * length - F.col("t_idx") <= halo, own + 1)
+    every = F.explode(F.filter(F.array(own, before, after), lambda s: s.isNotNull()))
+    rows = df.select(*keys, F.col("t_idx").cast("int").alias("t_idx"), F.col("x").cast("double").alias("x"), every.alias("stretch"))
+    return rows

@@ -89,16 +89,36 @@ def _grouped(x: np.ndarray, y: np.ndarray, epochs: np.ndarray, g: int, seed: int
     return np.array(rows), np.array(labels)
 
 
-def decode_tasks(windowed: DataFrame, configs: DataFrame, repeats: int = 5, k: int = 5, inner: int = 3, pseudo: int = 1, k_best: int | None = 200, pca: bool = False, seed: int = 0) -> DataFrame:
+def fits_of(classifier: str, tuned: bool, k: int, inner: int) -> int:
+    """Fits of one repeat of a configuration: one per fold, and if tuned the grid on each inner fold before."""
+    return k * (1 + (inner * len(GRID) if tuned and classifier != "lda" else 0))
+
+
+def shares(work: list[tuple[int, tuple]], most: int) -> list[list[tuple]]:
+    """Pieces of ``work`` (cost, piece) in as many shares as keep each at about ``most``, or at the dearest piece's cost: each
+    piece, the dearest first, goes to the lightest share."""
+    if not work:
+        return []
+    n = -(-sum(c for c, _ in work) // max(most, max(c for c, _ in work)))
+    out: list[list] = [[0, []] for _ in range(n)]
+    for cost, piece in sorted(work, key=lambda w: -w[0]):
+        least = min(out, key=lambda s: s[0])
+        least[0] += cost
+        least[1].append(piece)
+    return [pieces for _, pieces in out]
+
+
+def decode_tasks(windowed: DataFrame, configs: DataFrame, repeats: int = 5, k: int = 5, inner: int = 3, pseudo: int = 1, k_best: int | None = 200, pca: bool = False, seed: int = 0, fits_per_task: int = 65) -> DataFrame:
     """One row per (subject, roi, classifier, sw_dur, tuned, window, repeat) with its mean accuracy over folds.
 
     ``windowed`` has subject, roi, epoch, y, sw_dur, w, ms_center, features; ``configs``, a grid of a few rows that is read
-    first, classifier, sw_dur, tuned, c. The trials of a window cross the exchange once; the task that gets them runs
-    every configuration and repeat of their duration. Cells that can't be fitted have a status.
+    first, classifier, sw_dur, tuned, c. The configurations and repeats of a window are dealt into shares of like numbers
+    of fits (``shares``), and each share with the window's trials is a group of its own, so that an expensive window
+    spreads over tasks; trials cross the exchange once for each share. Cells that can't be fitted have a status.
     """
     every = [tuple(r) for r in configs.select("classifier", "sw_dur", "tuned", default_c(F.col("classifier"), F.col("c"))).distinct().orderBy("classifier", "sw_dur", "tuned").collect()]
     keys = ["subject", "roi", "sw_dur", "w"]
-    wanted = sorted({c[1] for c in every})
+    dealt = {dur: shares([(fits_of(c[0], c[2], k, inner), (*c, rep)) for c in every if c[1] == dur for rep in range(repeats)], fits_per_task) for dur in sorted({c[1] for c in every})}
 
     def one(x: np.ndarray, y: np.ndarray, epochs: np.ndarray, name: str, tuned: bool, c: float, rep: int) -> tuple:
         try:
@@ -128,10 +148,13 @@ def decode_tasks(windowed: DataFrame, configs: DataFrame, repeats: int = 5, k: i
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("epoch")
         x, y, epochs, ms = np.array(g["features"].tolist()), g["y"].to_numpy(), g["epoch"].to_numpy(), float(g["ms_center"].iloc[0])
-        out = [(key[0], key[1], name, key[2], tuned, key[3], ms, rep, *one(x, y, epochs, name, tuned, c, rep)) for name, dur, tuned, c in every if dur == key[2] for rep in range(repeats)]
+        out = [(key[0], key[1], name, key[2], tuned, key[3], ms, rep, *one(x, y, epochs, name, tuned, c, rep)) for name, _, tuned, c, rep in dealt[key[2]][key[4]]]
         return pd.DataFrame(out, columns=[p.split()[0] for p in RESULT.split(", ")])
 
-    return windowed.where(F.col("sw_dur").isin(wanted)).groupBy(*keys).applyInPandas(run, RESULT)
+    sizes = F.create_map(*[F.lit(v) for dur, parts in dealt.items() for v in (dur, len(parts))]) if dealt else F.lit(None).cast("map<int,int>")
+    rows = windowed.withColumn("_n", F.try_element_at(sizes, F.col("sw_dur"))).where(F.col("_n").isNotNull())
+    rows = rows.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    return rows.drop("_n").groupBy(*keys, "_share").applyInPandas(run, RESULT)
 
 
 def decode_sliding(signals: DataFrame, configs: DataFrame, tmin: float, tmax: float, rate: float, step_ms: float, **params) -> DataFrame:

@@ -213,27 +213,42 @@ def orthogonalise(df: DataFrame, floor: float = 1e-10) -> DataFrame:
 def regress_out(df: DataFrame, summaries: DataFrame, ridge: float = 1e-6) -> DataFrame:
     """Residual of every vertex on the summaries of all other regions of its trial (normal equations with a ridge).
 
-    ``df`` has subject, epoch, roi, vertex, t_idx, x; ``summaries`` subject, epoch, roi, t_idx, x.
+    ``df`` has subject, epoch, roi, vertex, t_idx, x; ``summaries`` subject, epoch, roi, t_idx, x. A trial is one group, in
+    which its samples and summaries come together once, as two dense matrices; vertices of a region share one solve.
+    Samples at times at which no other region has a summary give no row.
     """
     types = dict(df.dtypes)
-    s = summaries.select("subject", "epoch", F.col("roi").alias("other"), "t_idx", F.col("x").alias("s"))
-    both = df.join(s, ["subject", "epoch", "t_idx"]).where("roi <> other")
-    cross = both.groupBy("subject", "epoch", "roi", "vertex", "other").agg(F.sum(F.col("x") * F.col("s")).alias("b"))
-    grams = gram(summaries, ["subject", "epoch"], "roi", ("t_idx",)).groupBy("subject", "epoch").agg(F.collect_list(F.struct("i", "j", "g")).alias("m"))
+    schema = f"subject {types['subject']}, epoch {types['epoch']}, roi string, vertex {types['vertex']}, t_idx int, x double"
+    head = ["subject", "epoch", "roi"]
+    one = df.select(*head, "vertex", F.col("t_idx").cast("int").alias("t_idx"), F.col("x").cast("double").alias("x"), F.lit(False).alias("sums"))
+    two = summaries.select(*head, F.lit(None).cast(types["vertex"]).alias("vertex"), F.col("t_idx").cast("int").alias("t_idx"), F.col("x").cast("double").alias("x"), F.lit(True).alias("sums"))
 
     def solve(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        units, m = _square(pd.DataFrame([tuple(r.values()) if isinstance(r, dict) else tuple(r) for r in g["m"].iloc[0]], columns=["i", "j", "g"]), "g")
-        at, out = {u: n for n, u in enumerate(units)}, []
-        for (roi, vertex), part in g.groupby(["roi", "vertex"]):
-            keep = [at[o] for o in part["other"]]
+        have, here = g[g["sums"]], g[~g["sums"]]
+        if not len(have) or not len(here):
+            return pd.DataFrame(columns=["subject", "epoch", "roi", "vertex", "t_idx", "x"])
+        times, t = np.unique(g["t_idx"], return_inverse=True)
+        rois, r = np.unique(have["roi"], return_inverse=True)
+        s, there = np.zeros((len(rois), len(times))), np.zeros((len(rois), len(times)), bool)
+        s[r, t[g["sums"].to_numpy()]] = have["x"].fillna(0.0)
+        there[r, t[g["sums"].to_numpy()]] = True
+        m, out, place = s @ s.T, [], t[~g["sums"].to_numpy()]
+        for roi in pd.unique(here["roi"]):
+            at = np.flatnonzero(here["roi"].to_numpy() == roi)
+            vertices, v = np.unique(here["vertex"].to_numpy()[at], return_inverse=True)
+            x = np.zeros((len(vertices), len(times)))
+            x[v, place[at]] = here["x"].to_numpy()[at]
+            keep = np.flatnonzero(rois != roi)
+            if not len(keep):
+                continue
             a = m[np.ix_(keep, keep)]
-            w = np.linalg.solve(a + ridge * np.trace(a) / max(1, len(keep)) * np.eye(len(keep)), part["b"].to_numpy())
-            out += [(*key, roi, vertex, o, float(v)) for o, v in zip(part["other"], w, strict=True)]
-        return pd.DataFrame(out, columns=["subject", "epoch", "roi", "vertex", "other", "w"])
+            w = np.linalg.solve(a + ridge * np.trace(a) / len(keep) * np.eye(len(keep)), s[keep] @ np.nan_to_num(x).T)
+            rest = x - w.T @ s[keep]
+            at, v = at[there[keep].any(axis=0)[place[at]]], v[there[keep].any(axis=0)[place[at]]]
+            out.append(pd.DataFrame({"subject": key[0], "epoch": key[1], "roi": roi, "vertex": vertices[v], "t_idx": times[place[at]], "x": rest[v, place[at]]}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["subject", "epoch", "roi", "vertex", "t_idx", "x"])
 
-    w = cross.join(grams, ["subject", "epoch"]).groupBy("subject", "epoch").applyInPandas(solve, f"subject {types['subject']}, epoch {types['epoch']}, roi string, vertex {types['vertex']}, other string, w double")
-    part = both.join(w, ["subject", "epoch", "roi", "vertex", "other"]).groupBy("subject", "epoch", "roi", "vertex", "t_idx").agg((F.first("x") - F.sum(F.col("w") * F.col("s"))).alias("x"))
-    return part
+    return one.unionByName(two).groupBy("subject", "epoch").applyInPandas(solve, schema)
 
 
 def shrunk_covariance(df: DataFrame, keys: list[str], unit: str = "chan") -> DataFrame:

@@ -148,3 +148,32 @@ def test_errors(spark):
         select.select_rois(df, ["Z"])
     with pytest.raises(ValueError, match="unknown contrast"):
         select.assign_class(df.withColumnRenamed("roi", "word"), select.word_classes(spark), "none")
+
+
+def test_shares_are_even_and_lose_nothing():
+    from esig.operators import decode
+
+    work = [(decode.fits_of(n, t, 5, 3), (n, t, r)) for n in ("svm", "lda", "logistic") for t in (False, True) for r in range(5)]
+    parts = decode.shares(work, 65)
+    cost = {piece: c for c, piece in work}
+    sums = sorted(sum(cost[p] for p in part) for part in parts)
+    assert sorted(p for part in parts for p in part) == sorted(cost) and sums[-1] <= 2 * sums[len(sums) // 2]
+    assert decode.shares([], 10) == [] and len(decode.shares(work, 10**6)) == 1
+
+
+def test_shares_give_the_same_accuracies(spark):
+    """However a window's work is dealt; a subject with too few trials is reported and doesn't stop the rest."""
+    import numpy as np
+
+    from esig.operators import decode
+
+    rng = np.random.default_rng(3)
+    rows = [(s, "r", e, e % 2, 40, w, float(w), (rng.normal(size=6) + (e % 2)).tolist()) for s, n in ((0, 40), (1, 4)) for e in range(n) for w in range(2)]
+    df = spark.createDataFrame(rows, "subject int, roi string, epoch int, y int, sw_dur int, w int, ms_center double, features array<double>")
+    grid = spark.createDataFrame([("svm", 40, t, None) for t in (False, True)] + [("lda", 40, False, None), ("lda", 99, False, None)], "classifier string, sw_dur int, tuned boolean, c double")
+    key = lambda r: (r.subject, r.classifier, r.tuned, r.w, r.rep)
+    got = [{key(r): (r.accuracy, r.c, r.status) for r in decode.decode_tasks(df, grid, repeats=2, fits_per_task=n).collect()} for n in (1, 65, 10**6)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 2 * 2 * 3 * 2
+    done, failed = decode.decode_subjects(df, "svm", 40)
+    assert {r.subject for r in done.collect()} == {0}
+    assert [(r.subject, r.n_failed, r.reason) for r in failed.collect()] == [(1, 2, "fewer trials of a class than folds")]
