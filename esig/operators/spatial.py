@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..leaf import beamformer
 from ..leaf.classify import leading
 
 SIGNAL = ("subject", "roi", "epoch", "t_idx")
@@ -294,6 +295,49 @@ def lcmv_weights(gain: DataFrame, data_cov: DataFrame, reg: float = 0.05) -> Dat
     return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("subject", "vertex"))))
 
 
+#: Vertices whose filters are worked out together.
+VERTEX_BLOCK = 1024
+
+
+def lcmv_max_power(gain: DataFrame, data_cov: DataFrame, noise_cov: DataFrame, reg: float = 0.05, rank: int | None = None, reduce_rank: bool = True) -> DataFrame:
+    """subject, vertex, chan, w, ori: filters with unit noise gain in the orientation of most power, on whitened data.
+
+    ``gain`` is (vertex, chan, ori, g) with three orientations 0, 1, 2 (a missing one counts as 0), ``data_cov`` and
+    ``noise_cov`` (subject, i, j, cov), i <= j, for all channels. ``reduce_rank`` leaves out the weakest direction of each
+    gain; ``rank`` is that of the noise, found from its eigenvalues if not given. ori (array) is the unit vector chosen.
+    A subject's covariances go once to each block of vertices.
+    """
+    types = dict(gain.dtypes)
+    blocks = max(1, -(-gain.select("vertex").distinct().count() // VERTEX_BLOCK))
+    packed = gain.groupBy("vertex").agg(F.collect_list(F.struct(F.col("chan").alias("c"), F.col("ori").cast("int").alias("o"), "g")).alias("p")).withColumn("block", F.pmod(F.xxhash64("vertex"), F.lit(blocks)).cast("int"))
+    rows = [df.groupBy("subject").agg(F.collect_list(F.struct("i", "j", "cov")).alias(name)) for df, name in ((data_cov, "data"), (noise_cov, "noise"))]
+    covs = rows[0].join(rows[1], "subject")
+    left = packed.join(data_cov.select(F.col("subject").alias("s")).distinct(), F.lit(True)).withColumnRenamed("s", "subject")  # every subject wants every vertex
+    right = covs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    schema = f"subject {dict(covs.dtypes)['subject']}, vertex {types['vertex']}, chan {types['chan']}, w double, ori array<double>"
+
+    def full(p: list, at: dict) -> np.ndarray:
+        m = np.zeros((len(at), len(at)))
+        for r in p:
+            m[at[r["i"]], at[r["j"]]] = m[at[r["j"]], at[r["i"]]] = r["cov"]
+        return m
+
+    def solve(key: tuple, one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(two):
+            return pd.DataFrame(columns=["subject", "vertex", "chan", "w", "ori"])
+        one, data, noise = one.sort_values("vertex"), two["data"].iloc[0], two["noise"].iloc[0]
+        chans = sorted({r[k] for r in data for k in ("i", "j")})
+        at, g = {c: n for n, c in enumerate(chans)}, np.zeros((len(one), len(chans), 3))
+        for n, p in enumerate(one["p"]):
+            for r in p:
+                g[n, at[r["c"]], r["o"]] = r["g"]
+        w, o = beamformer.max_power(g, full(data, at), full(noise, at), reg, rank, 2 if reduce_rank else 3)
+        v = np.repeat(np.arange(len(one)), len(chans))
+        return pd.DataFrame({"subject": key[0], "vertex": one["vertex"].to_numpy()[v], "chan": np.tile(chans, len(one)), "w": w.ravel(), "ori": [o[n].tolist() for n in v]})
+
+    return left.groupBy("subject", "block").cogroup(right.groupBy("subject", "block")).applyInPandas(solve, schema)
+
+
 def dspm_weights(gain: DataFrame, noise_cov: DataFrame, snr: float = 3.0) -> DataFrame:
     """subject, vertex, chan, w: minimum norm with lambda2 = 1 / snr^2, each vertex scaled to unit noise."""
     two = gain.select("vertex", F.col("chan").alias("j"), F.col("g").alias("h"))

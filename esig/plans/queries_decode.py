@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import decode, select, spatial, windows
@@ -97,6 +99,15 @@ def r11(spark, d):
     return spatial.lcmv_weights(gain(spark), c)
 
 
+@query("r11_lcmv_max_power")
+def r11m(spark, d):
+    """Data after the event against the baseline's noise; the gains of three orientations are those of ``gain``, turned."""
+    g = gain(spark)
+    three = reduce(lambda a, b: a.unionByName(b), [g.select("vertex", "chan", F.lit(k).alias("ori"), F.cos(F.col("vertex") * (k + 1) + F.col("chan") * (0.3 + 0.4 * k)).alias("g")) for k in range(3)])
+    v = vertices(spark, d)
+    return spatial.lcmv_max_power(three, *(spatial.covariance(v.where(w), ["subject"], "vertex") for w in ("t_idx > 4", "t_idx <= 4")))
+
+
 @query("r12_dspm_weights")
 def r12(spark, d):
     c = spatial.covariance(vertices(spark, d).where("t_idx <= 4"), ["subject"], "vertex")
