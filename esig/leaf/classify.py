@@ -67,17 +67,41 @@ def ledoit_wolf(x: np.ndarray) -> np.ndarray:
     return (1 - k) * s + k * mu * np.eye(p)
 
 
+def _shrinkage(x: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """(centred rows, shrinkage, target) of ``ledoit_wolf`` without the covariance itself: its square sum is that of the rows'
+    products."""
+    n, p = x.shape
+    x = x - x.mean(axis=0)
+    power = (x * x).sum(axis=1)
+    mu, square = power.sum() / n / p, ((x @ x.T) ** 2).sum() / n**2
+    d2 = (square - p * mu * mu) / p
+    b2 = min(d2, ((power**2).sum() / n - square) / (n * p))
+    return x, b2 / d2 if d2 > 0 else 0.0, mu
+
+
 def lda(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights with the intercept last: class covariances shrunk on standardised data, weighted by class share."""
+    """Weights with the intercept last: class covariances shrunk on standardised data, weighted by class share.
+
+    With more features than trials the covariance is a multiple of the unit matrix and a product of few rows, and its
+    system is solved in the space of the trials.
+    """
     sd = x.std(axis=0)
     sd = np.where(sd > 0, sd, 1.0)
-    cov, means, share = np.zeros((x.shape[1],) * 2), [], []
+    means, share, rows, ridge = [], [], [], 0.0
     for k in (0, 1):
         part = x[y == k]
         share.append(len(part) / len(x))
         means.append(part.mean(axis=0))
-        cov += share[k] * (ledoit_wolf(part / sd) * np.outer(sd, sd))
-    coef = np.linalg.lstsq(cov, np.array(means).T, rcond=None)[0]
+        if x.shape[1] > len(x):
+            z, shrunk, mu = _shrinkage(part / sd)
+            rows.append(z * np.sqrt(share[k] * (1 - shrunk) / len(part)))
+            ridge += share[k] * shrunk * mu
+    if ridge > 1e-12:
+        b, v = np.concatenate(rows), (np.array(means) / sd).T
+        coef = (v - b.T @ np.linalg.solve(ridge * np.eye(len(b)) + b @ b.T, b @ v)) / ridge / sd[:, None]
+    else:
+        cov = sum(share[k] * (ledoit_wolf(x[y == k] / sd) * np.outer(sd, sd)) for k in (0, 1))
+        coef = np.linalg.lstsq(cov, np.array(means).T, rcond=None)[0]
     bias = [-0.5 * means[k] @ coef[:, k] + np.log(share[k]) for k in (0, 1)]
     return np.append(coef[:, 1] - coef[:, 0], bias[1] - bias[0])
 

@@ -177,3 +177,20 @@ def test_shares_give_the_same_accuracies(spark):
     done, failed = decode.decode_subjects(df, "svm", 40)
     assert {r.subject for r in done.collect()} == {0}
     assert [(r.subject, r.n_failed, r.reason) for r in failed.collect()] == [(1, 2, "fewer trials of a class than folds")]
+
+
+def test_lda_in_the_space_of_the_trials_equals_the_dense_solve():
+    import numpy as np
+
+    from esig.leaf import classify
+
+    rng = np.random.default_rng(1)
+    for n, p in ((20, 60), (70, 200), (12, 13)):
+        x, y = rng.normal(size=(n, p)) * rng.uniform(0.5, 3, p) + rng.normal(size=p), np.arange(n) % 2
+        x[y == 1, :3] += 0.7
+        sd = x.std(axis=0)
+        share, means = [np.mean(y == k) for k in (0, 1)], [x[y == k].mean(axis=0) for k in (0, 1)]
+        cov = sum(share[k] * classify.ledoit_wolf(x[y == k] / sd) * np.outer(sd, sd) for k in (0, 1))
+        coef = np.linalg.solve(cov, np.array(means).T)
+        bias = [-0.5 * means[k] @ coef[:, k] + np.log(share[k]) for k in (0, 1)]
+        assert np.allclose(classify.lda(x, y), np.append(coef[:, 1] - coef[:, 0], bias[1] - bias[0]), rtol=1e-6, atol=1e-9)
