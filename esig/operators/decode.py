@@ -114,7 +114,8 @@ def decode_tasks(windowed: DataFrame, configs: DataFrame, repeats: int = 5, k: i
     ``windowed`` has subject, roi, epoch, y, sw_dur, w, ms_center, features; ``configs``, a grid of a few rows that is read
     first, classifier, sw_dur, tuned, c. The configurations and repeats of a window are dealt into shares of like numbers
     of fits (``shares``), and each share with the window's trials is a group of its own, so that an expensive window
-    spreads over tasks; trials cross the exchange once for each share. Cells that can't be fitted have a status.
+    spreads over tasks; trials cross the exchange once for each share. Of values of c that score alike the smallest is taken.
+    Cells that can't be fitted have a status.
     """
     every = [tuple(r) for r in configs.select("classifier", "sw_dur", "tuned", default_c(F.col("classifier"), F.col("c"))).distinct().orderBy("classifier", "sw_dur", "tuned").collect()]
     keys = ["subject", "roi", "sw_dur", "w"]
@@ -135,7 +136,7 @@ def decode_tasks(windowed: DataFrame, configs: DataFrame, repeats: int = 5, k: i
                         px, py = _grouped(tx[part != i], ty[part != i], te[part != i], pseudo, seed)
                         a, b = _prepare(px, py, tx[part == i], k_best, pca)
                         score[i] = [np.mean(classify.predict(classify.fit(name, a, py, v), b) == ty[part == i]) for v in GRID]
-                    best = GRID[int(np.argmax(score.mean(axis=0)))]
+                    best = GRID[int(np.argmax(score.mean(axis=0).round(12)))]  # equal scores: the smallest
                 px, py = _grouped(tx, ty, te, pseudo, seed)
                 a, b = _prepare(px, py, x[fold == f], k_best, pca)
                 hits.append(np.mean(classify.predict(classify.fit(name, a, py, best), b) == y[fold == f]))
