@@ -7,10 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .select import small
+
 
 def merge_parcels(parcels: DataFrame, wanted: DataFrame) -> DataFrame:
     """Vertices of each region: the distinct union of its parcels. ``wanted`` (roi, parcel) may overlap."""
-    return parcels.join(F.broadcast(wanted), "parcel").select("roi", "vertex").distinct()
+    return parcels.join(small(wanted), "parcel").select("roi", "vertex").distinct()
 
 
 def unknown_parcels(parcels: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -36,8 +38,8 @@ def explicit_pairs(texts: DataFrame, rois: DataFrame) -> tuple[DataFrame, DataFr
     """(pairs, unresolved) of texts 'a:b' or 'a->b', whatever their case."""
     parts = F.split("text", r"\s*(?:->|:)\s*")
     asked = texts.select("text", F.lower(F.trim(F.get(parts, F.lit(0)))).alias("a"), F.lower(F.trim(F.get(parts, F.lit(1)))).alias("b"))
-    names = rois.select("roi").distinct()
-    left, right = (F.broadcast(names.select(F.lower("roi").alias(k), F.col("roi").alias(v))) for k, v in (("a", "src"), ("b", "tgt")))
+    names = small(rois.select("roi").distinct())
+    left, right = (names.select(F.lower("roi").alias(k), F.col("roi").alias(v)) for k, v in (("a", "src"), ("b", "tgt")))
     found = asked.join(left, "a", "left").join(right, "b", "left")
     good = F.col("src").isNotNull() & F.col("tgt").isNotNull()
     return found.where(good).select("src", "tgt"), found.where(~good).select("text")

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+
+from .select import small
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 
@@ -37,7 +39,7 @@ def average_reference(df: DataFrame, keys: tuple[str, ...] = ("epoch", "t_idx"),
 def pseudo_channels(df: DataFrame, members: DataFrame, keys: tuple[str, ...] = ("subject", "epoch", "t_idx"), chan: str = "chan", x: str = "x") -> DataFrame:
     """Mean over the sensors of each group per trial and sample. ``members`` (roi, sensor) matches whatever the case."""
     m = members.select("roi", F.lower(F.col("sensor").cast("string")).alias("_s")).distinct()
-    rows = df.drop("roi").withColumn("_s", F.lower(F.col(chan).cast("string"))).join(F.broadcast(m), "_s")
+    rows = df.drop("roi").withColumn("_s", F.lower(F.col(chan).cast("string"))).join(small(m), "_s")
     return rows.groupBy(*keys, "roi").agg(F.avg(x).alias(x))
 
 

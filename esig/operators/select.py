@@ -13,6 +13,14 @@ WORD_CLASSES = {
 FILLER = "MEEV"
 #: Names that an error message lists at most.
 LISTED = 1000
+#: Rows up to which a caller's table is hinted to broadcast.
+SMALL = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """``df`` with a hint to broadcast if it has at most ``most`` rows, counted no further than that; else as it is, and the join
+    shuffles or not by Spark's own measure. For narrow tables alone."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def good_trials(df: DataFrame, info: str = "good") -> DataFrame:
@@ -36,7 +44,7 @@ def assign_class(epochs: DataFrame, classes: DataFrame, contrast: str) -> DataFr
     known = classes.where(F.col("contrast") == contrast).select("word", F.col("y").alias("y"))
     if known.isEmpty():
         raise ValueError(f"unknown contrast {contrast}")
-    return epochs.drop("y").join(F.broadcast(known), "word")
+    return epochs.drop("y").join(small(known), "word")
 
 
 def scale_units(df: DataFrame, x: str = "x", above: float = 1e-3, factor: float = 1e-6) -> DataFrame:
@@ -72,7 +80,7 @@ def select_rois(df: DataFrame, names: list[str], roi: str = "roi") -> DataFrame:
 def config_filter(df: DataFrame, classifiers: list[str] | None = None, sw_durs: list[int] | None = None, tuned: str = "any", combos: DataFrame | None = None) -> DataFrame:
     """Rows of the wanted configurations; explicit ``combos`` (classifier, sw_dur[, tuned]) override the rest."""
     if combos is not None:
-        return df.join(F.broadcast(combos), [c for c in combos.columns if c in df.columns], "left_semi")
+        return df.join(small(combos), [c for c in combos.columns if c in df.columns], "left_semi")
     keep = F.lit(True)
     if classifiers:
         keep &= F.col("classifier").isin(classifiers)
