@@ -63,3 +63,38 @@ def test_in_spark(spark, monkeypatch):
         for r in got:
             if r.subject == s:
                 assert r.w == pytest.approx(w[r.vertex, r.chan], abs=1e-9) and r.ori == pytest.approx(o[r.vertex].tolist(), abs=1e-9)
+
+
+def test_registered_rows(spark):
+    """Every row of the query from the raw vectors: noise whitened by its symmetric root, the orientation of most power by an
+    unsymmetric eigenproblem."""
+    import pandas as pd
+
+    from esig.catalog import QUERIES
+
+    tables = "/root/testdata/sf0.001"
+    e = pd.read_parquet(f"{tables}/embeddings.parquet")
+    x, subject = np.array([np.asarray(v, dtype=float) for v in e["embedding"]]).reshape(len(e), 8, 8), e["vec_id"].to_numpy() % 10
+    got = {(r.subject, r.vertex, r.chan): (r.w, r.ori) for r in QUERIES["r11_lcmv_max_power"](spark, tables).collect()}
+    want = {}
+    for s in np.unique(subject):
+        mine = x[subject == s]
+        data, noise = (np.cov(np.swapaxes(part, 0, 1).reshape(8, -1)) for part in (mine[:, :, 5:], mine[:, :, :5]))
+        value, vector = np.linalg.eigh(noise)
+        white = vector @ np.diag(value**-0.5) @ vector.T
+        c = white @ data @ white
+        inverse = np.linalg.inv(c + 0.05 * np.trace(c) / 8 * np.eye(8))
+        for v in range(3):
+            g = white @ np.array([[np.cos(v * (k + 1) + chan * (0.3 + 0.4 * k)) for k in range(3)] for chan in range(8)])
+            strong = np.linalg.eigh(g.T @ g)[1][:, 1:]
+            a = strong.T @ g.T @ inverse @ g @ strong
+            b = strong.T @ g.T @ inverse @ inverse @ g @ strong
+            power, direction = np.linalg.eig(np.linalg.solve(b, a))
+            o = strong @ direction[:, power.argmax()]
+            o = o / np.linalg.norm(o) * np.sign(o[np.abs(o).argmax()])
+            f = inverse @ g @ o
+            f = white @ f / np.linalg.norm(f)
+            want |= {(int(s), v, chan): (f[chan], o.tolist()) for chan in range(8)}
+    assert set(got) == set(want)
+    for k, (w, o) in want.items():
+        assert got[k][0] == pytest.approx(w, rel=1e-6, abs=1e-7) and got[k][1] == pytest.approx(o, rel=1e-6, abs=1e-7), k
