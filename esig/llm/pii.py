@@ -229,6 +229,11 @@ def find_personal_data(docs: DataFrame, rounds: int = ROUNDS, min_confidence: fl
     return out.select("doc_id", "base", F.coalesce("added", F.array().cast("array<struct<start:int,k:int,end:int>>")).alias("added"))
 
 
+def count_kind(spans: str, kind: int) -> Column:
+    """How many of the spans are of the kind. The function given to ``filter`` takes one argument: a second one would be the index."""
+    return F.size(F.filter(spans, lambda s: s["k"] == kind))
+
+
 def span_text(spans: Column) -> Column:
     """kind:start:end of each span, joined by commas."""
     names = F.array(*[F.lit(k) for k in KINDS])

@@ -38,7 +38,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, n=n: s["k"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(pii.KINDS)]
+    counts = [pii.count_kind("base", n).cast("long").alias(f"n_{k}") for n, k in enumerate(pii.KINDS)]
     every = F.sort_array(F.concat("base", "added"))
     return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"), pii.span_text(every).alias("spans"))
 

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from esig.llm import ann, bpe, html_text, line_dedup, mixing, near_dedup, pii, quality_model, quality_rules, sharding, util
+from esig.llm import ann, bpe, html_text, line_dedup, mixing, near_dedup, pii, quality_model, quality_rules, queries, sharding, util
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -155,6 +155,17 @@ def test_base_spans(spark, rows):
         assert got[i] == ",".join(f"{k}:{a}:{b}" for k, a, b in brute.base_spans(t)), t[:200]
 
 
+def test_pii_query_counts_each_kind(spark, tmp_path):
+    texts = ["a@b.c", "10.0.0.7 and 10.0.0.8 by x@y.org", "4111 1111 1111 1111 4111-1111-1111-1111\nz@y.org", "+1 (555) 010-2345 or +1 (555) 010-2346, 10.0.0.7", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op5_pii(spark, str(tmp_path)).collect()
+    for r in got:
+        want = brute.base_spans(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == kind for k, *_ in want) for kind in pii.KINDS]
+        assert r.base_sha256 == brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in want))
+    assert len(got) == len(texts)
+
+
 def test_contexts_find_unseen_identifiers(spark, none):
     assert pii.find_personal_data(none).count() == 0
     seen = [(i, f"Please pay from card number {c} today.") for i, c in enumerate(["4417744280351547", "4111111111111111", "5500005555555559"] * 12)]
