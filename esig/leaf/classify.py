@@ -21,6 +21,8 @@ def anova_f(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def top_k(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
+    if k >= x.shape[1]:
+        return np.arange(x.shape[1])
     return np.sort(np.argsort(-anova_f(x, y), kind="stable")[: min(k, x.shape[1])])
 
 
@@ -129,6 +131,121 @@ def fit(name: str, x: np.ndarray, y: np.ndarray, c: float) -> np.ndarray:
     return svm(x, y, c) if name == "svm" else lda(x, y) if name == "lda" else logistic(x, y, c)
 
 
+#: Features up to which fits are solved together, and doubles that a block of them holds in products of features.
+MANY_WIDTH, MANY_HELD = 24, 2_000_000
+
+
+def _stacked(xs: list[np.ndarray], ys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with a one at the end, (fits, rows, features + 1), and signs of labels; rows that fill up have sign 0."""
+    rows = max(map(len, xs))
+    z, s = np.zeros((len(xs), rows, xs[0].shape[1] + 1)), np.zeros((len(xs), rows))
+    for k, (x, y) in enumerate(zip(xs, ys, strict=True)):
+        z[k, : len(x), :-1], z[k, : len(x), -1] = x, 1.0
+        s[k, : len(x)] = np.where(y > 0, 1.0, -1.0)
+    return z, s
+
+
+def _products(z: np.ndarray) -> np.ndarray:
+    return (z[..., :, None] * z[..., None, :]).reshape(*z.shape[:2], -1)
+
+
+def _svm_many(z: np.ndarray, s: np.ndarray, c: np.ndarray, steps: int = 60) -> np.ndarray:
+    """``svm`` of every fit and every c (fits, values) at once."""
+    q, zt, zz, s = z.shape[2], z.transpose(0, 2, 1), _products(z), s[:, None]
+    w, c1 = np.zeros((*c.shape, q)), c[..., None]
+    slack = lambda v: np.where(s != 0, np.maximum(0, 1 - s * (v @ zt)), 0.0)
+    loss = lambda v: 0.5 * (v * v).sum(axis=-1) + c * (slack(v) ** 2).sum(axis=-1)
+    for _ in range(steps):
+        m = slack(w)
+        g = w - 2 * c1 * ((s * m) @ z)
+        live = np.abs(g).max(axis=-1) >= 1e-8 * np.maximum(1, np.abs(w).max(axis=-1))
+        if not live.any():
+            break
+        h = np.eye(q) + 2 * c1[..., None] * ((m > 0).astype(float) @ zz).reshape(*c.shape, q, q)
+        d = np.linalg.solve(h, g[..., None])[..., 0]
+        down, now, step = (g * d).sum(axis=-1), loss(w), live.astype(float)
+        while (far := live & (loss(w - step[..., None] * d) > now - 1e-4 * step * down) & (step > 1e-8)).any():
+            step[far] /= 2
+        w = w - step[..., None] * d
+    return w
+
+
+def _logistic_many(z: np.ndarray, s: np.ndarray, c: np.ndarray, l1: float = 0.1, steps: int = 60) -> np.ndarray:
+    """The optimum of ``logistic`` of every fit and every c (fits, values) at once.
+
+    Newton steps among the weights that aren't 0 or are drawn away from it, each kept on its side of 0; should fits remain
+    after half of the steps, theirs are minima of the quadratic model and the penalty by coordinate descent.
+    """
+    q, zt, zz, s = z.shape[2], z.transpose(0, 2, 1), _products(z), s[:, None]
+    real, free = np.abs(s), np.r_[np.ones(q - 1), 0.0]
+    flat, edge = (1 - l1) / c[..., None] * free, l1 / c[..., None] * free
+    w, d = np.zeros((*c.shape, q)), np.zeros((*c.shape, q))
+    u = s * (w @ zt)
+
+    def loss(v: np.ndarray, u: np.ndarray) -> np.ndarray:
+        return (real * (np.log1p(np.exp(-np.abs(u))) - np.minimum(u, 0))).sum(axis=-1) + (0.5 * flat * v * v + edge * np.abs(v)).sum(axis=-1)
+
+    now = loss(w, u)
+    for turn in range(steps):
+        miss = 1 / (1 + np.exp(np.minimum(u, 700)))
+        g = flat * w - (s * miss) @ z
+        side = np.where(w != 0, np.sign(w), -np.sign(g))
+        slope = np.where((w != 0) | (np.abs(g) > edge), g + edge * side, 0.0)
+        live = np.abs(slope).max(axis=-1) >= 1e-9
+        if not live.any():
+            break
+        h = ((real * miss * (1 - miss)) @ zz).reshape(*c.shape, q, q) + (flat + 1e-12)[..., None] * np.eye(q)
+        if turn < steps // 2:
+            on = ((w != 0) | (slope != 0)).astype(float)
+            d = -np.linalg.solve(h * on[..., None] * on[..., None, :] + (1 - on)[..., None] * np.eye(q), slope[..., None])[..., 0]
+            held = (free != 0) & (on != 0)
+        else:
+            d, hd, own, held = np.zeros_like(w), np.zeros_like(w), np.diagonal(h, axis1=-2, axis2=-1), False
+            for _ in range(1000):
+                most = 0.0
+                for j in range(q):
+                    v = own[..., j] * (w[..., j] + d[..., j]) - g[..., j] - hd[..., j]
+                    move = np.sign(v) * np.maximum(np.abs(v) - edge[..., j], 0) / own[..., j] - w[..., j] - d[..., j]
+                    d[..., j] += move
+                    hd += h[..., j] * move[..., None]
+                    most = max(most, np.abs(move[live]).max(initial=0.0))
+                if not most >= 1e-12:
+                    break
+        step = live.astype(float)
+        while True:
+            v = w + step[..., None] * d
+            v = np.where(held & (v * side < 0), 0.0, v)
+            u = s * (v @ zt)
+            new = loss(v, u)
+            far = live & (new > now + 1e-4 * (slope * (v - w)).sum(axis=-1) + 1e-13 * np.abs(now)) & (step > 1e-8)
+            if not far.any():
+                break
+            step[far] /= 2
+        w, now = v, new
+    return w
+
+
+def fit_many(name: str, xs: list[np.ndarray], ys: list[np.ndarray], c: np.ndarray) -> list[np.ndarray]:
+    """The weights of ``fit`` for every data set and each of its values of c (data sets, values): an array (values, features
+    + 1) for each. Data sets of few features are solved together, as one stack of matrices of each width."""
+    out: list = [None] * len(xs)
+    widths: dict[int, list[int]] = {}
+    for k, x in enumerate(xs):
+        widths.setdefault(x.shape[1], []).append(k)
+    for width, at in widths.items():
+        if name == "lda" or width > MANY_WIDTH:
+            for k in at:
+                out[k] = np.array([fit(name, xs[k], ys[k], v) for v in c[k]])
+            continue
+        size = max(1, MANY_HELD // (max(len(xs[k]) for k in at) * max((width + 1) ** 2, 2 * c.shape[1])))
+        for i in range(0, len(at), size):
+            part = at[i : i + size]
+            w = (_svm_many if name == "svm" else _logistic_many)(*_stacked([xs[k] for k in part], [ys[k] for k in part]), c[part])
+            for k, v in zip(part, w, strict=True):
+                out[k] = v
+    return out
+
+
 def predict(w: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x @ w[:-1] + w[-1] > 0).astype(int)
 

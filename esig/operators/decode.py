@@ -108,7 +108,7 @@ def shares(work: list[tuple[int, tuple]], most: int) -> list[list[tuple]]:
     return [pieces for _, pieces in out]
 
 
-def decode_tasks(windowed: DataFrame, configs: DataFrame, repeats: int = 5, k: int = 5, inner: int = 3, pseudo: int = 1, k_best: int | None = 200, pca: bool = False, seed: int = 0, fits_per_task: int = 65) -> DataFrame:
+def decode_tasks(windowed: DataFrame, configs: DataFrame, repeats: int = 5, k: int = 5, inner: int = 3, pseudo: int = 1, k_best: int | None = 200, pca: bool = False, seed: int = 0, fits_per_task: int = 350) -> DataFrame:
     """One row per (subject, roi, classifier, sw_dur, tuned, window, repeat) with its mean accuracy over folds.
 
     ``windowed`` has subject, roi, epoch, y, sw_dur, w, ms_center, features; ``configs``, a grid of a few rows that is read
@@ -121,35 +121,67 @@ def decode_tasks(windowed: DataFrame, configs: DataFrame, repeats: int = 5, k: i
     keys = ["subject", "roi", "sw_dur", "w"]
     dealt = {dur: shares([(fits_of(c[0], c[2], k, inner), (*c, rep)) for c in every if c[1] == dur for rep in range(repeats)], fits_per_task) for dur in sorted({c[1] for c in every})}
 
-    def one(x: np.ndarray, y: np.ndarray, epochs: np.ndarray, name: str, tuned: bool, c: float, rep: int) -> tuple:
-        try:
-            if min((y == 0).sum(), (y == 1).sum()) < k:
-                raise ValueError("fewer trials of a class than folds")
-            fold, hits, chosen = _fold_ids(epochs, y, rep, k, seed), [], []
-            for f in range(k):
-                best = c
-                tx, ty, te = x[fold != f], y[fold != f], epochs[fold != f]
-                if tuned and name != "lda":
-                    part = _fold_ids(te, ty, 100 + rep, inner, seed)
-                    score = np.zeros((inner, len(GRID)))
-                    for i in range(inner):
-                        px, py = _grouped(tx[part != i], ty[part != i], te[part != i], pseudo, seed)
-                        a, b = _prepare(px, py, tx[part == i], k_best, pca)
-                        score[i] = [np.mean(classify.predict(classify.fit(name, a, py, v), b) == ty[part == i]) for v in GRID]
-                    best = GRID[int(np.argmax(score.mean(axis=0).round(12)))]  # equal scores: the smallest
+    def decoded(x: np.ndarray, y: np.ndarray, epochs: np.ndarray, pieces: list[tuple]) -> list[tuple]:
+        """(accuracy, c, status) of each piece. The training data of a repeat's folds are prepared once for all of its pieces,
+        and the fits of a classifier are solved together."""
+        if min((y == 0).sum(), (y == 1).sum()) < k:
+            return [(None, None, "fewer trials of a class than folds")] * len(pieces)
+        known: dict[tuple, tuple] = {}
+
+        def fold_data(rep: int, f: int, i: int | None) -> tuple:
+            """Prepared training rows, their labels, prepared test rows and theirs: of fold f, or of its inner fold i."""
+            if (rep, f, i) not in known:
+                fold = _fold_ids(epochs, y, rep, k, seed) if (rep,) not in known else known[(rep,)]
+                known[(rep,)] = fold
+                tx, ty, te, sx, sy = x[fold != f], y[fold != f], epochs[fold != f], x[fold == f], y[fold == f]
+                if i is not None:
+                    if (rep, f) not in known:
+                        known[(rep, f)] = _fold_ids(te, ty, 100 + rep, inner, seed)
+                    part = known[(rep, f)]
+                    tx, ty, te, sx, sy = tx[part != i], ty[part != i], te[part != i], tx[part == i], ty[part == i]
                 px, py = _grouped(tx, ty, te, pseudo, seed)
-                a, b = _prepare(px, py, x[fold == f], k_best, pca)
-                hits.append(np.mean(classify.predict(classify.fit(name, a, py, best), b) == y[fold == f]))
-                chosen.append(best)
-            values, n = np.unique(chosen, return_counts=True)
-            return float(np.mean(hits)), float(values[n.argmax()]), "ok"
-        except (ValueError, np.linalg.LinAlgError) as e:
-            return None, None, str(e)[:60]
+                known[(rep, f, i)] = (*_prepare(px, py, sx, k_best, pca), py, sy)
+            return known[(rep, f, i)]
+
+        def hits(name: str, data: list[tuple], c: np.ndarray) -> np.ndarray:
+            """Share of test rows that each value of c (data, values) gets right."""
+            fits = classify.fit_many(name, [d[0] for d in data], [d[2] for d in data], c)
+            return np.array([((b @ w[:, :-1].T + w[:, -1] > 0) == (sy == 1)[:, None]).mean(axis=0) for (_, b, _, sy), w in zip(data, fits, strict=True)])
+
+        def together(name: str, some: list[tuple]) -> list[tuple]:
+            best = np.repeat([[p[2]] for p in some], k, axis=1)
+            grid = [at for at, p in enumerate(some) if p[1] and name != "lda"]
+            if grid:
+                data = [fold_data(some[at][3], f, i) for at in grid for f in range(k) for i in range(inner)]
+                score = hits(name, data, np.tile(GRID, (len(data), 1))).reshape(len(grid), k, inner, len(GRID))
+                best[grid] = np.array(GRID)[score.mean(axis=2).round(12).argmax(axis=2)]  # equal scores: the smallest
+            right = hits(name, [fold_data(p[3], f, None) for p in some for f in range(k)], best.reshape(-1, 1)).reshape(-1, k)
+            out = []
+            for chosen, h in zip(best, right, strict=True):
+                values, n = np.unique(chosen, return_counts=True)
+                out.append((float(np.mean(h)), float(values[n.argmax()]), "ok"))
+            return out
+
+        def safely(name: str, some: list[tuple]) -> list[tuple]:
+            try:
+                return together(name, some)
+            except (ValueError, np.linalg.LinAlgError) as e:
+                if len(some) > 1:  # one that fails doesn't stop the rest
+                    return [r for p in some for r in safely(name, [p])]
+                return [(None, None, str(e)[:60])]
+
+        out: list = [None] * len(pieces)
+        for name in dict.fromkeys(p[0] for p in pieces):
+            at = [n for n, p in enumerate(pieces) if p[0] == name]
+            for n, r in zip(at, safely(name, [(name, pieces[n][2], pieces[n][3], pieces[n][4]) for n in at]), strict=True):
+                out[n] = r
+        return out
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("epoch")
         x, y, epochs, ms = np.array(g["features"].tolist()), g["y"].to_numpy(), g["epoch"].to_numpy(), float(g["ms_center"].iloc[0])
-        out = [(key[0], key[1], name, key[2], tuned, key[3], ms, rep, *one(x, y, epochs, name, tuned, c, rep)) for name, _, tuned, c, rep in dealt[key[2]][key[4]]]
+        pieces = dealt[key[2]][key[4]]
+        out = [(key[0], key[1], name, key[2], tuned, key[3], ms, rep, *r) for (name, _, tuned, _, rep), r in zip(pieces, decoded(x, y, epochs, pieces), strict=True)]
         return pd.DataFrame(out, columns=[p.split()[0] for p in RESULT.split(", ")])
 
     sizes = F.create_map(*[F.lit(v) for dur, parts in dealt.items() for v in (dur, len(parts))]) if dealt else F.lit(None).cast("map<int,int>")

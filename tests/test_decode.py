@@ -32,6 +32,27 @@ def test_classifiers_reach_their_optimum():
         assert np.mean(classify.predict(classify.fit(name, x, y, 0.1), x) == y) > 0.85
 
 
+def test_fits_together_equal_fits_alone():
+    rng, c = np.random.default_rng(4), np.tile((0.01, 0.1, 1.0, 10.0), (9, 1))
+    sets = [blobs(40 + 3 * k, 5, seed=k) for k in range(9)]
+    sets[2][0][:, 3] = 0
+    sets[3][0][:, 1] = sets[3][0][:, 2]
+    xs, ys = [x for x, _ in sets], [y for _, y in sets]
+    for name in ("svm", "lda"):
+        got = classify.fit_many(name, xs, ys, c)
+        assert all(np.allclose(w, [classify.fit(name, x, y, v) for v in c[0]]) for w, x, y in zip(got, xs, ys, strict=True))
+    xs[5][:, 0] += 9 * ys[5]  # separable: long ways to the optimum
+    for w, x, y in zip(classify.fit_many("logistic", xs, ys, c), xs, ys, strict=True):
+        z, s = np.hstack([x, np.ones((len(x), 1))]), np.where(y > 0, 1.0, -1.0)
+        for v, k in zip(w, c[0], strict=True):
+            g = -z.T @ (s / (1 + np.exp(s * (z @ v)))) + 0.9 / k * np.append(v[:-1], 0)
+            edge = 0.1 / k * np.append(np.ones(5), 0)
+            assert np.where(v != 0, np.abs(g + edge * np.sign(v)), np.abs(g) - edge).max() < 1e-8
+    wide = [rng.normal(size=(30, classify.MANY_WIDTH + k)) for k in (0, 1)]
+    got = classify.fit_many("svm", wide, [ys[0][:30]] * 2, c[:2])
+    assert all(np.allclose(w, [classify.svm(x, ys[0][:30], v) for v in c[0]]) for w, x in zip(got, wide, strict=True))
+
+
 def test_ledoit_wolf_is_between_its_ends():
     x = np.random.default_rng(2).normal(size=(30, 5))
     s = np.cov(x.T, bias=True)
