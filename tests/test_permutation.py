@@ -102,3 +102,26 @@ def test_cluster_p_by_brute_force(spark):
     scores = [plain_tfce([plain_t(x[:, t], f) for t in range(12)], 0.5) for f in flips]
     for r in stats.tfce_permutation(df, ["roi"], perms, 0.5).collect():
         assert r.tfce == pytest.approx(scores[0][r.ms]) and r.p_tfce == sum(max(s) >= scores[0][r.ms] - 1e-9 for s in scores) / perms
+
+
+def test_many_subjects_are_summed_in_parts(spark, monkeypatch):
+    """The same statistics from partial sums of blocks of subjects as from one row for a time."""
+    rng = np.random.default_rng(8)
+    rows = [(i, r, m, float(v)) for i in range(300) for r in "ab" for m in range(5) for v in [rng.normal() + 0.2 * (m == 3)] if rng.random() < 0.9]
+    rows += [(0, "c", 0, 1.5), (0, "d", 1, None), (5, None, 2, 1.0), (6, None, 2, 3.0), (7, None, 2, 4.5)]
+    df = spark.createDataFrame(rows, "subject bigint, roi string, ms int, value double").repartition(7)
+    known = {(r.roi, r.ms): np.frombuffer(r.stats) for r in stats.permuted_t(df, ["roi"], 40, few=10**6).collect()}
+    monkeypatch.setattr(stats, "HELD_SIGNS", 40 * 17)
+    monkeypatch.setattr(stats, "HELD_SUMS", 40 * 6)
+    got = stats.permuted_t(df, ["roi"], 40)
+    assert got.columns == ["roi", "ms", "stats"] and len(known) == 12
+    got = {(r.roi, r.ms): np.frombuffer(r.stats) for r in got.collect()}
+    assert set(got) == set(known) and all(np.allclose(got[k], known[k], atol=1e-10) for k in known)
+
+
+def test_no_task_gets_all_subjects_of_a_time(spark, monkeypatch):
+    """With many subjects the signs that a task makes at once are those of a block."""
+    df = spark.range(600).selectExpr("id AS subject", "'a' AS roi", "0 AS ms", "cast(id % 7 AS double) AS value")
+    plan = stats.permuted_t(df, ["roi"], 8)._jdf.queryExecution().analyzed().toString()
+    assert "_sums" in plan
+    assert stats.cluster_permutation(df, ["roi"], 0.5, 8).count() == 1
