@@ -18,12 +18,14 @@ from pyspark.sql.types import StructType
 
 from ..leaf import beamformer
 from ..leaf.classify import leading
+from .select import small
 
 SIGNAL = ("subject", "roi", "epoch", "t_idx")
 
 
-#: Sums of products that a task holds before it passes them on.
-HELD_SUMS = 4_000_000
+#: Sums of products that a task holds before it passes them on, what the entry of a group counts besides, and pairs that go out
+#: at once.
+HELD_SUMS, HELD_EACH, TOLD_PAIRS = 4_000_000, 200, 50_000
 
 
 def moments(df: DataFrame, keys: list[str], unit: str, sample: tuple[str, ...]) -> DataFrame:
@@ -42,6 +44,9 @@ def moments(df: DataFrame, keys: list[str], unit: str, sample: tuple[str, ...])
     def tell(sums: dict) -> Iterator[pa.RecordBatch]:
         columns: list[list] = [[] for _ in range(width + 2 + len(fields))]
         for (key, units), (n, g, mean, c) in sums.items():
+            if len(columns[-1]) > TOLD_PAIRS:
+                yield pa.RecordBatch.from_arrays([pa.array(v, type=f.type) for v, f in zip(columns, target, strict=True)], schema=target)
+                columns = [[] for _ in columns]
             i, j = np.triu_indices(len(units))
             d = np.diag(c)
             for at, v in enumerate((*[[k] * len(i) for k in key], [units[k] for k in i], [units[k] for k in j], [n] * len(i), g[i, j], mean[i], mean[j], c[i, j], d[i], d[j])):
@@ -71,7 +76,7 @@ def moments(df: DataFrame, keys: list[str], unit: str, sample: tuple[str, ...])
                     c = c + c0 + np.outer(step, step) * (n * n0 / (n + n0))
                     n, g, mean = n + n0, g + g0, mean0 + step * (n / (n + n0))
                 else:
-                    held += 2 * m * m
+                    held += 2 * m * m + HELD_EACH
                 sums[name] = (n, g, mean, c)
             if held > HELD_SUMS:
                 yield from tell(sums)
@@ -159,18 +164,46 @@ def eigen_shares(df: DataFrame, keys: list[str], unit: str = "chan", rank_tol: f
     return covariance(df, keys, unit).groupBy(*keys).applyInPandas(solve, f"{head}, shared double, rank int")
 
 
-def epoch_summary(df: DataFrame, keys: tuple[str, ...] = ("subject", "roi", "epoch")) -> DataFrame:
-    """keys, t_idx, x: per trial the projection on the leading vertex vector, without centring (s[0] * Vt[0])."""
-    types = dict(df.dtypes)
-    head = ", ".join(f"{c} {types[c]}" for c in keys)
+def _trial(g: pa.Table, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Units with a value, times at which they have rows, the matrix of units by times (0 where nothing is), and whether a time
+    has a value."""
+    there = g["x"].is_valid().to_numpy(zero_copy_only=False)
+    name, x = g[unit].to_numpy(zero_copy_only=False), g["x"].to_numpy(zero_copy_only=False)
+    units = np.unique(name[there])
+    rows = np.isin(name, units)
+    times, t = np.unique(g["t_idx"].to_numpy(zero_copy_only=False)[rows], return_inverse=True)
+    m, some = np.zeros((len(units), len(times))), np.zeros(len(times), bool)
+    full = there[rows]
+    np.add.at(m, (np.searchsorted(units, name[rows][full]), t[full]), x[rows][full])
+    some[t[full]] = True
+    return units, times, m, some
+
+
+def _each_trial(df: DataFrame, keys: list[str], unit: str, leaf, out: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """``out`` from one call of ``leaf`` for every trial, whose rows come together once: ``leaf`` takes the matrix of units by
+    times, the units and the trial's rows, and gives series, by unit where ``out`` has it. A task holds one trial at a time."""
+    rows = df.where(" AND ".join(f"{c} IS NOT NULL" for c in (*keys, unit))).select(*keys, *[c for c in (unit, "t_idx") if c not in keys], F.col("x").cast("double").alias("x"), *more)
+    schema = StructType([rows.schema[c] for c in out])
+    target = to_arrow_schema(schema)
+
+    def run(key: tuple, g: pa.Table) -> pa.Table:
+        units, times, m, some = _trial(g, unit)
+        if not len(units):
+            return target.empty_table()
+        x = leaf(m, units, g)
+        n = len(x)
+        known = {k: pa.repeat(v, n * len(times)) for k, v in zip(keys, key, strict=True)}
+        known |= {"t_idx": pa.array(np.tile(times, n)), "x": pa.array(x.ravel(), mask=np.tile(~some, n))}
+        if unit in out:
+            known[unit] = pa.array(np.repeat(units, len(times)))
+        return pa.table([known[c].cast(target.field(c).type) for c in out], schema=target)
+
+    return rows.groupBy(*keys).applyInArrow(run, schema)
 
-    def solve(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        units, m = _square(g, "g")
-        v = leading(m)[0]
-        return pd.DataFrame([(*key, u, float(v[n])) for n, u in enumerate(units)], columns=[*keys, "vertex", "w"])
 
-    w = gram(df, list(keys), "vertex", ("t_idx",)).groupBy(*keys).applyInPandas(solve, f"{head}, vertex {types['vertex']}, w double")
-    return df.join(w, [*keys, "vertex"]).groupBy(*keys, "t_idx").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+def epoch_summary(df: DataFrame, keys: tuple[str, ...] = ("subject", "roi", "epoch")) -> DataFrame:
+    """keys, t_idx, x: per trial the projection on the leading vertex vector, without centring (s[0] * Vt[0])."""
+    return _each_trial(df, list(keys), "vertex", lambda m, units, g: leading(m @ m.T) @ m, [*keys, "t_idx", "x"])
 
 
 def pca_flip(df: DataFrame, flip: DataFrame, keys: tuple[str, ...] = ("subject", "roi", "epoch")) -> DataFrame:
@@ -180,35 +213,28 @@ def pca_flip(df: DataFrame, flip: DataFrame, keys: tuple[str, ...] = ("subject",
     ``flip`` (roi, vertex, flip) gives each vertex its sign; vertices that it lacks count as 0, and so does the series
     where they cancel or the trial is zero.
     """
-    types = dict(df.dtypes)
-    head = ", ".join(f"{c} {types[c]}" for c in keys)
 
-    def solve(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        units, m = _square(g, "g")
-        v, power = leading(m)[0], float(np.trace(m))
-        top = float(v @ m @ v)
-        scale = np.sqrt(power / len(units) / top) if top > 0 else 0.0
-        return pd.DataFrame([(*key, u, float(v[n] * scale)) for n, u in enumerate(units)], columns=[*keys, "vertex", "w"])
+    def leaf(m: np.ndarray, units: np.ndarray, g: pa.Table) -> np.ndarray:
+        gram = m @ m.T
+        v = leading(gram)[0]
+        top = float(v @ gram @ v)
+        w = v * (np.sqrt(np.trace(gram) / len(units) / top) if top > 0 else 0.0)
+        sign = dict(zip(g["vertex"].to_pylist(), g["flip"].to_pylist(), strict=True))
+        along = sum(a * (sign[u] or 0.0) for a, u in zip(w.tolist(), units.tolist(), strict=True))
+        return (w * np.sign(round(along, 12)))[None] @ m
 
-    w = gram(df, list(keys), "vertex", ("t_idx",)).groupBy(*keys).applyInPandas(solve, f"{head}, vertex {types['vertex']}, w double")
-    w = w.join(flip.select("roi", "vertex", "flip"), ["roi", "vertex"], "left")
-    along = F.sum(F.col("w") * F.coalesce("flip", F.lit(0.0))).over(Window.partitionBy(*keys))
-    w = w.select(*keys, "vertex", (F.col("w") * F.signum(F.round(along, 12))).alias("w"))
-    return df.join(w, [*keys, "vertex"]).groupBy(*keys, "t_idx").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+    rows = df.join(small(flip.select("roi", "vertex", F.col("flip").cast("double").alias("flip"))), ["roi", "vertex"], "left")
+    return _each_trial(rows, list(keys), "vertex", leaf, [*keys, "t_idx", "x"], ("flip",))
 
 
 def orthogonalise(df: DataFrame, floor: float = 1e-10) -> DataFrame:
     """subject, epoch, roi, t_idx, x: per trial C^-1/2 D over regions, eigenvalues floored; one series per region."""
-    types = dict(df.dtypes)
 
-    def solve(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        units, m = _square(g, "g")
-        e, v = np.linalg.eigh(m)
-        w = (v / np.sqrt(np.maximum(e, floor))) @ v.T
-        return pd.DataFrame([(*key, a, b, float(w[n, k])) for n, a in enumerate(units) for k, b in enumerate(units)], columns=["subject", "epoch", "to", "roi", "w"])
+    def leaf(m: np.ndarray, units: np.ndarray, g: pa.Table) -> np.ndarray:
+        e, v = np.linalg.eigh(m @ m.T)
+        return (v / np.sqrt(np.maximum(e, floor))) @ v.T @ m
 
-    w = gram(df, ["subject", "epoch"], "roi", ("t_idx",)).groupBy("subject", "epoch").applyInPandas(solve, f"subject {types['subject']}, epoch {types['epoch']}, to string, roi string, w double")
-    return df.join(w, ["subject", "epoch", "roi"]).groupBy("subject", "epoch", F.col("to").alias("roi"), "t_idx").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+    return _each_trial(df, ["subject", "epoch"], "roi", leaf, ["subject", "epoch", "roi", "t_idx", "x"])
 
 
 def regress_out(df: DataFrame, summaries: DataFrame, ridge: float = 1e-6) -> DataFrame:

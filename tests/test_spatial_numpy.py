@@ -5,6 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from esig.catalog import QUERIES
+from esig.operators import spatial
 
 TABLES = "/root/testdata/sf0.001"
 ROIS = {"front": slice(0, 4), "back": slice(4, 8)}
@@ -125,3 +126,21 @@ def test_shares_of_the_spectrum(spark, blocks):
     e = {s: np.linalg.svd(v - v.mean(axis=1, keepdims=True), compute_uv=False) ** 2 for s, v in x.items()}
     same(spark, "r13_rank_and_shared_fraction", {(s,): v[0] / v.sum() for s, v in e.items()}, "subject", value="shared")
     same(spark, "r13_rank_and_shared_fraction", {(s,): int((v > 1e-6 * v[0]).sum()) for s, v in e.items()}, "subject", value="rank")
+
+
+def test_trials_come_together_once(spark):
+    """Each trial's rows cross one exchange to one call; no row for a pair of vertices is exchanged or joined back."""
+    rows = [(s, r, e, v, t, float((v + 1) * (t + 1) + e * (v == 2)) if (v, t) != (1, 1) else None) for s in (0, 1) for r in "ab" for e in range(3) for v in range(3) for t in range(4)]
+    rows += [(0, "a", 0, 7, t, None) for t in range(6)] + [(0, "c", 0, 0, t, 0.0 if t else None) for t in range(2)]
+    df = spark.createDataFrame(rows, "subject int, roi string, epoch int, vertex int, t_idx int, x double")
+    flip = spark.createDataFrame([("a", 0, 1.0), ("a", 1, -1.0), ("b", 2, -1.0)], "roi string, vertex int, flip double")
+    for out in (spatial.epoch_summary(df), spatial.pca_flip(df, flip), spatial.orthogonalise(spatial.epoch_summary(df))):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapGroupsInArrow" in plan and "Aggregate" not in plan
+    got = {(r.subject, r.roi, r.epoch, r.t_idx): r.x for r in spatial.epoch_summary(df).collect()}
+    assert len(got) == 2 * 2 * 3 * 4 + 2 and got[0, "c", 0, 0] is None and got[0, "c", 0, 1] == 0
+    for s, r, e in {k[:3] for k in got if k[1] != "c"}:
+        m = np.array([[x or 0.0 for (a, b, c, v, _, x) in rows if (a, b, c, v) == (s, r, e, u)] for u in range(3)])
+        v = np.linalg.svd(m, full_matrices=False)[0][:, 0]
+        v = v * np.sign(v[np.abs(v).round(12).argmax()])
+        assert np.allclose([got[s, r, e, t] for t in range(4)], v @ m)
